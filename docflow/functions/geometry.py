@@ -40,23 +40,34 @@ def tile_plan(
 
     A page that fits one tile is not cut. Else the tiling nearest in aspect
     ratio is taken; of equally near ones the largest whose area the page fills
-    by more than half, or the smallest if it fills none. The choice is the
-    least of a few structs, ordered by distance and then by preference.
+    by more than half, or the smallest if it fills none. The candidates are a
+    constant array, so the generated code stays small however often the plan is
+    used in a query.
     """
     area = width.cast("bigint") * height.cast("bigint")
     aspect = width / height
-
-    def candidate(rank: int, columns: int, rows: int) -> Column:
-        filled = area > F.lit(0.5 * size * size * columns * rows)
-        return F.struct(
-            F.abs(aspect - F.lit(columns / rows)).alias("distance"),
-            F.when(filled, F.lit(-rank)).otherwise(F.lit(rank)).alias("preference"),
+    candidates = F.array(*[
+        F.struct(
+            F.lit(columns / rows).alias("ratio"),
+            F.lit(0.5 * size * size * columns * rows).alias("half"),
+            F.lit(rank).alias("rank"),
             F.lit(columns).alias("tiles_w"),
             F.lit(rows).alias("tiles_h"),
         )
-
-    tilings = candidate_tilings(min_tiles, max_tiles)
-    best = F.array_min(F.array(*[candidate(rank, *pair) for rank, pair in enumerate(tilings, 1)]))
+        for rank, (columns, rows) in enumerate(candidate_tilings(min_tiles, max_tiles), 1)
+    ])
+    # Least distance first; then the last one the page fills, else the first.
+    best = F.array_min(
+        F.transform(
+            candidates,
+            lambda tiling: F.struct(
+                F.abs(aspect - tiling["ratio"]).alias("distance"),
+                F.when(area > tiling["half"], -tiling["rank"]).otherwise(tiling["rank"]).alias("preference"),
+                tiling["tiles_w"].alias("tiles_w"),
+                tiling["tiles_h"].alias("tiles_h"),
+            ),
+        )
+    )
     uncut = (width <= C.TILE_SIZE) & (height <= C.TILE_SIZE)
     one = F.struct(F.lit(1).alias("tiles_w"), F.lit(1).alias("tiles_h"))
     return F.when(uncut, one).otherwise(

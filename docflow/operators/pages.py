@@ -59,6 +59,21 @@ def plan_tiles(df: DataFrame, min_tiles: int = C.MIN_TILES, max_tiles: int = C.M
     return df.withColumn("_plan", plan).select("*", "_plan.tiles_w", "_plan.tiles_h").drop("_plan")
 
 
+def tiling_usage(planned: DataFrame) -> DataFrame:
+    """Every candidate tiling with the number of pages that use it."""
+    used = planned.groupBy("tiles_w", "tiles_h").agg(F.count(F.lit(1)).alias("pages"))
+    tilings = [
+        F.struct(F.lit(columns).alias("tiles_w"), F.lit(rows).alias("tiles_h"))
+        for columns, rows in geometry.candidate_tilings()
+    ]
+    candidates = (
+        planned.sparkSession.range(1).select(F.explode(F.array(*tilings)).alias("_t")).select("_t.*")
+    )
+    return candidates.join(used, ["tiles_w", "tiles_h"], "left").withColumn(
+        "pages", F.coalesce("pages", F.lit(0))
+    )
+
+
 def plan_tokens(df: DataFrame, crop_mode: bool = True) -> DataFrame:
     """Add ``tiles_w``, ``tiles_h`` and ``image_tokens``."""
     return plan_tiles(df).withColumn(

@@ -16,6 +16,7 @@ from docflow import constants as C
 from docflow.operators.batching import page_batches
 from docflow.operators.pages import explode_pages, plan_tokens
 from docflow.operators.scoring import score_batches
+from docflow.session import new_folder
 
 PAGE_CHARS = 1800
 BATCH_PAGES = 64
@@ -98,21 +99,27 @@ MODEL_OUTPUT = T.StructType([
 ])
 
 
-def stand_in_model(rows: pd.DataFrame) -> pd.DataFrame:
-    """Stands in for a model: gives back the prepared output, fails some batches."""
-    if "batch_id" in rows and rows["batch_id"].iloc[0] % 17 == 3:
-        raise RuntimeError(f"fail batch {rows['batch_id'].iloc[0]}")
+def echo_model(rows: pd.DataFrame) -> pd.DataFrame:
+    """Stands in for a model: gives back the prepared output."""
     return pd.DataFrame({
         "raw_text": rows["payload"],
         "output_tokens": rows["payload"].str.count(" ") + 1,
     })
 
 
+def failing_model(rows: pd.DataFrame) -> pd.DataFrame:
+    """As :func:`echo_model`, but some batches fail."""
+    batch = rows["batch_id"].iloc[0]
+    if batch % 17 == 3:
+        raise RuntimeError(f"fail batch {batch}")
+    return echo_model(rows)
+
+
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     """Pages scored batch by batch by the stand-in model."""
     ready = batched(spark, folder).withColumnRenamed("raw_text", "payload").drop("output_tokens", "chunk")
     kept = ["document_index", "page_index", "batch_id", "width", "height", "input_tokens"]
-    return score_batches(ready, stand_in_model, MODEL_OUTPUT, kept)
+    return score_batches(ready, failing_model, MODEL_OUTPUT, kept)
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
@@ -135,6 +142,28 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def write_requests(spark: SparkSession, folder: str) -> str:
+    """Request bodies as files for a stream to read."""
+    target = new_folder(spark, "requests")
+    requests(spark, folder).repartition(4, "request_id").write.parquet(target)
+    return target
+
+
+def image_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """First bytes of an image file per page: PNG or BMP, some unreadable."""
+    png = "unhex(concat('89504E470D0A1A0A0000000D49484452', lpad(hex(width), 8, '0'), lpad(hex(height), 8, '0')))"
+    flipped = "unhex(concat(substr(h, 7, 2), substr(h, 5, 2), substr(h, 3, 2), substr(h, 1, 2)))"
+    little = {side: flipped.replace("h,", f"lpad(hex({side}), 8, '0'),") for side in ("width", "height")}
+    bmp = f"concat(unhex('424D00000000000000003600000028000000'), {little['width']}, {little['height']})"
+    return pages(spark, folder).select(
+        "document_index",
+        "page_index",
+        F.expr(
+            f"case page_index % 3 when 0 then {png} when 1 then {bmp} else unhex('00') end"
+        ).alias("payload"),
+    )
+
+
 def arrivals(spark: SparkSession, folder: str) -> DataFrame:
     """Arrival times in microseconds, a user's request each."""
     return table(spark, folder, "events").select(

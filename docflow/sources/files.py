@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +11,9 @@ from docflow.functions.text import has_extension, or_default, path_parts
 from docflow.operators.ordering import dense_position
 
 
+UNREADABLE_ERROR = "cannot identify image file"
+
+
 def filter_documents(files: DataFrame, path: str = "path", extensions: tuple[str, ...] = C.DOCUMENT_EXTENSIONS) -> DataFrame:
     """Files with a document extension, in any case."""
     return files.filter(has_extension(F.col(path), extensions))
@@ -59,7 +62,32 @@ def image_sizes(spark: SparkSession, folder: str) -> DataFrame:
         F.col("image.origin").alias("path"),
         F.when(readable, F.col("image.width")).alias("width"),
         F.when(readable, F.col("image.height")).alias("height"),
-        F.when(~readable, F.lit("cannot identify image file")).alias("error"),
+        F.when(~readable, F.lit(UNREADABLE_ERROR)).alias("error"),
+    )
+
+
+def payload_sizes(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """Pixel size from the header of PNG and BMP bytes; ``error`` for others.
+
+    Only the header is looked at. A BMP height is negative if its rows run
+    from the top.
+    """
+    data = F.hex(F.substring(F.col(payload), 1, 26))
+
+    def number(first: int, little: bool) -> Column:
+        at = [2 * (first + i) + 1 for i in range(4)]
+        digits = F.concat(*[F.substring(data, i, 2) for i in (reversed(at) if little else at)])
+        return F.conv(digits, 16, 10).try_cast("bigint")
+
+    png = F.startswith(data, F.lit("89504E470D0A1A0A"))
+    bmp = F.startswith(data, F.lit("424D"))
+    signed = F.when(number(22, True) >= 1 << 31, (1 << 32) - number(22, True)).otherwise(number(22, True))
+    width = F.when(png, number(16, False)).when(bmp, number(18, True))
+    height = F.when(png, number(20, False)).when(bmp, signed)
+    return (
+        df.withColumn("width", width)
+        .withColumn("height", height)
+        .withColumn("error", F.when(~(png | bmp), F.lit(UNREADABLE_ERROR)))
     )
 
 
