@@ -171,6 +171,16 @@ SELECT user_id AS request_id, CASE event_type WHEN 'click' THEN 'gpu_generate' W
   sum(greatest(CAST(round(value * 100) AS BIGINT) - 2000, 0)) AS h FROM events GROUP BY ALL""",
     "request_sums": """
 SELECT request_id, sum(h) AS spent, sum(h) + request_id % 3 * 30 AS total FROM step_sums GROUP BY request_id""",
+    "page_json": """
+SELECT c.document_index, c.page_index, {
+    'raw_text': raw_text, 'clean_text': clean_text,
+    'detections': coalesce(found, []), 'has_eos': contains(raw_text, '<｜end▁of▁sentence｜>'),
+    'image_size': {'width': width, 'height': height}} AS result
+FROM cleaned c JOIN ocr USING (document_index, page_index)
+LEFT JOIN (SELECT document_index, page_index, list({'label': label, 'bbox_norm': [x1_norm, y1_norm, x2_norm, y2_norm],
+    'bbox': [x1, y1, x2, y2]} ORDER BY ref_index, box_index) AS found FROM boxes GROUP BY ALL) USING (document_index, page_index)""",
+    "page_lists": """
+SELECT document_index, list(result ORDER BY page_index) AS results FROM page_json GROUP BY document_index""",
     "results": """
 SELECT s.document_index, s.document_path, s.status, s.error, s.page_count,
   count(p.page_index) AS n_results, coalesce(string_agg(p.clean_text, '|' ORDER BY p.page_index), '') AS texts,
@@ -362,6 +372,29 @@ FROM events
 GROUP BY date_trunc('hour', ts), event_type
 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
 }
+def _usage_json(given: str, made: str) -> str:
+    """Usage object from an input and an output token count."""
+    return (
+        f"{{'input_tokens': {given}, 'cached_tokens': 0, 'output_tokens': {made}, 'total_tokens': {given} + {made},"
+        f" 'prompt_tokens': {given}, 'completion_tokens': {made}, 'input_tokens_details': {{'cached_tokens': 0}}}}"
+    )
+
+
+_HEAD = "'document_index': document_index, 'document_path': document_path, 'status': status"
+QUERIES["results_jsonl"] = f"""SELECT document_index, CASE WHEN status = 'failed'
+  THEN CAST(to_json({{{_HEAD}, 'error': error, 'page_count': page_count, 'results': CAST([] AS VARCHAR[]),
+    'usage': {_usage_json("0", "0")}}}) AS VARCHAR)
+  ELSE CAST(to_json({{{_HEAD}, 'page_count': page_count, 'results': page_lists.results,
+    'usage': {_usage_json("CAST(input_tokens AS BIGINT)", "CAST(output_tokens AS BIGINT)")}}}) AS VARCHAR) END AS value
+FROM results LEFT JOIN page_lists USING (document_index)"""
+QUERIES["metrics_json"] = """SELECT CAST(to_json({'cached_tokens': 0, 'documents': documents, 'elapsed_s': elapsed_s, 'failed': failed,
+  'generate_s': generate_s, 'generated_cached_tokens': 0, 'generated_input_tokens': CAST(generated_input_tokens AS BIGINT),
+  'generated_output_tokens': CAST(generated_output_tokens AS BIGINT), 'generated_pages': generated_pages,
+  'generated_pages_per_second': generated_pages_per_second, 'generated_tokens_per_second': generated_tokens_per_second,
+  'generated_total_tokens': CAST(generated_total_tokens AS BIGINT), 'inference_s': inference_s,
+  'input_tokens': CAST(input_tokens AS BIGINT), 'output_tokens': CAST(output_tokens AS BIGINT), 'pages': CAST(pages AS BIGINT),
+  'pages_per_second': pages_per_second, 'preprocess_s': preprocess_s, 'render_s': render_s, 'succeeded': succeeded,
+  'tokens_per_second': tokens_per_second, 'total_tokens': CAST(total_tokens AS BIGINT)}) AS VARCHAR) AS value FROM corpus"""
 QUERIES["stream_pages"] = QUERIES["decode_batch_requests"]
 
 
