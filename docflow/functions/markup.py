@@ -6,11 +6,13 @@ are native and work on one row, so they need no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docflow import constants as C
-from docflow.functions.text import SPACE_CLASS, strip
+from docflow.functions.text import strip
 
 
 def has_eos(raw: Column) -> Column:
@@ -38,28 +40,35 @@ def clean_text(raw: Column) -> Column:
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
-def _matches(text: Column, group: int) -> Column:
-    return F.regexp_extract_all(text, F.lit(C.REF_PATTERN), F.lit(group))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once for all its uses."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _all_tags(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(C.REF_PATTERN), F.lit(0))
 
 
 def ref_tags(text: Column) -> Column:
-    """All tags: ``array<struct<ref_index, full, label, coords, is_image>>``."""
-    zipped = F.arrays_zip(
-        _matches(text, 0).alias("full"),
-        _matches(text, 1).alias("label"),
-        _matches(text, 2).alias("coords"),
-    )
+    """All tags: ``array<struct<ref_index, full, label, coords, is_image>>``.
+
+    The text is searched once; label and coordinates are cut from each tag.
+    """
+    opening, middle, closing = "<|ref|>", "<|/ref|><|det|>", "<|/det|>"
     image_tag = f"<|ref|>{C.IMAGE_LABEL}<|/ref|>"
-    return F.transform(
-        zipped,
-        lambda tag, i: F.struct(
+
+    def parts(full: Column, i: Column) -> Column:
+        inner = F.substring(full, len(opening) + 1, F.length(full) - len(opening) - len(closing))
+        label = F.substring_index(inner, middle, 1)
+        return F.struct(
             i.cast("bigint").alias("ref_index"),
-            tag["full"].alias("full"),
-            tag["label"].alias("label"),
-            tag["coords"].alias("coords"),
-            F.contains(tag["full"], F.lit(image_tag)).alias("is_image"),
-        ),
-    )
+            full.alias("full"),
+            label.alias("label"),
+            F.substring(inner, F.length(label) + len(middle) + 1, F.length(inner)).alias("coords"),
+            F.contains(full, F.lit(image_tag)).alias("is_image"),
+        )
+
+    return F.transform(_all_tags(text), parts)
 
 
 def _as_json(coords: Column) -> Column:
@@ -119,34 +128,33 @@ def detections(text: Column, width: Column, height: Column) -> Column:
     return F.flatten(F.transform(ref_tags(text), of_tag))
 
 
+def _linked(text: Column, tags: Column, page: Column | None) -> Column:
+    """Image tags replaced by links to numbered pictures, of a page if given."""
+    prefix = F.lit("![](images/") if page is None else F.concat(F.lit("![](images/"), page, F.lit("_"))
+    images = F.transform(
+        F.filter(tags, lambda tag: tag["is_image"]),
+        lambda tag, k: F.struct(
+            tag["full"].alias("full"), F.concat(prefix, k, F.lit(".jpg)\n")).alias("link")
+        ),
+    )
+    return F.aggregate(images, text, lambda acc, image: F.replace(acc, image["full"], image["link"]))
+
+
 def link_images(text: Column, page: Column) -> Column:
     """Markdown of one page: image tags become links, other tags go.
 
     Equal image tags all take the first link. Symbols and blank lines are
     tidied once per removed tag, so not at all on a page without one.
     """
-    tags = ref_tags(text)
-    images = F.transform(
-        F.filter(tags, lambda tag: tag["is_image"]),
-        lambda tag, k: F.struct(tag["full"].alias("full"), k.alias("k")),
-    )
-    linked = F.aggregate(
-        images,
-        text,
-        lambda acc, image: F.replace(
-            acc,
-            image["full"],
-            F.concat(F.lit("![](images/"), page, F.lit("_"), image["k"], F.lit(".jpg)\n")),
-        ),
-    )
-    others = F.filter(tags, lambda tag: ~tag["is_image"])
-    return F.aggregate(
-        others,
-        linked,
-        lambda acc, tag: fewer_newlines(
-            plain_symbols(F.replace(acc, tag["full"], F.lit("")))
-        ),
-    )
+
+    def rendered(tags: Column) -> Column:
+        return F.aggregate(
+            F.filter(tags, lambda tag: ~tag["is_image"]),
+            _linked(text, tags, page),
+            lambda acc, tag: fewer_newlines(plain_symbols(F.replace(acc, tag["full"], F.lit("")))),
+        )
+
+    return _let(ref_tags(text), rendered)
 
 
 def fewer_newlines(text: Column) -> Column:
@@ -164,7 +172,7 @@ def tidy_formulas(text: Column) -> Column:
         inner,
         lambda body: F.concat(
             F.lit("\\["),
-            strip(F.regexp_replace(body, rf"(?U)\\quad{SPACE_CLASS}*\([^)]*\)", "")),
+            strip(F.regexp_replace(body, r"(?U)\\quad[\s\x1c-\x1f]*\([^)]*\)", "")),
             F.lit("\\]"),
         ),
     )
@@ -176,30 +184,24 @@ def tidy_formulas(text: Column) -> Column:
 
 def eval_markdown(raw: Column) -> Column:
     """Formulas tidied, then every tag removed. The end token stays."""
-    text = tidy_formulas(raw)
-    return F.aggregate(
-        _matches(text, 0),
-        text,
-        lambda acc, tag: fewer_newlines(F.replace(acc, tag, F.lit(""))),
+    return _let(
+        tidy_formulas(raw),
+        lambda text: F.aggregate(
+            _all_tags(text),
+            text,
+            lambda acc, tag: fewer_newlines(F.replace(acc, tag, F.lit(""))),
+        ),
     )
 
 
 def plain_image_links(raw: Column) -> Column:
     """Markdown of a single image: links without a page number, newlines kept."""
-    tags = ref_tags(raw)
-    images = F.transform(
-        F.filter(tags, lambda tag: tag["is_image"]),
-        lambda tag, k: F.struct(tag["full"].alias("full"), k.alias("k")),
-    )
-    linked = F.aggregate(
-        images,
-        raw,
-        lambda acc, image: F.replace(
-            acc, image["full"], F.concat(F.lit("![](images/"), image["k"], F.lit(".jpg)\n"))
-        ),
-    )
-    return F.aggregate(
-        F.filter(tags, lambda tag: ~tag["is_image"]),
-        linked,
-        lambda acc, tag: plain_symbols(F.replace(acc, tag["full"], F.lit(""))),
-    )
+
+    def rendered(tags: Column) -> Column:
+        return F.aggregate(
+            F.filter(tags, lambda tag: ~tag["is_image"]),
+            _linked(raw, tags, None),
+            lambda acc, tag: plain_symbols(F.replace(acc, tag["full"], F.lit(""))),
+        )
+
+    return _let(ref_tags(raw), rendered)

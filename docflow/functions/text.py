@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space plus the four separators U+001C to U+001F.
-SPACE_CLASS = r"[\s\x1c-\x1f]"
+# All characters that count as white space at the ends of a text.
+SPACES = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 
 
 def strip(text: Column) -> Column:
     """Remove white space of any kind from both ends."""
-    return F.regexp_replace(text, rf"(?U)\A{SPACE_CLASS}+|{SPACE_CLASS}+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def file_name(path: Column) -> Column:

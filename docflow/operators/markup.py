@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Iterator
+from collections.abc import Collection, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,8 @@ from docflow.operators.ordering import PAGE_BLOCK
 from docflow.operators.pages import drop_unfinished, flag_eos, number_kept_pages
 
 PAGE_KEYS = ("document_index", "page_index")
+# Token arrays compared at once; bounds the memory of the repetition check.
+ROWS_AT_ONCE = 256
 
 
 def ref_tags(df: DataFrame, text: str = "raw_text", keys: Collection[str] = PAGE_KEYS) -> DataFrame:
@@ -219,22 +221,30 @@ def geometry_circles(df: DataFrame, text: str, keys: Collection[str] = PAGE_KEYS
     )
 
 
-def repeats_of(ids: np.ndarray, n: int, window: int, whitelist: Collection[int]) -> list[tuple[int, int]]:
-    """Positions that end an n-gram seen before in the window: (position, earlier start).
+def repeats_of(
+    arrays: Sequence[np.ndarray], n: int, window: int, whitelist: Collection[int]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions that end an n-gram seen before in the window.
 
-    For every distance the two shifted arrays are compared as a whole; a run of
-    ``n`` equal tokens is a repeat. The nearest earlier start is reported.
+    Gives (array number, position, start of the nearest earlier n-gram). The
+    arrays are laid end to end. For every distance they are compared with
+    themselves shifted; ``n`` equal tokens in a row are a repeat.
     """
-    found: dict[int, int] = {}
+    ids = np.concatenate(arrays)
+    lengths = np.array([len(a) for a in arrays])
+    owner = np.repeat(np.arange(len(arrays)), lengths)
+    begins = np.cumsum(lengths) - lengths
+    earlier = np.full(len(ids), -1, dtype=np.int64)
     for distance in range(1, min(window - n + 1, len(ids) - n) + 1):
-        same = ids[distance:] == ids[:-distance]
-        runs = np.convolve(same, np.ones(n, dtype=np.int64), "valid") == n
-        for earlier in np.flatnonzero(runs):
-            end = int(earlier) + distance + n - 1
-            found.setdefault(end, int(earlier))
-    if not whitelist:
-        return sorted(found.items())
-    return sorted((end, at) for end, at in found.items() if int(ids[end]) not in whitelist)
+        same = (ids[distance:] == ids[:-distance]) & (owner[distance:] == owner[:-distance])
+        total = np.concatenate(([0], np.cumsum(same)))
+        starts = np.flatnonzero(total[n:] - total[:-n] == n)
+        ends = starts + distance + n - 1
+        fresh = earlier[ends] < 0
+        earlier[ends[fresh]] = starts[fresh]
+    hits = np.flatnonzero((earlier >= 0) & ~np.isin(ids, list(whitelist)))
+    of = owner[hits]
+    return of, hits - begins[of], earlier[hits] - begins[of]
 
 
 def repeated_ngrams(
@@ -254,17 +264,19 @@ def repeated_ngrams(
     if n < 1 or window < 1:
         raise ValueError("n and window must be at least 1")
     allowed = frozenset(whitelist)
-
-    @F.pandas_udf("array<struct<position: bigint, earlier_start: bigint>>")
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([
-                [{"position": p, "earlier_start": e} for p, e in repeats_of(np.asarray(ids), n, window, allowed)]
-                for ids in batch
-            ])
-
-    long_enough = df.filter((F.size(tokens) > n) & F.lit(n > 1))
-    return long_enough.select(*keys, F.explode(find(tokens)).alias("_hit")).select(*keys, "_hit.*")
+    keys = list(keys)
+    columns = [*keys, "position", "earlier_start"]
+
+    def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for at in range(0, len(part), ROWS_AT_ONCE):
+                rows = part.iloc[at : at + ROWS_AT_ONCE]
+                of, position, earlier = repeats_of(list(rows[tokens]), n, window, allowed)
+                yield rows.iloc[of][keys].assign(position=position, earlier_start=earlier)[columns]
+
+    long_enough = df.filter((F.size(tokens) > n) & F.lit(n > 1)).select(*keys, tokens)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema]
+    return long_enough.mapInPandas(find, ", ".join([*fields, "position bigint", "earlier_start bigint"]))
 
 
 def snapshot_deltas(

@@ -64,3 +64,14 @@ def task_count(spark: SparkSession) -> int:
         int(spark.conf.get("spark.sql.shuffle.partitions")),
         spark.sparkContext.defaultParallelism,
     )
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all tasks for a table that comes in too few splits.
+
+    Tables of many splits, so all large ones, stay as they are.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= tasks:
+        return df
+    return df.repartition(tasks, key)
