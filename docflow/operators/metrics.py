@@ -108,7 +108,7 @@ def inference_stats(pages: DataFrame) -> DataFrame:
         F.coalesce(F.sum("pages"), F.lit(0)).alias("pages"),
         F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("prompt_tokens"),
         F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"),
-        F.coalesce(F.sum("generate_s"), F.lit(0.0)).alias("generate_s"),
+        F.round(F.coalesce(F.sum("generate_s"), F.lit(0.0)), 6).alias("generate_s"),
     )
     seconds = F.col("generate_s")
     return totals.withColumn(

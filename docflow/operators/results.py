@@ -90,7 +90,8 @@ def document_results(summary: DataFrame, pages: DataFrame, block: int = PAGE_BLO
             "raw_text",
             "clean_text",
             F.transform(
-                "detections", lambda d: F.struct(d["label"].alias("label"), d["bbox_norm"].alias("bbox_norm"), d["bbox"].alias("bbox"))
+                "detections",
+                lambda d: F.struct(*[d[name].alias(name) for name in ("label", "bbox_norm", "bbox")]),
             ).alias("detections"),
             "has_eos",
             F.struct("width", "height").alias("image_size"),
@@ -107,27 +108,18 @@ def document_results(summary: DataFrame, pages: DataFrame, block: int = PAGE_BLO
         finished.withColumn("part_count", F.expr(f"greatest(page_count - 1, 0L) div {block} + 1")), block
     )
     joined = parts.join(collected, ["document_index", "part_index"], "left")
-    ok = (F.col("status") == "ok") & F.col("_pages").isNotNull()
+    page_results = F.when(F.col("status") == "ok", F.transform("_pages", lambda p: p["result"]))
+    empty = F.array().cast(joined.select(page_results).schema[0].dataType)
     # Failed documents need one row only, whatever their page count.
     return (
         joined.filter("status = 'ok' or part_index = 0")
         .withColumn("part_count", F.when(F.col("status") == "ok", F.col("part_count")).otherwise(1))
-        .withColumn("_pages", F.when(ok, F.col("_pages")).otherwise(F.slice("_pages", 1, 0)))
-        .withColumn("results", F.coalesce(F.transform("_pages", lambda p: p["result"]), F.from_json(F.lit("[]"), _results_type(pages))))
+        .withColumn("results", F.coalesce(page_results, empty))
         .withColumn("usage", usage_struct())
         .drop("_pages")
     )
 
 
-def _results_type(pages: DataFrame) -> str:
-    side = pages.schema["width"].dataType.simpleString()
-    return (
-        "array<struct<raw_text: string, clean_text: string,"
-        " detections: array<struct<label: string, bbox_norm: array<double>, bbox: array<bigint>>>,"
-        f" has_eos: boolean, image_size: struct<width: {side}, height: {side}>>>"
-    )
-
-
 def result_lines(results: DataFrame) -> DataFrame:
     """Document results as JSON lines, with their sort columns.
 

@@ -172,24 +172,16 @@ def batch_errors(scored: DataFrame) -> DataFrame:
     )
 
 
-def spread_batch_errors(scored: DataFrame) -> DataFrame:
-    """Give every page of a failed batch the batch's error."""
-    errors = batch_errors(scored).withColumnRenamed("error", "_error")
-    return (
-        scored.join(errors, "batch_id", "left")
-        .withColumn("error", F.col("_error"))
-        .drop("_error")
-    )
-
-
 def document_status(docs: DataFrame, scored: DataFrame) -> DataFrame:
     """Documents with ``status``, ``error`` and ``first_failed_batch``.
 
     A document fails if it could not be rendered (``render_error``), has no
-    pages, or has a page in a failed batch; then the first such batch counts.
+    pages, or has a page in a batch where any page failed; then the first such
+    batch counts. Only page keys are joined with the failed batches.
     """
     failed = (
-        scored.filter("error is not null")
+        scored.select("document_index", "batch_id")
+        .join(batch_errors(scored), "batch_id")
         .groupBy("document_index")
         .agg(
             F.min("batch_id").alias("first_failed_batch"),
@@ -207,11 +199,14 @@ def document_status(docs: DataFrame, scored: DataFrame) -> DataFrame:
 
 
 def generated_pages(scored: DataFrame, status: DataFrame) -> DataFrame:
-    """Pages that were really generated: neither in a failed batch nor after one."""
+    """Pages that were really generated.
+
+    A page of a document's first failed batch, or of a later batch, was not.
+    """
     first = status.select("document_index", "page_count", "first_failed_batch")
     return (
         join_by_block(scored, first)
-        .filter("error is null and (first_failed_batch is null or batch_id < first_failed_batch)")
+        .filter("first_failed_batch is null or batch_id < first_failed_batch")
         .drop("first_failed_batch")
     )
 
@@ -230,6 +225,5 @@ def dropped_pages(pages: DataFrame, status: DataFrame) -> DataFrame:
 
 def failed_documents(scored: DataFrame) -> DataFrame:
     """Sorted distinct documents with a page in a failed batch."""
-    return (
-        scored.filter("error is not null").select("document_index").distinct().orderBy("document_index")
-    )
+    failed = scored.select("document_index", "batch_id").join(batch_errors(scored), "batch_id")
+    return failed.select("document_index").distinct().orderBy("document_index")

@@ -31,13 +31,11 @@ def score_corpus(
 
 
 def finished_pages(scored: DataFrame) -> DataFrame:
-    """Stored page results, with each batch's error on all its pages.
+    """Page results as a stored table.
 
-    Stored because status, usage and results read them, and the model must run
-    only once.
+    Status, usage and results read them, and the model must run only once.
     """
-    stored = materialize(scoring.page_results(scored), "page_results")
-    return scoring.spread_batch_errors(stored)
+    return materialize(scoring.page_results(scored), "page_results")
 
 
 def document_results(docs: DataFrame, scored: DataFrame) -> DataFrame:

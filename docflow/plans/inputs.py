@@ -16,7 +16,7 @@ from docflow import constants as C
 from docflow.operators.batching import page_batches
 from docflow.operators.pages import explode_pages, plan_tokens
 from docflow.operators.scoring import score_batches
-from docflow.session import new_folder, spread
+from docflow.session import materialize, new_folder, spread
 
 PAGE_CHARS = 1800
 BATCH_PAGES = 64
@@ -29,7 +29,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with page count and text. One in fifty has no pages."""
-    return spread(table(spark, folder, "documents"), "doc_id").select(
+    return spread(table(spark, folder, "documents")).select(
         F.col("doc_id").alias("document_index"),
         F.expr("concat(source, '/', lang, '/doc_', doc_id, '.pdf')").alias("document_path"),
         F.expr(
@@ -93,6 +93,14 @@ def outcomes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stored_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """Scored pages without their text, as a table: texts are read once."""
+    return materialize(
+        outcomes(spark, folder).drop("document_path", "chunk", "raw_text", "width", "height", "tiles_w", "tiles_h"),
+        "outcomes",
+    )
+
+
 MODEL_OUTPUT = T.StructType([
     T.StructField("raw_text", T.StringType()),
     T.StructField("output_tokens", T.LongType()),

@@ -321,7 +321,8 @@ def _status(spark, folder, scored=None):
 
 
 def _generated(spark, folder):
-    return scoring.generated_pages(inputs.outcomes(spark, folder), _status(spark, folder))
+    scored = inputs.stored_outcomes(spark, folder)
+    return scoring.generated_pages(scored, _status(spark, folder, scored))
 
 
 @query
@@ -331,7 +332,8 @@ def document_status(spark, folder):
 
 @query
 def generated_pages(spark, folder):
-    return _generated(spark, folder).select(*PAGE, "batch_id")
+    scored = inputs.outcomes(spark, folder)
+    return scoring.generated_pages(scored, _status(spark, folder)).select(*PAGE, "batch_id")
 
 
 @query
@@ -427,8 +429,10 @@ def document_results(spark, folder):
 @query
 def incomplete_documents(spark, folder):
     """Some page results are missing."""
-    outcomes = inputs.outcomes(spark, folder).filter("(document_index + page_index) % 31 <> 4")
-    summary = results.document_summary(_status(spark, folder), outcomes)
+    scored = inputs.stored_outcomes(spark, folder)
+    summary = results.document_summary(
+        _status(spark, folder, scored), scored.filter("(document_index + page_index) % 31 <> 4")
+    )
     return results.incomplete_documents(summary).select("document_index", "page_count", "pages_done")
 
 
@@ -446,7 +450,8 @@ def document_usage(spark, folder):
 
 
 def _summary(spark, folder):
-    return results.document_summary(_status(spark, folder), inputs.outcomes(spark, folder))
+    scored = inputs.stored_outcomes(spark, folder)
+    return results.document_summary(_status(spark, folder, scored), scored)
 
 
 @query
@@ -462,7 +467,7 @@ def generated_totals(spark, folder):
 def _corpus_metrics(spark, folder):
     """All one-row metrics side by side; the time is that of the stages."""
     docs = inputs.documents(spark, folder).drop("text")
-    return corpus.corpus_metrics(docs, inputs.outcomes(spark, folder))
+    return corpus.corpus_metrics(docs, inputs.stored_outcomes(spark, folder))
 
 
 @query

@@ -66,12 +66,10 @@ def task_count(spark: SparkSession) -> int:
     )
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Use all tasks for a table that comes in too few splits.
 
     Tables of many splits, so all large ones, stay as they are.
     """
     tasks = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= tasks:
-        return df
-    return df.repartition(tasks, key)
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)

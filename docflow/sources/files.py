@@ -99,40 +99,52 @@ REQUEST_SCHEMA = T.StructType([
 
 
 def parse_requests(df: DataFrame, body: str = "body") -> DataFrame:
-    """JSON request bodies with ``images``, ``prompt`` and ``error``.
+    """JSON request bodies as ``request``: ``struct<prompt, payloads, error>``.
 
     An image that is not base64 fails its whole request.
     """
-    parsed = F.from_json(F.col(body), REQUEST_SCHEMA, {"columnNameOfCorruptRecord": "_bad"})
-    read = df.withColumn("_request", parsed)
-    payloads = F.transform("_request.images", lambda text: F.try_to_binary(text, F.lit("base64")))
-    undecodable = F.exists("payloads", lambda payload: payload.isNull())
-    return (
-        read.withColumn("payloads", payloads)
-        .withColumn("prompt", or_default(F.col("_request.prompt"), C.DEFAULT_PROMPT))
-        .withColumn(
-            "error",
-            F.when(
-                F.col("_request").isNull() | F.col("_request._bad").isNotNull(),
-                F.lit(C.INVALID_JSON_ERROR),
-            )
-            .when(F.coalesce(F.size("payloads"), F.lit(0)) <= 0, F.lit(C.NO_IMAGES_ERROR))
-            .when(undecodable, F.lit("image is not base64")),
+
+    def checked(read: Column) -> Column:
+        payloads = F.transform(read["images"], lambda text: F.try_to_binary(text, F.lit("base64")))
+        error = (
+            F.when(read.isNull() | read["_bad"].isNotNull(), F.lit(C.INVALID_JSON_ERROR))
+            .when(F.coalesce(F.size(read["images"]), F.lit(0)) <= 0, F.lit(C.NO_IMAGES_ERROR))
+            .when(F.exists(payloads, lambda payload: payload.isNull()), F.lit("image is not base64"))
         )
-        .drop("_request")
-    )
+        return F.struct(
+            or_default(read["prompt"], C.DEFAULT_PROMPT).alias("prompt"),
+            payloads.alias("payloads"),
+            error.alias("error"),
+        )
+
+    read = F.from_json(F.col(body), REQUEST_SCHEMA, {"columnNameOfCorruptRecord": "_bad"})
+    return df.withColumn("request", F.get(F.transform(F.array(read), checked), F.lit(0)))
 
 
 def decode_requests(df: DataFrame, body: str = "body") -> DataFrame:
-    """One row per image of the accepted requests, ``page_index`` from 0."""
-    accepted = parse_requests(df, body).filter("error is null")
-    return accepted.select(
-        *[c for c in df.columns if c != body],
-        "prompt",
-        F.posexplode("payloads").alias("_at", "payload"),
-    ).select("*", F.col("_at").cast("bigint").alias("page_index")).drop("_at")
+    """One row per image of the accepted requests, ``page_index`` from 0.
+
+    Rejected requests are left out after the explode: a filter before it would
+    parse and decode every body a second time.
+    """
+    accepted = F.when(F.col("request.error").isNull(), F.col("request.payloads"))
+    return (
+        parse_requests(df, body)
+        .select(
+            *[c for c in df.columns if c != body],
+            "request.prompt",
+            F.posexplode_outer(accepted).alias("_at", "payload"),
+        )
+        .filter("payload is not null")
+        .withColumn("page_index", F.col("_at").cast("bigint"))
+        .drop("_at")
+    )
 
 
 def rejected_requests(df: DataFrame, body: str = "body") -> DataFrame:
     """Requests that were not accepted, with the reason."""
-    return parse_requests(df, body).filter("error is not null").drop("payloads", "prompt", body)
+    return (
+        parse_requests(df, body)
+        .select(*[c for c in df.columns if c != body], "request.error")
+        .filter("error is not null")
+    )
