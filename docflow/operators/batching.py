@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docflow import constants as C
 from docflow.operators.ordering import dense_position, join_by_block, running_offset
+from docflow.session import materialize
 
 # Arrivals handled by one task at a time.
 ARRIVAL_BLOCK = 65536
@@ -141,7 +142,8 @@ def bounded_batches(
         return rows.iloc[:own].assign(batch_id=opened + np.cumsum(opens) - 1)[[*fields, "batch_id"]]
 
     table = "block bigint, exits array<bigint>, counts array<bigint>"
-    summaries = seen.groupBy("block").applyInPandas(summarise, table)
+    # Read twice below, and one row stands for a whole block: kept as a table.
+    summaries = materialize(seen.groupBy("block").applyInPandas(summarise, table), "summaries")
     groups = summaries.groupBy(F.expr(f"block div {SUMMARY_GROUP}").alias("group"))
     top = (
         groups.applyInPandas(chain, table)

@@ -304,7 +304,8 @@ def snapshot_deltas(
     )
     in_block = Window.partitionBy(*keys, "_block").orderBy(order)
     return (
-        blocks.withColumn("_previous", F.lag(F.length(text)).over(in_block))
+        blocks.repartition(*keys, "_block")
+        .withColumn("_previous", F.lag(F.length(text)).over(in_block))
         .join(earlier, [*keys, "_block"])
         .withColumn(
             "delta",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,12 +30,12 @@ def score_corpus(
     return scoring.score_batches(ready, scorer, outputs, keep, make_scorer=make_scorer)
 
 
-def finished_pages(scored: DataFrame) -> DataFrame:
-    """Page results as a stored table.
+def finished_pages(scored: DataFrame, path: str | None = None) -> DataFrame:
+    """Page results as a stored table, at ``path`` or in the shared folder.
 
     Status, usage and results read them, and the model must run only once.
     """
-    return materialize(scoring.page_results(scored), "page_results")
+    return materialize(scoring.page_results(scored), "page_results", path)
 
 
 def document_results(docs: DataFrame, scored: DataFrame) -> DataFrame:
@@ -77,6 +77,7 @@ def corpus_metrics(docs: DataFrame, pages: DataFrame, elapsed_s: float | None =
 class CorpusOutput:
     """Folders written by :func:`run_corpus`."""
 
+    page_results: str
     results: str
     metrics: str
     batches: str
@@ -93,7 +94,7 @@ def run_corpus(
     batch_pages: int = C.DEFAULT_BATCH_PAGES,
     make_scorer: Callable[[], scoring.Scorer] | None = None,
 ) -> CorpusOutput:
-    """Score a corpus and write documents, metrics, batches and failures.
+    """Score a corpus and write page results, documents, metrics, batches and failures.
 
     ``docs`` has ``document_index``, ``document_path``, ``page_count``,
     ``render_s`` and optionally ``render_error``. Batches and failures grow
@@ -104,10 +105,10 @@ def run_corpus(
     scored = score_corpus(pages, docs, scorer, outputs, keep, batch_pages, make_scorer)
     if "preprocess_s" not in scored.columns:
         scored = scored.withColumn("preprocess_s", F.lit(0.0))
-    done = finished_pages(scored)
+    target = CorpusOutput(*[f"{folder}/{field.name}" for field in fields(CorpusOutput)])
+    done = finished_pages(scored, target.page_results)
     status = scoring.document_status(docs, done)
     summary = results.document_summary(status, done)
-    target = CorpusOutput(*[f"{folder}/{name}" for name in ("results", "metrics", "batches", "failures")])
     sinks.write_results(results.document_results(with_timings(summary, done), done), target.results)
     results.failures(status).write.json(target.failures)
     generated = scoring.generated_pages(done, status)

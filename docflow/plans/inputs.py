@@ -40,17 +40,40 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages with size and text, as a renderer would give them."""
-    docs = documents(spark, folder)
-    return explode_pages(docs).select(
+WIDTH = "400 + (document_index * 131 + page_index * 17) % 2600"
+HEIGHT = "500 + (document_index * 71 + page_index * 29) % 3000"
+# All pieces of a text in one pass; a substring per page would scan it anew.
+CHUNKS = f"regexp_extract_all(text, '(?s).{{1,{PAGE_CHARS}}}', 0)"
+
+
+def page_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages with their size. Texts are not read."""
+    return explode_pages(documents(spark, folder).drop("text")).select(
         "document_index",
         "document_path",
         "page_count",
         "page_index",
-        F.expr("400 + (document_index * 131 + page_index * 17) % 2600").alias("width"),
-        F.expr("500 + (document_index * 71 + page_index * 29) % 3000").alias("height"),
-        F.expr(f"substring(text, cast(page_index * {PAGE_CHARS} + 1 as int), {PAGE_CHARS})").alias("chunk"),
+        F.expr(WIDTH).alias("width"),
+        F.expr(HEIGHT).alias("height"),
+    )
+
+
+def pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages with size and text, as a renderer would give them."""
+    return (
+        documents(spark, folder)
+        .filter("page_count > 0")
+        .select("document_index", "document_path", "page_count", F.posexplode_outer(F.expr(CHUNKS)).alias("_at", "chunk"))
+        .withColumn("page_index", F.col("_at").cast("bigint"))
+        .select(
+            "document_index",
+            "document_path",
+            "page_count",
+            "page_index",
+            F.expr(WIDTH).alias("width"),
+            F.expr(HEIGHT).alias("height"),
+            "chunk",
+        )
     )
 
 
@@ -139,8 +162,8 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
 
 def requests(spark: SparkSession, folder: str) -> DataFrame:
     """JSON bodies with the pages of a document as base64 images; some are bad."""
-    images = f"""case when page_count = 0 then array() else transform(sequence(0L, page_count - 1),
-      p -> base64(encode(substring(text, cast(p * {PAGE_CHARS} + 1 as int), {PAGE_CHARS}), 'UTF-8'))) end"""
+    images = f"""case when page_count = 0 then array() else transform({CHUNKS},
+      chunk -> base64(encode(chunk, 'UTF-8'))) end"""
     good = f"""to_json(named_struct(
       'images', case when document_index % 19 = 5 then array_append({images}, '*not base64*') else {images} end,
       'prompt', case document_index % 3 when 0 then '<image>\\nFree OCR.' when 1 then '' end))"""
@@ -163,7 +186,7 @@ def image_payloads(spark: SparkSession, folder: str) -> DataFrame:
     flipped = "unhex(concat(substr(h, 7, 2), substr(h, 5, 2), substr(h, 3, 2), substr(h, 1, 2)))"
     little = {side: flipped.replace("h,", f"lpad(hex({side}), 8, '0'),") for side in ("width", "height")}
     bmp = f"concat(unhex('424D00000000000000003600000028000000'), {little['width']}, {little['height']})"
-    return pages(spark, folder).select(
+    return page_sizes(spark, folder).select(
         "document_index",
         "page_index",
         F.expr(
@@ -209,7 +232,7 @@ def figures(spark: SparkSession, folder: str) -> DataFrame:
       page_count, ', ', width, ')\\'], \\'line_type\\': [\\'--\\', \\'-\\'], \\'line_endpoint\\': [\\'A: (', document_index, ', ',
       page_index, ')\\', \\'B: (3.5, -4)\\']}, \\'Circle\\': {\\'circle_center\\': [\\'O: (', width, ', ', height,
       ')\\'], \\'radius\\': [', document_index, '.5]}}')"""
-    return pages(spark, folder).select("document_index", "page_index", F.expr(text).alias("figure"))
+    return page_sizes(spark, folder).select("document_index", "page_index", F.expr(text).alias("figure"))
 
 
 def snapshots(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.operators import batching, markup, metrics, pages, results, scoring
+from docflow.operators.ordering import document_blocks
 from docflow.plans import corpus, inputs
 from docflow.session import new_folder
 from docflow.sources import files, sinks
@@ -84,10 +85,10 @@ def metrics_json(spark, folder):
 
 @query
 def markdown_sink(spark, folder):
-    docs = inputs.documents(spark, folder).select("document_index", "document_path")
+    docs = document_blocks(inputs.documents(spark, folder).drop("text"))
     named = (
         markup.markdown_pages(inputs.ocr(spark, folder))
-        .join(docs, "document_index")
+        .join(docs, ["document_index", "part_index"])
         .select(sinks.pdf_outputs(F.col("document_path"))["markdown"].alias("out_name"), "part_index", "markdown")
     )
     target = new_folder(spark, "markdown")
@@ -115,7 +116,7 @@ def page_explode(spark, folder):
 @query
 def zero_page_docs(spark, folder):
     docs = inputs.documents(spark, folder).select("document_index", "document_path")
-    return pages.zero_page_docs(docs, inputs.pages(spark, folder))
+    return pages.zero_page_docs(docs, inputs.page_sizes(spark, folder))
 
 
 @query
@@ -129,7 +130,7 @@ def prompt_check(spark, folder):
 
 @query
 def page_pixels(spark, folder):
-    points = inputs.pages(spark, folder).select(
+    points = inputs.page_sizes(spark, folder).select(
         *PAGE, F.expr("width / 3").alias("width_pt"), F.expr("height / 4").alias("height_pt")
     )
     return pages.page_pixels(points, 200).select(*PAGE, "width", "height")
@@ -158,25 +159,25 @@ def over_budget_pages(spark, folder):
 
 @query
 def tile_plan(spark, folder):
-    return pages.plan_tiles(inputs.pages(spark, folder)).select(*PAGE, "width", "height", "tiles_w", "tiles_h")
+    return pages.plan_tiles(inputs.page_sizes(spark, folder)).select(*PAGE, "width", "height", "tiles_w", "tiles_h")
 
 
 @query
 def tile_ratios(spark, folder):
     """Pages per tiling, the unused candidates included."""
-    plan = pages.plan_tiles(inputs.pages(spark, folder))
+    plan = pages.plan_tiles(inputs.page_sizes(spark, folder))
     return pages.tiling_usage(plan)
 
 
 @query
 def tile_boxes(spark, folder):
-    boxes = pages.tile_boxes(pages.plan_tiles(inputs.pages(spark, folder)))
+    boxes = pages.tile_boxes(pages.plan_tiles(inputs.page_sizes(spark, folder)))
     return boxes.select(*PAGE, "tile_index", "left", "top", "right", "bottom")
 
 
 @query
 def image_tokens(spark, folder):
-    sized = inputs.pages(spark, folder)
+    sized = inputs.page_sizes(spark, folder)
     plain = pages.plan_tokens(sized, crop_mode=False).withColumnRenamed("image_tokens", "uncropped_tokens")
     return pages.plan_tokens(plain.drop("tiles_w", "tiles_h")).select(*PAGE, "image_tokens", "uncropped_tokens")
 
@@ -338,12 +339,12 @@ def generated_pages(spark, folder):
 
 @query
 def active_pages(spark, folder):
-    return scoring.active_pages(inputs.pages(spark, folder), _status(spark, folder)).select(*PAGE)
+    return scoring.active_pages(inputs.page_sizes(spark, folder), _status(spark, folder)).select(*PAGE)
 
 
 @query
 def dropped_pages(spark, folder):
-    return scoring.dropped_pages(inputs.pages(spark, folder), _status(spark, folder)).select(*PAGE)
+    return scoring.dropped_pages(inputs.page_sizes(spark, folder), _status(spark, folder)).select(*PAGE)
 
 
 @query
@@ -354,7 +355,7 @@ def failed_documents(spark, folder):
 @query
 def attach_outputs(spark, folder):
     outputs = inputs.ocr(spark, folder).select(*PAGE, "raw_text")
-    return scoring.attach_outputs(inputs.pages(spark, folder).select(*PAGE, "width", "height"), outputs)
+    return scoring.attach_outputs(inputs.page_sizes(spark, folder).select(*PAGE, "width", "height"), outputs)
 
 
 @query
@@ -362,7 +363,7 @@ def unmatched_outputs(spark, folder):
     outputs = inputs.ocr(spark, folder).select(
         "document_index", F.expr("if(page_index % 13 = 5, page_index + 100000, page_index)").alias("page_index")
     )
-    return scoring.unmatched_outputs(inputs.pages(spark, folder), outputs)
+    return scoring.unmatched_outputs(inputs.page_sizes(spark, folder), outputs)
 
 
 @query

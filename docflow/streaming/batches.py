@@ -41,9 +41,9 @@ def stream_bounded_batches(
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(parts)).sort_values([time, tie], ignore_index=True)
-        times = rows[time].to_numpy(dtype=np.int64)
-        ties = rows[tie].to_numpy(dtype=np.int64)
+        rows = np.concatenate([part[[time, tie]].to_numpy(dtype=np.int64) for part in parts])
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        times, ties = rows[:, 0], rows[:, 1]
         opened_at, opened_by = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
         at, by, count = state.get if state.exists else (0, 0, max_rows)
         i = 0
@@ -58,7 +58,7 @@ def stream_bounded_batches(
         state.update((at, by, count))
         closes_ms = (at + max_wait) // 1000 + 1
         state.setTimeoutTimestamp(max(closes_ms, state.getCurrentWatermarkMs() + 1))
-        yield rows.assign(opened_at=opened_at, opened_by=opened_by)[names]
+        yield pd.DataFrame(dict(zip(names, (group[0], times, ties, opened_at, opened_by))))
 
     fields = {f.name: f.dataType.simpleString() for f in arrivals.schema}
     return (
