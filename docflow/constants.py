@@ -30,7 +30,6 @@ DEFAULT_DPI = 144
 MAX_MODEL_LEN = 8192
 DEFAULT_BATCH_PAGES = 128
 DEFAULT_MAX_WAIT_MS = 150
-DEFAULT_QUEUE_PAGES = 512
 
 # Repetition check, (n-gram size, window) per setting
 REPETITION_SETTINGS = {"service": (20, 50), "image": (20, 90), "eval": (40, 90)}
@@ -58,5 +57,6 @@ ZERO_PAGES_ERROR = "document produced zero pages"
 UNKNOWN_ERROR = "unknown error"
 INVALID_JSON_ERROR = "Invalid JSON body."
 NO_IMAGES_ERROR = "No images provided."
-EMPTY_BODY_ERROR = "Empty request body."
+EMPTY_IMAGE_ERROR = "Empty request body. Send raw image bytes."
+EMPTY_PDF_ERROR = "Empty request body. Send raw PDF bytes."
 COUNT_MISMATCH_ERROR = "Model returned {outputs} outputs for {inputs} inputs."

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -56,7 +54,7 @@ def bounded_batches(
     df: DataFrame,
     time: str,
     tie: str,
-    max_wait: int,
+    max_wait: int = C.DEFAULT_MAX_WAIT_MS,
     max_rows: int = C.DEFAULT_BATCH_PAGES,
     key: str | None = None,
     block: int = ARRIVAL_BLOCK,

@@ -249,8 +249,8 @@ def repeats_of(
 
 def repeated_ngrams(
     df: DataFrame,
-    n: int = 20,
-    window: int = 50,
+    n: int = C.REPETITION_SETTINGS["service"][0],
+    window: int = C.REPETITION_SETTINGS["service"][1],
     whitelist: Collection[int] = C.REPETITION_WHITELIST,
     tokens: str = "token_ids",
     keys: Collection[str] = PAGE_KEYS,

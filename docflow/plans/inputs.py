@@ -173,10 +173,20 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def write_requests(spark: SparkSession, folder: str) -> str:
-    """Request bodies as files for a stream to read."""
-    target = new_folder(spark, "requests")
-    requests(spark, folder).repartition(4, "request_id").write.parquet(target)
+def raw_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw bodies, images and PDFs, some of them empty."""
+    return documents(spark, folder).select(
+        F.col("document_index").alias("request_id"),
+        F.expr("if(document_index % 2 = 0, 'pdf', 'image')").alias("kind"),
+        F.expr("if(document_index % 5 = 3, '<image>\\nFree OCR.', null)").alias("prompt"),
+        F.expr("case document_index % 13 when 2 then unhex('') when 5 then null else encode(text, 'UTF-8') end").alias("body"),
+    )
+
+
+def as_files(df: DataFrame, name: str) -> str:
+    """Rows as a folder of files for a stream to read."""
+    target = new_folder(df.sparkSession, name)
+    df.write.parquet(target)
     return target
 
 

@@ -395,6 +395,15 @@ QUERIES["metrics_json"] = """SELECT CAST(to_json({'cached_tokens': 0, 'documents
   'input_tokens': CAST(input_tokens AS BIGINT), 'output_tokens': CAST(output_tokens AS BIGINT), 'pages': CAST(pages AS BIGINT),
   'pages_per_second': pages_per_second, 'preprocess_s': preprocess_s, 'render_s': render_s, 'succeeded': succeeded,
   'tokens_per_second': tokens_per_second, 'total_tokens': CAST(total_tokens AS BIGINT)}) AS VARCHAR) AS value FROM corpus"""
+QUERIES["stream_snapshot_deltas"] = QUERIES["snapshot_deltas"]
+QUERIES["stream_scored_pages"] = """SELECT request_id, page_index, chunk AS raw_text,
+  CAST(len(string_split(chunk, ' ')) AS BIGINT) AS output_tokens, NULL::VARCHAR AS error
+FROM bodies JOIN pg ON request_id = document_index WHERE NOT broken AND NOT bad_image"""
+QUERIES["raw_requests"] = f"""SELECT document_index AS request_id, kind,
+  CASE WHEN document_index % 5 = 3 THEN '<image>' || chr(10) || 'Free OCR.'
+    ELSE '<image>' || chr(10) || '<|grounding|>Convert the document to markdown.' END AS prompt,
+  CASE WHEN document_index % 13 IN (2, 5) THEN CASE kind WHEN 'pdf' THEN '{C.EMPTY_PDF_ERROR}' ELSE '{C.EMPTY_IMAGE_ERROR}' END END AS error
+FROM (SELECT *, CASE WHEN document_index % 2 = 0 THEN 'pdf' ELSE 'image' END AS kind FROM docs)"""
 QUERIES["stream_pages"] = QUERIES["decode_batch_requests"]
 
 

@@ -13,6 +13,8 @@ from docflow.plans import corpus, inputs
 from docflow.session import new_folder
 from docflow.sources import files, sinks
 from docflow.streaming import batches as stream_batches
+from docflow.streaming import deltas as stream_deltas
+from docflow.streaming import runner
 from docflow.streaming import usage as stream_usage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +70,11 @@ def rejected_requests(spark, folder):
     return files.rejected_requests(inputs.requests(spark, folder))
 
 
+@query
+def raw_requests(spark, folder):
+    return files.check_raw_requests(inputs.raw_requests(spark, folder)).drop("body")
+
+
 @query
 def image_sizes(spark, folder):
     return files.payload_sizes(inputs.image_payloads(spark, folder), "payload").select(*PAGE, "width", "height", "error")
@@ -524,10 +531,38 @@ def request_batch_timing(spark, folder):
 # -- streams -----------------------------------------------------------------
 
 
+def _decoded_stream(spark, folder):
+    requests = inputs.as_files(inputs.requests(spark, folder), "requests")
+    bodies = runner.file_stream(spark, requests, "request_id bigint, body string", max_files=4)
+    return files.decode_requests(bodies).withColumn("payload", F.decode("payload", "UTF-8"))
+
+
 @query
 def stream_pages(spark, folder):
     """Request bodies read as a stream and decoded."""
-    return stream_usage.decoded_requests(spark, inputs.write_requests(spark, folder))
+    return runner.run_to_end(
+        _decoded_stream(spark, folder).select("request_id", "page_index", "prompt", "payload"), "pages"
+    )
+
+
+@query
+def stream_scored_pages(spark, folder):
+    """Request bodies read as a stream, decoded and scored."""
+    scored = scoring.score_stream_of_pages(
+        _decoded_stream(spark, folder), inputs.echo_model, inputs.MODEL_OUTPUT, ["request_id", "page_index"]
+    )
+    return runner.run_to_end(scored.drop("generate_s"), "scored")
+
+
+@query
+def stream_snapshot_deltas(spark, folder):
+    shots = inputs.snapshots(spark, folder)
+    stream = runner.file_stream(spark, inputs.as_files(shots, "snapshots"), shots.schema).withColumn(
+        "shown_at", F.timestamp_seconds(F.col("snapshot") + 1_700_000_000)
+    )
+    return runner.run_to_end(
+        stream_deltas.stream_snapshot_deltas(stream, PAGE, "snapshot", "full_text", "shown_at"), "deltas"
+    )
 
 
 @query

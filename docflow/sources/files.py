@@ -91,6 +91,18 @@ def payload_sizes(df: DataFrame, payload: str = "payload") -> DataFrame:
     )
 
 
+def check_raw_requests(df: DataFrame, body: str = "body", kind: str = "kind") -> DataFrame:
+    """Requests whose body is an image or, if ``kind`` is ``pdf``, a PDF.
+
+    Fills in the default prompt and adds ``error`` for an empty body.
+    """
+    empty = F.coalesce(F.octet_length(body), F.lit(0)) == 0
+    message = F.when(F.col(kind) == "pdf", C.EMPTY_PDF_ERROR).otherwise(C.EMPTY_IMAGE_ERROR)
+    return df.withColumn("prompt", or_default(F.col("prompt"), C.DEFAULT_PROMPT)).withColumn(
+        "error", F.when(empty, message)
+    )
+
+
 REQUEST_SCHEMA = T.StructType([
     T.StructField("images", T.ArrayType(T.StringType())),
     T.StructField("prompt", T.StringType()),

@@ -28,7 +28,8 @@ def stream_bounded_batches(
 
     ``time`` is in microseconds and ``event_time`` the same as a timestamp. The
     state of a queue is its open batch only; it is dropped once the watermark
-    has passed the end of its wait. One trigger holds no more rows of a queue
+    has passed the end of its wait. Spark drops arrivals that come more than
+    ``delay`` late. One trigger holds no more rows of a queue
     than the source admits, see ``file_stream``.
     """
     if max_rows < 1 or max_wait < 0:

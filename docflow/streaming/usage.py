@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.sources.files import decode_requests
 from docflow.streaming.runner import file_stream, run_to_end
 
 WINDOW = "1 hour"
@@ -48,12 +47,3 @@ def run_on_table(spark: SparkSession, folder: str) -> DataFrame:
         F.expr("event_id % 400").alias("output_tokens"),
     )
     return run_to_end(usage_by_window(pages, "finished_at", keys=("event_type",)), "usage_by_window")
-
-
-def decoded_requests(spark: SparkSession, folder: str) -> DataFrame:
-    """Request bodies from a folder, a file at a time, decoded to pages."""
-    bodies = file_stream(spark, folder, "request_id bigint, body string", max_files=1)
-    decoded = decode_requests(bodies).select(
-        "request_id", "page_index", "prompt", F.decode("payload", "UTF-8").alias("payload")
-    )
-    return run_to_end(decoded, "stream_pages")

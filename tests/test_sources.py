@@ -103,3 +103,13 @@ def test_markdown_folders(spark, tmp_path):
     sinks.write_markdown(df, str(tmp_path / "md"), folders=True)
     (path,) = (tmp_path / "md" / "out_name=a.mmd").glob("part-*")
     assert path.read_text(encoding="utf-8") == "é\nx\n"
+
+
+def test_raw_requests(spark):
+    df = spark.createDataFrame(
+        [("image", bytearray(b"x"), None), ("image", bytearray(), ""), ("pdf", None, "p")],
+        "kind string, body binary, prompt string",
+    )
+    rows = files.check_raw_requests(df).collect()
+    assert [r.error for r in rows] == [None, C.EMPTY_IMAGE_ERROR, C.EMPTY_PDF_ERROR]
+    assert [r.prompt for r in rows] == [C.DEFAULT_PROMPT, C.DEFAULT_PROMPT, "p"]

@@ -4,7 +4,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from docflow.streaming import batches, runner, usage
+from docflow.streaming import batches, deltas, runner, usage
 from tests.test_batching import arrivals, greedy
 
 SCHEMA = "k bigint, t bigint, id bigint"
@@ -69,3 +69,24 @@ def test_admission_limits(spark, tmp_path):
     )
     query.awaitTermination()
     assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [2, 2, 2, 2]
+
+
+@pytest.mark.parametrize("file_count", [1, 3])
+def test_snapshot_deltas_carry_the_length_over(spark, tmp_path, file_count):
+    folder = tmp_path / "snapshots"
+    text, rows = {0: "", 1: ""}, []
+    for step in range(12):
+        for key in text:
+            text[key] += f"é{key}{step}" * (step % 3)
+            rows.append((key, step, text[key]))
+    schema = "key bigint, step bigint, full string"
+    for i in range(file_count):
+        part = [r for r in rows if r[1] * file_count // 12 == i]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(folder))
+    stream = runner.file_stream(spark, str(folder), schema, max_files=1).withColumn(
+        "at", F.timestamp_seconds(F.col("step") + 1000)
+    )
+    got = runner.run_to_end(deltas.stream_snapshot_deltas(stream, ["key"], "step", "full", "at"), "deltas").collect()
+    assert {(r.key, r.step): r.delta for r in got} == {
+        (key, step): f"é{key}{step}" * (step % 3) for step in range(12) for key in text
+    }
