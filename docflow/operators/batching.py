@@ -98,9 +98,9 @@ def bounded_batches(
 
     def summarise(rows: pd.DataFrame) -> pd.DataFrame:
         rows, own, following = openings(rows)
-        exits = np.zeros(own + max_rows, dtype=np.int64)
-        counts = np.zeros(own + max_rows, dtype=np.int64)
-        exits[own:] = np.arange(max_rows)
+        exits = [0] * own + list(range(max_rows))
+        counts = [0] * (own + max_rows)
+        following = following.tolist()
         for i in range(own - 1, -1, -1):
             exits[i] = exits[following[i]]
             counts[i] = counts[following[i]] + 1

@@ -33,13 +33,21 @@ def stream_snapshot_deltas(
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(parts)).sort_values(order, ignore_index=True)
-        lengths = rows[text].str.len()
-        seen = lengths.shift(fill_value=state.get[0] if state.exists else 0)
-        state.update((int(lengths.iloc[-1]),))
-        last_ms = int(rows[event_time].iloc[-1].timestamp() * 1000)
+        rows = sorted(
+            (number, full, at)
+            for part in parts
+            for number, full, at in zip(part[order].tolist(), part[text].tolist(), part[event_time].tolist())
+        )
+        seen = state.get[0] if state.exists else 0
+        new = []
+        for _, full, _ in rows:
+            new.append(full[seen:])
+            seen = len(full)
+        state.update((seen,))
+        last_ms = int(rows[-1][2].timestamp() * 1000)
         state.setTimeoutTimestamp(max(last_ms + idle_ms, state.getCurrentWatermarkMs() + 1))
-        yield rows.assign(delta=[full[at:] for full, at in zip(rows[text], seen)])[names]
+        columns = (*([value] * len(rows) for value in group), [number for number, _, _ in rows], new)
+        yield pd.DataFrame(dict(zip(names, columns)))
 
     fields = {f.name: f.dataType.simpleString() for f in snapshots.schema}
     schema = ", ".join([f"{name} {fields[name]}" for name in names[:-1]] + ["delta string"])
