@@ -557,11 +557,9 @@ def stream_scored_pages(spark, folder):
 @query
 def stream_snapshot_deltas(spark, folder):
     shots = inputs.snapshots(spark, folder)
-    stream = runner.file_stream(spark, inputs.as_files(shots, "snapshots"), shots.schema).withColumn(
-        "shown_at", F.timestamp_seconds(F.col("snapshot") + 1_700_000_000)
-    )
+    stream = runner.file_stream(spark, inputs.as_files(shots, "snapshots"), shots.schema)
     return runner.run_to_end(
-        stream_deltas.stream_snapshot_deltas(stream, PAGE, "snapshot", "full_text", "shown_at"), "deltas"
+        stream_deltas.stream_snapshot_deltas(stream, PAGE, "snapshot", "full_text"), "deltas"
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docflow import constants as C
-from docflow.streaming.runner import file_stream, run_to_end
+from docflow.streaming.runner import run_to_end, table_stream
 
 
 def stream_bounded_batches(
@@ -19,18 +19,17 @@ def stream_bounded_batches(
     key: str,
     time: str,
     tie: str,
-    event_time: str,
     max_wait: int,
     max_rows: int = C.DEFAULT_BATCH_PAGES,
-    delay: str = "1 minute",
+    idle_ms: int = 3_600_000,
 ) -> DataFrame:
     """Give every arrival the opening of its batch, as the batch operator does.
 
-    ``time`` is in microseconds and ``event_time`` the same as a timestamp. The
-    state of a queue is its open batch only; it is dropped once the watermark
-    has passed the end of its wait. Spark drops arrivals that come more than
-    ``delay`` late. One trigger holds no more rows of a queue
-    than the source admits, see ``file_stream``.
+    ``time`` is in microseconds. No arrival is dropped: one that comes after a
+    later one joins the batch open then. The state of a queue is its open batch
+    only; it is dropped when nothing came for ``idle_ms`` of processing time. One
+    trigger holds no more rows of a queue than the source admits, see
+    ``file_stream``.
     """
     if max_rows < 1 or max_wait < 0:
         raise ValueError("max_rows must be at least 1 and max_wait at least 0")
@@ -57,33 +56,28 @@ def stream_bounded_batches(
             count += end - i
             i = end
         state.update((at, by, count))
-        closes_ms = (at + max_wait) // 1000 + 1
-        state.setTimeoutTimestamp(max(closes_ms, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(dict(zip(names, (group[0], times, ties, opened_at, opened_by))))
 
     fields = {f.name: f.dataType.simpleString() for f in arrivals.schema}
     return (
-        arrivals.withWatermark(event_time, delay)
-        .groupBy(key)
+        arrivals.groupBy(key)
         .applyInPandasWithState(
             assign,
             f"{key} {fields[key]}, {time} bigint, {tie} bigint, opened_at bigint, opened_by bigint",
             "opened_at bigint, opened_by bigint, taken int",
             "append",
-            GroupStateTimeout.EventTimeTimeout,
+            GroupStateTimeout.ProcessingTimeTimeout,
         )
     )
 
 
 def run_on_table(spark: SparkSession, folder: str, max_wait: int, max_rows: int) -> DataFrame:
     """The events table as a stream of arrivals, a queue per user."""
-    schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    arrivals = file_stream(spark, folder, schema, "events.parquet", max_files=1).select(
+    arrivals = table_stream(spark, f"{folder}/events.parquet", max_files=1).select(
         "event_id",
         "user_id",
         F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("queued_us"),
-    ).withColumn("queued_at", F.timestamp_micros("queued_us"))
-    batches = stream_bounded_batches(
-        arrivals, "user_id", "queued_us", "event_id", "queued_at", max_wait, max_rows
     )
+    batches = stream_bounded_batches(arrivals, "user_id", "queued_us", "event_id", max_wait, max_rows)
     return run_to_end(batches, "stream_bounded_batches")

@@ -16,15 +16,14 @@ def stream_snapshot_deltas(
     keys: Collection[str],
     order: str,
     text: str,
-    event_time: str,
-    delay: str = "1 minute",
     idle_ms: int = IDLE_MS,
 ) -> DataFrame:
     """Text of each snapshot beyond the length of the one before it.
 
-    The state of a key is one length; it is dropped once the watermark is
-    ``idle_ms`` past the last snapshot. Snapshots of a key must arrive in order
-    from trigger to trigger; Spark drops those that come behind the watermark.
+    The state of a key is one length; it is dropped when no snapshot came for
+    ``idle_ms`` of processing time. Within a trigger the snapshots of a key are
+    put in order; from trigger to trigger they must come in order. None is
+    dropped.
     """
     keys = list(keys)
     names = [*keys, order, "delta"]
@@ -33,26 +32,18 @@ def stream_snapshot_deltas(
         if state.hasTimedOut:
             state.remove()
             return
-        rows = sorted(
-            (number, full, at)
-            for part in parts
-            for number, full, at in zip(part[order].tolist(), part[text].tolist(), part[event_time].tolist())
-        )
-        seen = state.get[0] if state.exists else 0
-        new = []
-        for _, full, _ in rows:
-            new.append(full[seen:])
-            seen = len(full)
-        state.update((seen,))
-        last_ms = int(rows[-1][2].timestamp() * 1000)
-        state.setTimeoutTimestamp(max(last_ms + idle_ms, state.getCurrentWatermarkMs() + 1))
-        columns = (*([value] * len(rows) for value in group), [number for number, _, _ in rows], new)
+        rows = pd.concat([part[[order, text]] for part in parts]).sort_values(order, kind="stable")
+        full, lengths = rows[text].tolist(), rows[text].str.len().tolist()
+        starts = [state.get[0] if state.exists else 0, *lengths[:-1]]
+        state.update((lengths[-1],))
+        state.setTimeoutDuration(idle_ms)
+        new = [value[start:] for value, start in zip(full, starts)]
+        columns = (*([value] * len(rows) for value in group), rows[order].tolist(), new)
         yield pd.DataFrame(dict(zip(names, columns)))
 
     fields = {f.name: f.dataType.simpleString() for f in snapshots.schema}
     schema = ", ".join([f"{name} {fields[name]}" for name in names[:-1]] + ["delta string"])
     return (
-        snapshots.withWatermark(event_time, delay)
-        .groupBy(*keys)
-        .applyInPandasWithState(cut, schema, "seen bigint", "append", GroupStateTimeout.EventTimeTimeout)
+        snapshots.groupBy(*keys)
+        .applyInPandasWithState(cut, schema, "seen bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
     )

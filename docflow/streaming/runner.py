@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docflow.session import new_folder
 
@@ -29,6 +32,56 @@ def file_stream(
     return reader.load(folder)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.getFileStatus(place).isDirectory()
+
+
+def table_stream(spark: SparkSession, path: str, schema=None, **limits) -> DataFrame:
+    """A Parquet table as a stream, be it a folder of part files or one file.
+
+    A file source reads folders only, so a single file is its parent folder
+    with all other names left out.
+    """
+    schema = schema or spark.read.parquet(path).schema
+    if is_folder(spark, path):
+        return file_stream(spark, path, schema, **limits)
+    parent, _, name = path.rstrip("/").rpartition("/")
+    return file_stream(spark, parent, schema, name, **limits)
+
+
+def run_updates_to_end(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+    """Process all input that is there, in update mode; the last row of each key.
+
+    A trigger writes the keys it changed below its own number, so a trigger
+    that runs again after a failure replaces what it wrote.
+    """
+    spark = stream.sparkSession
+    target = new_folder(spark, name)
+
+    def upsert(rows: DataFrame, trigger: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{target}/trigger={trigger}")
+
+    running = (
+        stream.writeStream.foreachBatch(upsert)
+        .option("checkpointLocation", new_folder(spark, f"{name}_progress"))
+        .outputMode("update")
+        .trigger(availableNow=True)
+        .start()
+    )
+    running.awaitTermination()
+    if not any(progress["numInputRows"] for progress in running.recentProgress):
+        return spark.createDataFrame([], stream.schema)
+    changes = spark.read.option("basePath", target).parquet(f"{target}/trigger=*")
+    values = [c for c in stream.columns if c not in keys]
+    return (
+        changes.groupBy(*keys)
+        .agg(F.max_by(F.struct(*values), "trigger").alias("_last"))
+        .select(*[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in stream.columns])
+    )
+
+
 def run_to_end(stream: DataFrame, name: str) -> DataFrame:
     """Process all input that is there, in append mode, and read the output back."""
     spark = stream.sparkSession

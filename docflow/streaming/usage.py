@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.streaming.runner import file_stream, run_to_end
+from docflow.streaming.runner import run_updates_to_end, table_stream
 
 WINDOW = "1 hour"
-DELAY = "10 minutes"
 
 
 def usage_by_window(
-    pages: DataFrame, event_time: str, window: str = WINDOW, delay: str = DELAY, keys: tuple[str, ...] = ()
+    pages: DataFrame, event_time: str, window: str = WINDOW, keys: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Pages and tokens per time window. A window is final once the watermark passes it."""
+    """Pages and tokens per time window, for update mode.
+
+    There is no watermark: a late page updates its window, and the newest
+    window is there as soon as it has a page. State is one row per window and
+    keys; it is kept on disk by the state store the session sets.
+    """
     return (
-        pages.withWatermark(event_time, delay)
-        .groupBy(F.window(event_time, window).alias("_window"), *keys)
+        pages.groupBy(F.window(event_time, window).alias("_window"), *keys)
         .agg(
             F.count(F.lit(1)).alias("pages"),
             F.sum("input_tokens").alias("input_tokens"),
@@ -37,8 +40,7 @@ def usage_by_window(
 
 def run_on_table(spark: SparkSession, folder: str) -> DataFrame:
     """The events table as a stream of finished pages."""
-    schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    pages = file_stream(spark, folder, schema, "events.parquet", max_files=1).select(
+    pages = table_stream(spark, f"{folder}/events.parquet", max_files=1).select(
         F.timestamp_micros(
             F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
         ).alias("finished_at"),
@@ -46,4 +48,5 @@ def run_on_table(spark: SparkSession, folder: str) -> DataFrame:
         F.expr("257 + event_id % 865").alias("input_tokens"),
         F.expr("event_id % 400").alias("output_tokens"),
     )
-    return run_to_end(usage_by_window(pages, "finished_at", keys=("event_type",)), "usage_by_window")
+    usage = usage_by_window(pages, "finished_at", keys=("event_type",))
+    return run_updates_to_end(usage, "usage_by_window", ["window_start_us", "event_type"])

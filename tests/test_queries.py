@@ -8,9 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from docflow.plans import oracle, queries as registered
 
-QUERIES = entry_points.queries()
-SQL = entry_points.oracle_sql()
+QUERIES = registered.all_queries()
+SQL = oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +38,8 @@ def sorted_rows(columns, rows):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(SQL) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

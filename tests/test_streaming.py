@@ -10,10 +10,12 @@ from tests.test_batching import arrivals, greedy
 SCHEMA = "k bigint, t bigint, id bigint"
 
 
-def as_files(spark, tmp_path, rows, count):
-    """Rows cut by time into parquet files, oldest first."""
+def as_files(spark, tmp_path, rows, count, shuffled=False):
+    """Rows cut by time into parquet files, oldest first, or cut at random."""
     folder = tmp_path / f"in-{uuid.uuid4().hex}"
     rows = sorted(rows, key=lambda r: (r[1], r[2]))
+    if shuffled:
+        random.Random(1).shuffle(rows)
     size = -(-len(rows) // count)
     for i in range(count):
         part = spark.createDataFrame(rows[i * size : (i + 1) * size], SCHEMA)
@@ -26,10 +28,10 @@ def test_stream_batches_equal_table_batches(spark, tmp_path, file_count):
     # Microsecond times, 1 to 400 seconds apart.
     rows = [(k, t * 1_000_000, i) for k, t, i in arrivals(21, 400, 4, 40_000)]
     folder = as_files(spark, tmp_path, rows, file_count)
-    stream = runner.file_stream(spark, folder, SCHEMA, max_files=1).withColumn("at", F.timestamp_micros("t"))
+    stream = runner.file_stream(spark, folder, SCHEMA, max_files=1)
     wait = 600_000_000
     got = runner.run_to_end(
-        batches.stream_bounded_batches(stream, "k", "t", "id", "at", wait, 3), "batches"
+        batches.stream_bounded_batches(stream, "k", "t", "id", wait, 3), "batches"
     ).collect()
     expected = {
         (k, t, i): (batch[0][1], batch[0][2]) for batch in greedy(rows, wait, 3) for k, t, i in batch
@@ -38,24 +40,44 @@ def test_stream_batches_equal_table_batches(spark, tmp_path, file_count):
     assert len(got) == len(rows)
 
 
-def test_usage_by_window_is_final_behind_the_watermark(spark, tmp_path):
+def test_usage_by_window_counts_every_page(spark, tmp_path):
     rng = random.Random(4)
     rows = [(rng.randint(0, 1), rng.randint(0, 20_000) * 1_000_000, i) for i in range(500)]
-    folder = as_files(spark, tmp_path, rows, 3)
-    pages = runner.file_stream(spark, folder, SCHEMA, max_files=1).select(
+    folder = as_files(spark, tmp_path, rows, 4, shuffled=True)
+    pages = runner.table_stream(spark, folder, max_files=1).select(
         F.timestamp_micros("t").alias("at"), F.lit(2).alias("input_tokens"), F.lit(3).alias("output_tokens")
     )
-    got = runner.run_to_end(usage.usage_by_window(pages, "at", "1 hour", "10 minutes"), "usage").collect()
+    got = runner.run_updates_to_end(
+        usage.usage_by_window(pages, "at", "1 hour"), "usage", ["window_start_us"]
+    ).collect()
     hour = 3600 * 1_000_000
-    last = max(t for _, t, _ in rows) - 600 * 1_000_000
     expected = {}
     for _, t, _ in rows:
-        if (t // hour + 1) * hour <= last:
-            expected[t // hour * hour] = expected.get(t // hour * hour, 0) + 1
+        expected[t // hour * hour] = expected.get(t // hour * hour, 0) + 1
     assert {r.window_start_us: r.pages for r in got} == expected
     assert all(r.total_tokens == 5 * r.pages for r in got)
 
 
+def test_no_arrival_is_lost_in_any_order(spark, tmp_path):
+    rows = [(k, t * 1_000_000, i) for k, t, i in arrivals(22, 400, 4, 40_000)]
+    folder = as_files(spark, tmp_path, rows, 4, shuffled=True)
+    stream = runner.table_stream(spark, folder, max_files=1)
+    got = runner.run_to_end(
+        batches.stream_bounded_batches(stream, "k", "t", "id", 600_000_000, 3), "batches"
+    ).collect()
+    assert sorted((r.k, r.t, r.id) for r in got) == sorted(rows)
+
+
+def test_a_table_of_one_file_and_one_of_many(spark, tmp_path):
+    rows = [(0, i, i) for i in range(8)]
+    folder = as_files(spark, tmp_path, rows, 4)
+    one = next(str(p) for p in (tmp_path / folder).glob("part-*.parquet"))
+    counts = [
+        runner.run_to_end(runner.table_stream(spark, path, max_files=1), "table").count() for path in (folder, one)
+    ]
+    assert counts == [8, 2]
+
+
 def test_admission_limits(spark, tmp_path):
     with pytest.raises(ValueError):
         runner.file_stream(spark, str(tmp_path), SCHEMA, max_files=1, max_bytes="1m")
@@ -83,10 +105,8 @@ def test_snapshot_deltas_carry_the_length_over(spark, tmp_path, file_count):
     for i in range(file_count):
         part = [r for r in rows if r[1] * file_count // 12 == i]
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(folder))
-    stream = runner.file_stream(spark, str(folder), schema, max_files=1).withColumn(
-        "at", F.timestamp_seconds(F.col("step") + 1000)
-    )
-    got = runner.run_to_end(deltas.stream_snapshot_deltas(stream, ["key"], "step", "full", "at"), "deltas").collect()
+    stream = runner.file_stream(spark, str(folder), schema, max_files=1)
+    got = runner.run_to_end(deltas.stream_snapshot_deltas(stream, ["key"], "step", "full"), "deltas").collect()
     assert {(r.key, r.step): r.delta for r in got} == {
         (key, step): f"é{key}{step}" * (step % 3) for step in range(12) for key in text
     }
