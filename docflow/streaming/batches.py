@@ -21,13 +21,12 @@ def stream_bounded_batches(
     tie: str,
     max_wait: int,
     max_rows: int = C.DEFAULT_BATCH_PAGES,
-    idle_ms: int = 3_600_000,
 ) -> DataFrame:
     """Give every arrival the opening of its batch, as the batch operator does.
 
     ``time`` is in microseconds. No arrival is dropped: one that comes after a
     later one joins the batch open then. The state of a queue is its open batch
-    only; it is dropped when nothing came for ``idle_ms`` of processing time. One
+    only, three numbers, kept without expiry by the session's state store. One
     trigger holds no more rows of a queue than the source admits, see
     ``file_stream``.
     """
@@ -38,9 +37,6 @@ def stream_bounded_batches(
     def assign(
         group: tuple, parts: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         rows = np.concatenate([part[[time, tie]].to_numpy(dtype=np.int64) for part in parts])
         rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
         times, ties = rows[:, 0], rows[:, 1]
@@ -56,7 +52,6 @@ def stream_bounded_batches(
             count += end - i
             i = end
         state.update((at, by, count))
-        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(dict(zip(names, (group[0], times, ties, opened_at, opened_by))))
 
     fields = {f.name: f.dataType.simpleString() for f in arrivals.schema}
@@ -67,7 +62,7 @@ def stream_bounded_batches(
             f"{key} {fields[key]}, {time} bigint, {tie} bigint, opened_at bigint, opened_by bigint",
             "opened_at bigint, opened_by bigint, taken int",
             "append",
-            GroupStateTimeout.ProcessingTimeTimeout,
+            GroupStateTimeout.NoTimeout,
         )
     )
 

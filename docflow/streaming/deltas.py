@@ -8,20 +8,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-IDLE_MS = 3_600_000
-
 
 def stream_snapshot_deltas(
     snapshots: DataFrame,
     keys: Collection[str],
     order: str,
     text: str,
-    idle_ms: int = IDLE_MS,
 ) -> DataFrame:
     """Text of each snapshot beyond the length of the one before it.
 
-    The state of a key is one length; it is dropped when no snapshot came for
-    ``idle_ms`` of processing time. Within a trigger the snapshots of a key are
+    The state of a key is one length, kept without expiry by the session's
+    state store. Within a trigger the snapshots of a key are
     put in order; from trigger to trigger they must come in order. None is
     dropped.
     """
@@ -29,14 +26,10 @@ def stream_snapshot_deltas(
     names = [*keys, order, "delta"]
 
     def cut(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         rows = pd.concat([part[[order, text]] for part in parts]).sort_values(order, kind="stable")
         full, lengths = rows[text].tolist(), rows[text].str.len().tolist()
         starts = [state.get[0] if state.exists else 0, *lengths[:-1]]
         state.update((lengths[-1],))
-        state.setTimeoutDuration(idle_ms)
         new = [value[start:] for value, start in zip(full, starts)]
         columns = (*([value] * len(rows) for value in group), rows[order].tolist(), new)
         yield pd.DataFrame(dict(zip(names, columns)))
@@ -45,5 +38,5 @@ def stream_snapshot_deltas(
     schema = ", ".join([f"{name} {fields[name]}" for name in names[:-1]] + ["delta string"])
     return (
         snapshots.groupBy(*keys)
-        .applyInPandasWithState(cut, schema, "seen bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        .applyInPandasWithState(cut, schema, "seen bigint", "append", GroupStateTimeout.NoTimeout)
     )
