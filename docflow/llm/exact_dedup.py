@@ -32,6 +32,8 @@ SPACE = " \t\n\x0b\x0c\r"
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # No space set aside in advance: every partition has a store of its own.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     # All state stores of an executor share this much memory; the rest is on disk.
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
