@@ -1,18 +1,55 @@
-"""The corpus pipeline; its stages follow as their operators are built."""
+"""The corpus pipeline: clean, deduplicate, decontaminate, mix, shard."""
 
 from __future__ import annotations
 
-from docflow.llm import mixing, sharding
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docflow.llm import decontamination, mixing, ngram_join, sharding, toxicity
+from docflow.session import materialize
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below the limit."""
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each group of near copies."""
+    found = ngram_join.jaccard_components(docs, 80)
+    others = found.filter("doc_id <> component_id").select("doc_id")
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.repeat_documents(docs)
+
+
+def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and place of each row."""
+    return sharding.shard(docs, 24).withColumn("law", F.lit("bytes"))
+
 
 STAGES = [
-    ("mixing", lambda spark, docs, sf_dir: mixing.repeat_documents(docs)),
-    ("sharding", lambda spark, docs, sf_dir: sharding.shard(docs)),
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("benchmark_decontamination", drop_leaks),
+    ("mixing", mix_sources),
+    ("sharding", into_shards),
 ]
+# A trained classifier is not SQL; tests/llm checks the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents; what one keeps is stored for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm import exact_dedup, mixing, sharding
+from docflow.llm import decontamination, exact_dedup, mixing, ngram_join, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_toxicity(spark, folder):
+    """Toxicity of every text; fold 2 of the labels is never learnt from."""
+    found = toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.select(
+        "doc_id",
+        (toxicity.fold() == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "threshold",
+        "flagged",
+    )
+
+
 def op4_mixing(spark, folder):
     """Sources mixed to their weights."""
     return mixing.mix(table(spark, folder, "documents")).select(
@@ -36,6 +49,16 @@ def op5_sharding(spark, folder):
     )
 
 
+def op8_ngram_join(spark, folder):
+    """Components of documents whose shingle sets are near equal."""
+    return ngram_join.jaccard_components(table(spark, folder, "documents"), 80)
+
+
+def op9_decontamination(spark, folder):
+    """Benchmark items found in documents, with their edit distance."""
+    return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op10_exact_dedup(spark, folder):
     """Rows of equal text, and the one that stays."""
     return exact_dedup.exact_dedup(spark, f"{folder}/documents.parquet")
@@ -52,10 +75,24 @@ def all_queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_mixing": OP4,
+        "op8_ngram_join": OP8,
         "op10_exact_dedup": OP10,
     }
 
 
+OP8 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN w ELSE w[i:i + 4] END AS g
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+r AS (SELECT a AS id, a AS root FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id),
+c AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.root, d.doc_id) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.id = d.doc_id"""
+
 OP10 = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars,
   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
