@@ -172,12 +172,16 @@ def without_leaks(
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
     out = docs
     for block in item_blocks(benchmark, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        out = out.filter(_clean(docs.sparkSession.sparkContext.broadcast(block), per_error)("text"))
+    return out
 
-        def clean(parts: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            matcher = Matcher(shared.value, per_error)
-            for part in parts:
-                yield pd.Series(np.fromiter((not matcher.find(t) for t in part), bool, len(part)))
 
-        out = out.filter(F.pandas_udf(clean, "boolean")("text"))
-    return out
+def _clean(shared, per_error: int):
+    """Whether a text holds no item of the block."""
+
+    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(shared.value, per_error)
+        for part in parts:
+            yield pd.Series(np.fromiter((not matcher.find(t) for t in part), bool, len(part)))
+
+    return F.pandas_udf(clean, "boolean")

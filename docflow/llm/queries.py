@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm import decontamination, exact_dedup, mixing, ngram_join, sharding, toxicity
+from docflow.llm import (
+    decontamination,
+    exact_dedup,
+    licenses,
+    mixing,
+    ngram_join,
+    sharding,
+    token_counts,
+    toxicity,
+)
+from docflow.session import materialize, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +39,11 @@ def op2_toxicity(spark, folder):
     )
 
 
+def op3_license_scan(spark, folder):
+    """Licence phrases and notices in every text."""
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def op4_mixing(spark, folder):
     """Sources mixed to their weights."""
     return mixing.mix(table(spark, folder, "documents")).select(
@@ -49,6 +64,46 @@ def op5_sharding(spark, folder):
     )
 
 
+def op6_token_counts(spark, folder, tokenizers=token_counts.TOKENIZER_FOLDER):
+    """Token totals after three batches: all documents come, the later rows of
+    equal texts go, and what is not English is counted anew by another version."""
+    docs = table(spark, folder, "documents")
+    first = token_counts.tokens(f"{tokenizers}/byte_bpe_50k.tiktoken")
+    second = token_counts.tokens(f"{tokenizers}/byte_bpe_multi_50k.tiktoken")
+    counts = materialize(
+        docs.select(
+            "doc_id",
+            "source",
+            "lang",
+            F.sha2("text", 256).alias("_digest"),
+            first("text").alias("tokens"),
+        ),
+        "counts",
+    ).withColumn("version", F.lit("byte_bpe_50k"))
+    stay = counts.groupBy("_digest").agg(F.min("doc_id").alias("_stays"))
+    ledger = materialize(
+        counts.join(stay, "_digest", "left").withColumn(
+            "_gone", F.coalesce(F.col("doc_id") != F.col("_stays"), F.lit(False))
+        ),
+        "ledger",
+    )
+    anew = docs.filter("lang <> 'en'").select(
+        "source", "lang", F.lit("byte_bpe_multi_50k").alias("version"), second("text").alias("tokens"), "doc_id"
+    )
+    gone = ledger.filter("_gone")
+    rollup = token_counts.Rollup(spark, new_folder(spark, "rollup"))
+    rollup.commit(1, token_counts.inserted(counts))
+    rollup.commit(2, token_counts.deleted(gone))
+    rollup.commit(
+        3,
+        token_counts.revised(
+            ledger.filter("lang <> 'en' and not _gone"),
+            anew.join(gone.select("doc_id"), "doc_id", "left_anti"),
+        ),
+    )
+    return rollup.totals()
+
+
 def op8_ngram_join(spark, folder):
     """Components of documents whose shingle sets are near equal."""
     return ngram_join.jaccard_components(table(spark, folder, "documents"), 80)
