@@ -14,6 +14,7 @@ from docflow.llm import (
     mixing,
     ngram_join,
     sharding,
+    suffix_dedup,
     token_counts,
     toxicity,
 )
@@ -104,6 +105,11 @@ def op6_token_counts(spark, folder, tokenizers=token_counts.TOKENIZER_FOLDER):
     return rollup.totals()
 
 
+def op7_suffix_dedup(spark, folder):
+    """Bytes of strings of 50 bytes that an earlier document has, taken out."""
+    return suffix_dedup.remove_repeated(table(spark, folder, "documents"))
+
+
 def op8_ngram_join(spark, folder):
     """Components of documents whose shingle sets are near equal."""
     return ngram_join.jaccard_components(table(spark, folder, "documents"), 80)
