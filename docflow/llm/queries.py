@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.llm import (
+    compact_windows,
     decontamination,
     exact_dedup,
     licenses,
@@ -27,6 +28,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_compact_windows(spark, folder):
+    """Passages of 50 words and more that an earlier document has, near equal."""
+    return compact_windows.near_duplicate_passages(table(spark, folder, "documents"))
+
+
 def op2_toxicity(spark, folder):
     """Toxicity of every text; fold 2 of the labels is never learnt from."""
     found = toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
