@@ -6,10 +6,14 @@
    By the size bound only the first n - ceil(t n) + 1 shingles of a set of n,
    in one order for all sets, need to be in it: two sets within the threshold
    t share one of them. The order is by how often a shingle's hash bucket
-   occurs in the corpus, rarest first, so that frequent passages stay out. In
-   a block, rows that share a column and whose sizes allow a link are chained;
-   the chains of all blocks give clusters, outside of which no link exists.
-3. In a cluster the product of whole rows is taken in tiles of at most
+   occurs in the corpus, rarest first, so that frequent passages stay out.
+3. Rows that share a column and whose sizes allow a link are compared by their
+   sketches, the parities of a set's members in 1024 classes: two sets differ
+   in at least as many members as sketches in bits, so no link is lost. Columns
+   of few rows give pairs, each of which is compared once; in the others rows
+   are reached from one another. What may be linked makes clusters, outside of
+   which no link exists.
+4. In a cluster the product of whole rows is taken in tiles of at most
    ``TILE_ROWS`` documents a side: one row at a time is multiplied with those
    not yet reached, overlaps are accumulated, pairs below the bound of their
    sizes are discarded, and what is linked is reached next. So the links of a
@@ -37,7 +41,10 @@ from docflow.session import materialize
 COUNT_BITS = 18
 COUNT_PARTS = 64
 BLOCK_ENTRIES = 1 << 20
-TILE_ROWS = 4096
+TILE_ROWS = 2048
+SKETCH_BITS = 1024
+# Columns of up to so many rows give pairs.
+FEW_ROWS = 32
 BIN_BYTES = 8 << 20
 
 
@@ -73,7 +80,7 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
 
 
 def feature_rows(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """doc_id, size of the set, its signature, and its first shingles."""
+    """doc_id, size of the set, its signature, its first shingles, and its sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,14 +96,16 @@ def feature_rows(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame
                     n = len(own)
                     keep = n - (percent * n + 99) // 100 + 1 if n else 0
                     order = np.argsort(common[own >> np.uint64(64 - COUNT_BITS)], kind="stable")[:keep]
+                    parity = np.bincount((own & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+                    sketch = np.packbits(parity.astype(np.uint8)).view(np.int64)
                     signs = own.sum(dtype=np.uint64), np.bitwise_xor.reduce(words.mix(own ^ np.uint64(n)))
-                    rows.append((n, *(int(np.int64(s)) if s < 1 << 63 else int(s) - (1 << 64) for s in map(int, signs)), own[order].tobytes()))
-                out = pd.DataFrame(rows, columns=["n", "sign", "sign2", "first"])
+                    rows.append((n, *(int(np.int64(s)) if s < 1 << 63 else int(s) - (1 << 64) for s in map(int, signs)), own[order].tobytes(), sketch))
+                out = pd.DataFrame(rows, columns=["n", "sign", "sign2", "first", "sketch"])
                 out.insert(0, "doc_id", ids.iloc[first : first + len(group)].to_numpy())
                 yield out
 
     return docs.select("doc_id", "text").mapInPandas(
-        features, "doc_id long, n long, sign long, sign2 long, first binary"
+        features, "doc_id long, n long, sign long, sign2 long, first binary, sketch array<bigint>"
     )
 
 
@@ -127,22 +136,64 @@ def in_blocks(rows: DataFrame, blocks: int) -> DataFrame:
     return rows.mapInPandas(cut, "block long, entries binary")
 
 
-def chains(percent: int):
-    """For each block: rows that share a column and may be linked by their sizes."""
+def candidates(percent: int):
+    """For each block: pairs (a, b) from columns of few rows, members (a, column) of the others."""
 
-    def chain(part: pd.DataFrame) -> pd.DataFrame:
+    def find(part: pd.DataFrame) -> pd.DataFrame:
         pieces = [(e, len(e) // 16) for e in part["entries"]]
         row = np.concatenate([np.frombuffer(e, np.int64, m) for e, m in pieces])
         column = np.concatenate([np.frombuffer(e, np.uint32, m, 8 * m) for e, m in pieces])
         size = np.concatenate([np.frombuffer(e, np.uint32, m, 12 * m) for e, m in pieces]).astype(np.int64)
         order = np.lexsort((size, column))
         row, column, size = row[order], column[order], size[order]
-        near = (column[1:] == column[:-1]) & (100 * size[:-1] >= percent * size[1:]) & (row[1:] != row[:-1])
-        a, b = row[:-1][near], row[1:][near]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+        # Only rows with a neighbour that their size allows; columns split where none is.
+        near = (column[1:] == column[:-1]) & (100 * size[:-1] >= percent * size[1:])
+        run = np.concatenate([[0], np.cumsum(~near)]) if len(row) else np.zeros(0, np.int64)
+        rows_of = np.bincount(run)[run] if len(row) else run
+        few = (rows_of > 1) & (rows_of <= FEW_ROWS)
+        r, o, s = row[few], run[few], size[few]
+        found = [np.zeros((2, 0), np.int64)]
+        for apart in range(1, FEW_ROWS):
+            pair = (o[apart:] == o[:-apart]) & (100 * s[:-apart] >= percent * s[apart:]) & (r[apart:] != r[:-apart])
+            if not pair.any():
+                break
+            a, b = r[:-apart][pair], r[apart:][pair]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+        pairs = np.unique(np.concatenate(found, 1), axis=1)
+        many = rows_of > FEW_ROWS
+        runs = (int(part["block"].iloc[0]) << 32) + run[many]
+        return pd.DataFrame(
+            {
+                "a": np.concatenate([pairs[0], row[many]]),
+                "b": pd.array(np.concatenate([pairs[1], row[many]]), "Int64"),
+                "run": pd.array(np.concatenate([np.full(len(pairs[0]), -1), runs]), "Int64"),
+            }
+        )
+
+    return find
+
+
+def may_link(percent: int):
+    """For the members of columns: each with the one from which its sketch is reached."""
 
-    return chain
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, rows in part.groupby("run", sort=False):
+            ids, sizes = rows["a"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+            sketches = np.stack(rows["sketch"].to_list()).astype(np.int64).view(np.uint64)
+            alive = np.arange(len(ids))
+            while len(alive):
+                waiting, alive = [alive[0]], alive[1:]
+                while waiting and len(alive):
+                    u = waiting.pop()
+                    bits = np.bitwise_count(sketches[alive] ^ sketches[u]).sum(1, dtype=np.int64)
+                    hit = (100 + percent) * bits <= (100 - percent) * (sizes[alive] + sizes[u])
+                    out.extend((ids[u], ids[v]) for v in alive[hit])
+                    waiting.extend(alive[hit])
+                    alive = alive[~hit]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return walk
 
 
 def reach(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -211,16 +262,36 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     classes = materialize(
         rows.filter("n > 0 and doc_id is not null")
         .groupBy("sign", "sign2", "n")
-        .agg(F.min("doc_id").alias("rep"), F.first("first").alias("first")),
+        .agg(F.min("doc_id").alias("rep"), F.first("first").alias("first"), F.first("sketch").alias("sketch")),
         "classes",
     )
     entries = classes.agg(F.sum(F.octet_length("first") / 8)).first()[0] or 0
     blocks = int(entries // BLOCK_ENTRIES) + 1
-    edges = (
+    found = materialize(
         in_blocks(classes.select("rep", "n", "first"), blocks)
         .groupBy("block")
-        .applyInPandas(chains(percent), "a long, b long")
+        .applyInPandas(candidates(percent), "a long, b long, run long"),
+        "candidates",
+    )
+    sketches = classes.select("rep", "n", "sketch")
+    left = sketches.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+    right = sketches.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+    pairs = (
+        found.filter("run < 0").select("a", "b").distinct().join(left, "a").join(right, "b")
+        .filter(
+            F.expr("aggregate(zip_with(s_a, s_b, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)") * (100 + percent)
+            <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+        )
+        .select("a", "b")
+    )
+    members = found.filter("run >= 0").select("a", "run").distinct()
+    reached = (
+        members.join(left.select("a", F.col("n_a").alias("n"), F.col("s_a").alias("sketch")), "a")
+        .withColumn("_bin", F.expr(f"pmod(xxhash64(run), {blocks * 4})"))
+        .groupBy("_bin")
+        .applyInPandas(may_link(percent), "a long, b long")
     )
+    edges = pairs.union(reached)
     clusters = components(edges)
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("_rows"))
     placed = (
