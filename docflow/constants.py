@@ -60,3 +60,5 @@ NO_IMAGES_ERROR = "No images provided."
 EMPTY_IMAGE_ERROR = "Empty request body. Send raw image bytes."
 EMPTY_PDF_ERROR = "Empty request body. Send raw PDF bytes."
 COUNT_MISMATCH_ERROR = "Model returned {outputs} outputs for {inputs} inputs."
+# Text of our own: page results found, and pages of the document.
+MISSING_PAGES_ERROR = "%d of %d pages"

@@ -123,18 +123,16 @@ def document_results(summary: DataFrame, pages: DataFrame, block: int = PAGE_BLO
 def result_lines(results: DataFrame) -> DataFrame:
     """Document results as JSON lines, with their sort columns.
 
-    Null fields are left out, so ``error`` shows on failed documents only, and
-    the part numbers only on documents of several parts.
+    Null fields are left out, so ``error`` shows on failed documents only.
     """
-    several = F.col("part_count") > 1
     fields = [
         F.col("document_index"),
         F.col("document_path"),
         F.col("status"),
         F.col("error"),
         F.col("page_count"),
-        F.when(several, F.col("part_index")).alias("part_index"),
-        F.when(several, F.col("part_count")).alias("part_count"),
+        F.col("part_index"),
+        F.col("part_count"),
         F.col("results"),
         F.col("usage"),
     ]

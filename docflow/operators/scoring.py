@@ -5,13 +5,16 @@ from __future__ import annotations
 import sys
 import time
 import types
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from docflow import constants as C
 from docflow.functions import markup
@@ -19,36 +22,49 @@ from docflow.operators.ordering import join_by_block
 from docflow.session import task_count
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
+# Integers with nulls stay integers on the way back to Spark.
+_NULLABLE = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype(), pa.bool_(): pd.BooleanDtype()}
 
 
-def worker_object(name: str, build: Callable[[], Any]) -> Any:
-    """An object built once per Python worker, such as a loaded model.
+def worker_object(name: str, build: Callable[[], Any], version: str = "") -> Any:
+    """An object built once per Python worker and version, such as a loaded model.
 
     The package travels with the task, so its own globals start anew each
-    time; the cache therefore lives in a module of the worker process.
+    time; the cache therefore lives in a module of the worker process. A worker
+    outlives a job, so callers give a version; only the newest is kept.
     """
     cache = sys.modules.setdefault("_docflow_worker", types.ModuleType("_docflow_worker"))
-    if not hasattr(cache, name):
-        setattr(cache, name, build())
-    return getattr(cache, name)
+    held = getattr(cache, name, None)
+    if held is None or held[0] != version:
+        held = (version, build())
+        setattr(cache, name, held)
+    return held[1]
 
 
-def _run_scorer(rows: pd.DataFrame, scorer: Scorer, outputs: list[str]) -> pd.DataFrame:
-    """Score one batch. An exception or a wrong number of outputs fails it as a whole."""
+def _run_scorer(rows: pd.DataFrame, scorer: Scorer, outputs: T.StructType) -> pd.DataFrame:
+    """Score one batch. Any error of the scorer or its outputs fails it as a whole.
+
+    The outputs are converted to the declared types here, so a missing column
+    or a wrong type is an error of this batch too.
+    """
     started = time.perf_counter()
     error = None
-    scored = None
+    columns: dict[str, Any] = {}
     try:
         scored = scorer(rows)
         if len(scored) != len(rows):
             error = C.COUNT_MISMATCH_ERROR.format(outputs=len(scored), inputs=len(rows))
+        else:
+            arrow = to_arrow_schema(outputs)
+            for field in arrow:
+                values = pa.Array.from_pandas(scored[field.name], type=field.type)
+                columns[field.name] = values.to_pandas(types_mapper=_NULLABLE.get)
     except Exception as exc:  # noqa: BLE001 - any model error is data here
-        error = str(exc) or C.UNKNOWN_ERROR
+        error = f"missing output {exc}" if isinstance(exc, KeyError) else str(exc) or C.UNKNOWN_ERROR
     kept = rows.reset_index(drop=True)
-    if error is None:
-        columns = {name: scored[name].to_numpy() for name in outputs}
-    else:
-        columns = {name: [None] * len(kept) for name in outputs}
+    if error is not None:
+        columns = {name: [None] * len(kept) for name in outputs.fieldNames()}
+    columns = {name: pd.Series(values).reset_index(drop=True) for name, values in columns.items()}
     return kept.assign(**columns, error=error, generate_s=time.perf_counter() - started)
 
 
@@ -77,12 +93,12 @@ def score_batches(
     """
     schema = _scored_schema(pages, keep, outputs)
     names = schema.fieldNames()
-    output_names = outputs.fieldNames()
+    version = uuid.uuid4().hex
 
     def score(rows: pd.DataFrame) -> pd.DataFrame:
-        run = worker_object("scorer", make_scorer) if make_scorer else scorer
+        run = worker_object("scorer", make_scorer, version) if make_scorer else scorer
         ordered = rows.sort_values(["document_index", "page_index"])
-        return _run_scorer(ordered, run, output_names)[names]
+        return _run_scorer(ordered, run, outputs)[names]
 
     return (
         pages.repartition(partitions or task_count(pages.sparkSession), "batch_id")
@@ -108,18 +124,18 @@ def score_stream_of_pages(
         raise ValueError("batch_pages must be at least 1")
     schema = _scored_schema(pages, keep, outputs)
     names = schema.fieldNames()
-    output_names = outputs.fieldNames()
+    version = uuid.uuid4().hex
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run = worker_object("scorer", make_scorer) if make_scorer else scorer
+        run = worker_object("scorer", make_scorer, version) if make_scorer else scorer
         waiting: pd.DataFrame | None = None
         for part in parts:
             waiting = part if waiting is None else pd.concat([waiting, part], ignore_index=True)
             while len(waiting) >= batch_pages:
-                yield _run_scorer(waiting.iloc[:batch_pages], run, output_names)[names]
+                yield _run_scorer(waiting.iloc[:batch_pages], run, outputs)[names]
                 waiting = waiting.iloc[batch_pages:]
         if waiting is not None and len(waiting):
-            yield _run_scorer(waiting, run, output_names)[names]
+            yield _run_scorer(waiting, run, outputs)[names]
 
     return pages.mapInPandas(score, schema)
 
@@ -176,8 +192,8 @@ def document_status(docs: DataFrame, scored: DataFrame) -> DataFrame:
     """Documents with ``status``, ``error`` and ``first_failed_batch``.
 
     A document fails if it could not be rendered (``render_error``), has no
-    pages, or has a page in a batch where any page failed; then the first such
-    batch counts. Only page keys are joined with the failed batches.
+    pages, has a page in a batch where any page failed (then the first such
+    batch counts), or lacks the result of a page. Only page keys are joined with the failed batches.
     """
     failed = (
         scored.select("document_index", "batch_id")
@@ -188,13 +204,20 @@ def document_status(docs: DataFrame, scored: DataFrame) -> DataFrame:
             F.min_by("error", "batch_id").alias("_batch_error"),
         )
     )
+    done = scored.filter("error is null").groupBy("document_index").agg(F.count(F.lit(1)).alias("_done"))
     render_error = F.col("render_error") if "render_error" in docs.columns else F.lit(None).cast("string")
     no_pages = F.when(F.col("page_count") == 0, F.lit(C.ZERO_PAGES_ERROR))
+    found = F.coalesce("_done", F.lit(0))
+    missing = F.when(
+        found < F.col("page_count"),
+        F.format_string(C.MISSING_PAGES_ERROR, found.cast("bigint"), F.col("page_count").cast("bigint")),
+    )
     return (
         docs.join(failed, "document_index", "left")
-        .withColumn("error", F.coalesce(render_error, no_pages, "_batch_error"))
+        .join(done, "document_index", "left")
+        .withColumn("error", F.coalesce(render_error, no_pages, "_batch_error", missing))
         .withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("failed"))
-        .drop("_batch_error")
+        .drop("_batch_error", "_done")
     )
 
 

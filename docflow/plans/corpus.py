@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from docflow import constants as C
 from docflow.operators import batching, metrics, results, scoring
+from docflow.operators.ordering import PAGE_BLOCK
 from docflow.session import materialize
 from docflow.sources import sinks
 
@@ -38,11 +39,11 @@ def finished_pages(scored: DataFrame, path: str | None = None) -> DataFrame:
     return materialize(scoring.page_results(scored), "page_results", path)
 
 
-def document_results(docs: DataFrame, scored: DataFrame) -> DataFrame:
-    """Scored pages to document results."""
+def document_results(docs: DataFrame, scored: DataFrame, block: int = PAGE_BLOCK) -> DataFrame:
+    """Scored pages to document results, of at most ``block`` pages each."""
     pages = finished_pages(scored)
     summary = results.document_summary(scoring.document_status(docs, pages), pages)
-    return results.document_results(summary, pages)
+    return results.document_results(summary, pages, block)
 
 
 def corpus_metrics(docs: DataFrame, pages: DataFrame, elapsed_s: float | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from docflow import constants as C
 from docflow.operators.batching import page_batches
 from docflow.operators.pages import explode_pages, plan_tokens
 from docflow.operators.scoring import score_batches
-from docflow.session import materialize, new_folder, spread
+from docflow.session import materialize, new_folder
 
 PAGE_CHARS = 1800
 BATCH_PAGES = 64
@@ -27,14 +27,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with page count and text. One in fifty has no pages."""
-    return spread(table(spark, folder, "documents")).select(
+def documents(spark: SparkSession, folder: str, gaps: bool = False) -> DataFrame:
+    """Documents with page count and text. With ``gaps``, one in fifty has no pages."""
+    count = f"cast(ceil(n_chars / {PAGE_CHARS}.0) as bigint)"
+    return table(spark, folder, "documents").select(
         F.col("doc_id").alias("document_index"),
         F.expr("concat(source, '/', lang, '/doc_', doc_id, '.pdf')").alias("document_path"),
-        F.expr(
-            f"case when doc_id % 50 = 49 then 0L else cast(ceil(n_chars / {PAGE_CHARS}.0) as bigint) end"
-        ).alias("page_count"),
+        F.expr(f"case when doc_id % 50 = 49 then 0L else {count} end" if gaps else count).alias("page_count"),
         F.expr("(doc_id * 17) % 1000 / 1000").alias("render_s"),
         "text",
     )
@@ -46,9 +45,9 @@ HEIGHT = "500 + (document_index * 71 + page_index * 29) % 3000"
 CHUNKS = f"regexp_extract_all(text, '(?s).{{1,{PAGE_CHARS}}}', 0)"
 
 
-def page_sizes(spark: SparkSession, folder: str) -> DataFrame:
+def page_sizes(spark: SparkSession, folder: str, gaps: bool = False) -> DataFrame:
     """Pages with their size. Texts are not read."""
-    return explode_pages(documents(spark, folder).drop("text")).select(
+    return explode_pages(documents(spark, folder, gaps).drop("text")).select(
         "document_index",
         "document_path",
         "page_count",
@@ -160,14 +159,14 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", F.expr(f"concat(url, {endings})").alias("path"))
 
 
-def requests(spark: SparkSession, folder: str) -> DataFrame:
+def requests(spark: SparkSession, folder: str, gaps: bool = False) -> DataFrame:
     """JSON bodies with the pages of a document as base64 images; some are bad."""
     images = f"""case when page_count = 0 then array() else transform({CHUNKS},
       chunk -> base64(encode(chunk, 'UTF-8'))) end"""
     good = f"""to_json(named_struct(
       'images', case when document_index % 19 = 5 then array_append({images}, '*not base64*') else {images} end,
       'prompt', case document_index % 3 when 0 then '<image>\\nFree OCR.' when 1 then '' end))"""
-    return documents(spark, folder).select(
+    return documents(spark, folder, gaps).select(
         F.col("document_index").alias("request_id"),
         F.expr(f"case when document_index % 23 = 11 then concat('{{\"images\": [', document_index) else {good} end").alias("body"),
     )

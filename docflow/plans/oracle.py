@@ -18,7 +18,7 @@ EOS = C.EOS_TOKEN
 COMMON = {
     "docs": f"""
 SELECT doc_id AS document_index, source || '/' || lang || '/doc_' || doc_id || '.pdf' AS document_path,
-  CASE WHEN doc_id % 50 = 49 THEN 0 ELSE CAST(ceil(n_chars / {I.PAGE_CHARS}.0) AS BIGINT) END AS page_count,
+  CAST(ceil(n_chars / {I.PAGE_CHARS}.0) AS BIGINT) AS page_count,
   ((doc_id * 17) % 1000) / 1000 AS render_s, text
 FROM documents""",
     "pg": f"""
@@ -70,6 +70,10 @@ SELECT document_index, document_path, page_count, render_s, first_failed_batch,
   CASE WHEN page_count = 0 OR first_failed_batch IS NOT NULL THEN 'failed' ELSE 'ok' END AS status
 FROM docs LEFT JOIN (SELECT document_index, min(batch_id) AS first_failed_batch FROM placed WHERE batch_id % 17 = 3 GROUP BY 1)
   USING (document_index)""",
+    "gapped": f"""
+SELECT * REPLACE (CASE WHEN gap THEN 0 ELSE page_count END AS page_count,
+  CASE WHEN gap THEN '{C.ZERO_PAGES_ERROR}' ELSE error END AS error, CASE WHEN gap THEN 'failed' ELSE status END AS status)
+FROM (SELECT *, document_index % 50 = 49 AS gap FROM status)""",
     "done": """
 SELECT o.* FROM outcome o JOIN status s USING (document_index)
 WHERE o.error IS NULL AND (first_failed_batch IS NULL OR o.batch_id < first_failed_batch)""",
@@ -220,8 +224,8 @@ QUERIES = {
     "decode_batch_requests": """SELECT request_id, page_index, prompt, chunk AS payload
 FROM bodies JOIN pg ON request_id = document_index WHERE NOT broken AND NOT bad_image""",
     "rejected_requests": f"""SELECT request_id, CASE WHEN broken THEN '{C.INVALID_JSON_ERROR}'
-  WHEN page_count = 0 AND NOT bad_image THEN '{C.NO_IMAGES_ERROR}' ELSE 'image is not base64' END AS error
-FROM bodies WHERE broken OR bad_image OR page_count = 0""",
+  WHEN no_pages AND NOT bad_image THEN '{C.NO_IMAGES_ERROR}' ELSE 'image is not base64' END AS error
+FROM (SELECT *, page_count = 0 OR request_id % 50 = 49 AS no_pages FROM bodies) WHERE broken OR bad_image OR no_pages""",
     "image_sizes": """SELECT document_index, page_index, CASE WHEN page_index % 3 < 2 THEN width END AS width,
   CASE WHEN page_index % 3 < 2 THEN height END AS height,
   CASE WHEN page_index % 3 = 2 THEN 'cannot identify image file' END AS error FROM pg""",
@@ -233,7 +237,7 @@ FROM linked JOIN docs USING (document_index) GROUP BY document_index, document_p
 FROM (SELECT document_index, string_split(document_path, '/')[-1] AS name FROM docs)""",
     "page_explode": "SELECT document_index, page_index FROM pg",
     "zero_page_docs": f"""SELECT document_index, document_path, 0::BIGINT AS page_count, 'failed' AS status, '{C.ZERO_PAGES_ERROR}' AS error
-FROM docs WHERE page_count = 0""",
+FROM docs WHERE document_index % 50 = 49 OR page_count = 0""",
     "prompt_check": """SELECT document_index, prompt, len(string_split(prompt, '<image>')) = 2 AS prompt_ok FROM (
   SELECT document_index, CASE document_index % 5 WHEN 1 THEN '<image>' || chr(10) || 'Free OCR.' WHEN 2 THEN 'Free OCR.'
     WHEN 3 THEN '<image><image>' ELSE '<image>' || chr(10) || '<|grounding|>Convert the document to markdown.' END AS prompt FROM docs)""",
@@ -306,7 +310,12 @@ FROM outcome JOIN ocr o USING (document_index, page_index)""",
   CASE WHEN batch_id % 5 <> 2 THEN CAST(output_tokens AS BIGINT) END AS output_tokens,
   CASE WHEN batch_id % 5 = 2 THEN 'Model returned ' || (rows - 1) || ' outputs for ' || rows || ' inputs.' END AS error
 FROM (SELECT *, count(*) OVER (PARTITION BY batch_id) AS rows FROM placed) JOIN ocr USING (document_index, page_index)""",
-    "document_status": "SELECT document_index, status, error, page_count, first_failed_batch FROM status",
+    "document_status": "SELECT document_index, status, error, page_count, first_failed_batch FROM gapped",
+    "missing_page_status": f"""SELECT document_index, CASE WHEN e IS NULL THEN 'ok' ELSE 'failed' END AS status, e AS error
+FROM (SELECT document_index, CASE WHEN page_count = 0 THEN '{C.ZERO_PAGES_ERROR}' WHEN b IS NOT NULL THEN 'fail batch ' || b
+  WHEN coalesce(n, 0) < page_count THEN coalesce(n, 0) || ' of ' || page_count || ' pages' END AS e
+  FROM docs LEFT JOIN (SELECT document_index, min(batch_id) FILTER (error IS NOT NULL) AS b, count(*) FILTER (error IS NULL) AS n
+    FROM outcome WHERE (document_index + page_index) % 31 <> 4 GROUP BY 1) USING (document_index))""",
     "generated_pages": "SELECT document_index, page_index, batch_id FROM done",
     "active_pages": "SELECT document_index, page_index FROM pg JOIN status USING (document_index) WHERE status = 'ok'",
     "dropped_pages": "SELECT document_index, page_index FROM pg JOIN status USING (document_index) WHERE status = 'failed'",
@@ -325,6 +334,10 @@ FROM (SELECT batch_id, opened_at, count(*) AS rows, count(DISTINCT user_id) AS r
   n_results, texts, {_big("n_detections", "input_tokens")}, 0::BIGINT AS cached_tokens, {_big("output_tokens")},
   CAST(input_tokens + output_tokens AS BIGINT) AS total_tokens, CAST(input_tokens AS BIGINT) AS prompt_tokens,
   CAST(output_tokens AS BIGINT) AS completion_tokens FROM results""",
+    "document_parts": """SELECT document_index, p AS part_index, n AS part_count,
+  CASE WHEN status = 'ok' THEN least(2, page_count - 2 * p) ELSE 0 END AS n_results
+FROM (SELECT *, unnest(range(n)) AS p FROM (SELECT document_index, page_count, status,
+  CASE WHEN status = 'ok' THEN greatest(page_count - 1, 0) // 2 + 1 ELSE 1 END AS n FROM status))""",
     "incomplete_documents": """SELECT document_index, any_value(s.page_count) AS page_count,
   count(*) FILTER (error IS NULL AND (document_index + page_index) % 31 <> 4) AS pages_done
 FROM (SELECT * EXCLUDE (error) FROM status) s JOIN (SELECT document_index, page_index, error FROM outcome) USING (document_index)
@@ -348,7 +361,7 @@ FROM cost GROUP BY 1""",
   max(generate_s) AS generate_s, round(max(preprocess_s) + max(generate_s), 6) AS total_s,
   CASE WHEN max(preprocess_s) + max(generate_s) > 0 THEN count(*) / (max(preprocess_s) + max(generate_s)) ELSE 0 END AS pages_per_second
 FROM done GROUP BY batch_id""",
-    "failures": "SELECT document_index, document_path, error FROM status WHERE status = 'failed' ORDER BY document_index",
+    "failures": "SELECT document_index, document_path, error FROM gapped WHERE status = 'failed' ORDER BY document_index",
     "stage_totals": "SELECT * FROM stages",
     "inference_stats": """SELECT pages, prompt_tokens, output_tokens, generate_s, prompt_tokens / generate_s AS prompt_tokens_per_second,
   output_tokens / generate_s AS output_tokens_per_second
@@ -381,9 +394,9 @@ def _usage_json(given: str, made: str) -> str:
 
 _HEAD = "'document_index': document_index, 'document_path': document_path, 'status': status"
 QUERIES["results_jsonl"] = f"""SELECT document_index, CASE WHEN status = 'failed'
-  THEN CAST(to_json({{{_HEAD}, 'error': error, 'page_count': page_count, 'results': CAST([] AS VARCHAR[]),
+  THEN CAST(to_json({{{_HEAD}, 'error': error, 'page_count': page_count, 'part_index': 0, 'part_count': 1, 'results': CAST([] AS VARCHAR[]),
     'usage': {_usage_json("0", "0")}}}) AS VARCHAR)
-  ELSE CAST(to_json({{{_HEAD}, 'page_count': page_count, 'results': page_lists.results,
+  ELSE CAST(to_json({{{_HEAD}, 'page_count': page_count, 'part_index': 0, 'part_count': 1, 'results': page_lists.results,
     'usage': {_usage_json("CAST(input_tokens AS BIGINT)", "CAST(output_tokens AS BIGINT)")}}}) AS VARCHAR) END AS value
 FROM results LEFT JOIN page_lists USING (document_index)"""
 QUERIES["metrics_json"] = """SELECT CAST(to_json({'cached_tokens': 0, 'documents': documents, 'elapsed_s': elapsed_s, 'failed': failed,

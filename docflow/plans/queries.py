@@ -67,7 +67,7 @@ def decode_batch_requests(spark, folder):
 
 @query
 def rejected_requests(spark, folder):
-    return files.rejected_requests(inputs.requests(spark, folder))
+    return files.rejected_requests(inputs.requests(spark, folder, gaps=True))
 
 
 @query
@@ -123,7 +123,7 @@ def page_explode(spark, folder):
 @query
 def zero_page_docs(spark, folder):
     docs = inputs.documents(spark, folder).select("document_index", "document_path")
-    return pages.zero_page_docs(docs, inputs.page_sizes(spark, folder))
+    return pages.zero_page_docs(docs, inputs.page_sizes(spark, folder, gaps=True))
 
 
 @query
@@ -323,8 +323,8 @@ def output_count_mismatch(spark, folder):
     return scored.select(*PAGE, "batch_id", "output_tokens", "error")
 
 
-def _status(spark, folder, scored=None):
-    docs = inputs.documents(spark, folder).drop("text")
+def _status(spark, folder, scored=None, gaps=False):
+    docs = inputs.documents(spark, folder, gaps).drop("text")
     return scoring.document_status(docs, inputs.outcomes(spark, folder) if scored is None else scored)
 
 
@@ -335,7 +335,16 @@ def _generated(spark, folder):
 
 @query
 def document_status(spark, folder):
-    return _status(spark, folder).select("document_index", "status", "error", "page_count", "first_failed_batch")
+    return _status(spark, folder, gaps=True).select(
+        "document_index", "status", "error", "page_count", "first_failed_batch"
+    )
+
+
+@query
+def missing_page_status(spark, folder):
+    """Some page results are missing; their documents fail."""
+    scored = inputs.stored_outcomes(spark, folder).filter("(document_index + page_index) % 31 <> 4")
+    return _status(spark, folder, scored).select("document_index", "status", "error")
 
 
 @query
@@ -434,6 +443,17 @@ def document_results(spark, folder):
     )
 
 
+@query
+def document_parts(spark, folder):
+    """Documents in parts of two pages."""
+    docs = inputs.documents(spark, folder).drop("text")
+    parts = corpus.document_results(docs, inputs.scored(spark, folder), block=2)
+    return parts.select(
+        "document_index", "part_index", F.col("part_count").cast("bigint").alias("part_count"),
+        F.size("results").cast("bigint").alias("n_results"),
+    )
+
+
 @query
 def incomplete_documents(spark, folder):
     """Some page results are missing."""
@@ -496,7 +516,7 @@ def batch_metrics(spark, folder):
 
 @query
 def failures(spark, folder):
-    return results.failures(_status(spark, folder))
+    return results.failures(_status(spark, folder, gaps=True))
 
 
 @query

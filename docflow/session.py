@@ -19,6 +19,9 @@ def build_session(app_name: str = "docflow", master: str | None = None, **conf:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.python.worker.reuse": "true",
+        # State of streams lives on disk.
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         **{key.replace("__", "."): value for key, value in conf.items()},
     }
     for key, value in settings.items():
@@ -65,11 +68,3 @@ def task_count(spark: SparkSession) -> int:
         spark.sparkContext.defaultParallelism,
     )
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all tasks for a table that comes in too few splits.
-
-    Tables of many splits, so all large ones, stay as they are.
-    """
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)

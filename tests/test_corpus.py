@@ -76,7 +76,8 @@ def test_documents_in_order_with_usage(spark, tmp_path):
         "prompt_tokens": 9, "completion_tokens": 6, "input_tokens_details": {"cached_tokens": 0},
     }
     assert set(lines[0]) == {
-        "document_index", "document_path", "status", "page_count", "results", "usage", "timings",
+        "document_index", "document_path", "status", "page_count", "part_index", "part_count", "results", "usage",
+        "timings",
     }
     assert set(lines[0]["results"][0]) == {"raw_text", "clean_text", "detections", "has_eos", "image_size"}
     assert lines[0]["timings"]["render_s"] == 0.25
@@ -185,16 +186,50 @@ def test_large_document_in_parts(spark):
     assert [r.raw_text for p in parts[:3] for r in p.results] == [f"raw:a{i}" for i in range(7)]
     assert {p.usage.total_tokens for p in parts[:3]} == {35}
     lines = results.result_lines(results.document_results(summary, done, block=3)).collect()
-    assert sum("part_count" in json.loads(line.value) for line in lines) == 3
+    assert [json.loads(line.value)["part_count"] for line in lines].count(3) == 3
+    assert all("part_index" in json.loads(line.value) for line in lines)
 
 
-def test_incomplete_documents_are_held_back(spark):
+def test_incomplete_documents_fail_visibly(spark):
     docs, pages = labelled(spark, a=3, b=1)
-    scored = corpus.score_corpus(pages, docs, model(), OUTPUT, KEEP).filter("page_index <> 1")
-    done = corpus.finished_pages(scored)
-    summary = results.document_summary(scoring.document_status(docs, done), done)
-    assert [r.document_index for r in results.incomplete_documents(summary).collect()] == [0]
-    assert [r.document_index for r in results.document_results(summary, done).collect()] == [1]
+    whole = corpus.score_corpus(pages, docs, model(), OUTPUT, KEEP)
+    done = corpus.finished_pages(whole.filter("page_index <> 1"))
+    status = scoring.document_status(docs, done)
+    summary = results.document_summary(status, done)
+    rows = results.document_results(summary, done).orderBy("document_index").collect()
+    assert [(r.status, r.error, len(r.results)) for r in rows] == [("failed", "2 of 3 pages", 0), ("ok", None, 1)]
+    assert [r.error for r in results.failures(status).collect()] == ["2 of 3 pages"]
+    totals = metrics.corpus_totals(summary).first()
+    assert (totals.documents, totals.succeeded, totals.failed, totals.pages) == (2, 1, 1, 1)
+    before = results.document_summary(scoring.document_status(docs, whole), done)
+    assert [r.document_index for r in results.incomplete_documents(before).collect()] == [0]
+
+
+def test_each_call_uses_its_own_scorer(spark):
+    docs, pages = labelled(spark, a=4)
+    ready = batching.page_batches(pages, docs, 2)
+    for name in ("first", "second"):
+        def build(name=name):
+            return lambda rows: pd.DataFrame({"raw_text": [name] * len(rows), "output_tokens": 1})
+
+        scored = scoring.score_batches(ready, None, OUTPUT, KEEP, make_scorer=build).collect()
+        assert {r.raw_text for r in scored} == {name}
+
+
+@pytest.mark.parametrize(
+    "frame",
+    [lambda n: pd.DataFrame({"output_tokens": [1] * n}), lambda n: pd.DataFrame({"raw_text": ["x"] * n, "output_tokens": ["y"] * n})],
+)
+def test_bad_outputs_fail_the_batch_only(spark, frame):
+    docs, pages = labelled(spark, a=1, b=1)
+
+    def score(rows):
+        good = pd.DataFrame({"raw_text": rows["label"], "output_tokens": 1})
+        return frame(len(rows)) if rows["label"].iloc[0] == "a0" else good
+
+    scored = corpus.score_corpus(pages, docs, score, OUTPUT, KEEP, batch_pages=1).orderBy("document_index").collect()
+    assert scored[0].error and scored[0].raw_text is None
+    assert (scored[1].error, scored[1].raw_text) == (None, "b0")
 
 
 def test_rates_without_time(spark):
