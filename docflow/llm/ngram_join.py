@@ -13,8 +13,8 @@
    of few rows give pairs, each of which is compared once; in the others rows
    are reached from one another. What may be linked makes clusters, outside of
    which no link exists.
-4. In a cluster the product of whole rows is taken in tiles of at most
-   ``TILE_ROWS`` documents a side: one row at a time is multiplied with those
+4. In a cluster the product of whole rows is taken in tiles of about
+   ``TILE_SHINGLES`` entries a side: one row at a time is multiplied with those
    not yet reached, overlaps are accumulated, pairs below the bound of their
    sizes are discarded, and what is linked is reached next. So the links of a
    tile come out as a spanning forest, never as all pairs of a group of copies.
@@ -41,7 +41,7 @@ from docflow.session import materialize
 COUNT_BITS = 18
 COUNT_PARTS = 64
 BLOCK_ENTRIES = 1 << 20
-TILE_ROWS = 2048
+TILE_SHINGLES = 1 << 20
 SKETCH_BITS = 1024
 # Columns of up to so many rows give pairs.
 FEW_ROWS = 32
@@ -258,6 +258,7 @@ def linked(percent: int):
 def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id, one row per row of ``docs``."""
     docs = docs.select("doc_id", "text")
+    words.small_batches(docs.sparkSession)
     rows = materialize(feature_rows(docs, bucket_counts(docs), percent), "features")
     classes = materialize(
         rows.filter("n > 0 and doc_id is not null")
@@ -293,10 +294,14 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     )
     edges = pairs.union(reached)
     clusters = components(edges)
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = (
+        clusters.join(sketches.select("rep", "n"), F.col("id") == F.col("rep"))
+        .groupBy("root")
+        .agg(F.sum("n").alias("_entries"))
+    )
     placed = (
         clusters.join(sizes, "root")
-        .withColumn("_parts", F.ceil(F.col("_rows") / TILE_ROWS).cast("int"))
+        .withColumn("_parts", F.ceil(F.col("_entries") / TILE_SHINGLES).cast("int"))
         .withColumn("_part", F.expr("cast(pmod(xxhash64(id), _parts) as int)"))
         # Every part meets every other part of its cluster in one tile.
         .withColumn("_other", F.explode(F.expr("sequence(0, _parts - 1)")))
@@ -320,5 +325,5 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
         "sign", "sign2", "n", F.coalesce("_found", "rep").alias("_root")
     )
     return rows.join(by_class, ["sign", "sign2", "n"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("_root", "doc_id").alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("_root", "doc_id")).alias("component_id")
     )

@@ -286,6 +286,7 @@ def _pack(text: pd.Series) -> pd.Series:
 
 def remove_repeated(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256, one row per row of ``docs``."""
+    words.small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(total // BLOCK_BYTES) + 1
