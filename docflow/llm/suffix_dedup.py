@@ -93,8 +93,48 @@ def window_blocks(docs: DataFrame, blocks: int) -> DataFrame:
     )
 
 
-def settle(part: pd.DataFrame) -> pd.DataFrame:
-    """Per document of a block: keys of windows found earlier, and of windows to be compared."""
+def settle(blocks: int):
+    """Keys of the windows of a block that are found earlier, or are to be compared, by group of documents."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        doc, key, found = _settled(part)
+        group = (words.mix(doc.astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        doc, key, found, group = doc[order], key[order], found[order], group[order]
+        used, starts = np.unique(group, return_index=True)
+        ends = [*starts[1:], len(group)]
+        return pd.DataFrame(
+            {
+                "docs": used,
+                "keys": [doc[s:e].tobytes() + key[s:e].tobytes() + found[s:e].tobytes() for s, e in zip(starts, ends)],
+            }
+        )
+
+    return run
+
+
+def by_document(part: pd.DataFrame) -> pd.DataFrame:
+    """Per document of a group its keys from all blocks."""
+    sizes = [len(k) // 17 for k in part["keys"]]
+    doc = np.concatenate([np.frombuffer(k, np.int64, n) for k, n in zip(part["keys"], sizes)])
+    key = np.concatenate([np.frombuffer(k, np.uint64, n, 8 * n) for k, n in zip(part["keys"], sizes)])
+    found = np.concatenate([np.frombuffer(k, np.bool_, n, 16 * n) for k, n in zip(part["keys"], sizes)])
+    order = np.lexsort((found, doc))
+    doc, key, found = doc[order], key[order], found[order]
+    ids, starts = np.unique(doc, return_index=True)
+    ends = np.concatenate([starts[1:], [len(doc)]])
+    middle = starts + np.add.reduceat((~found).astype(np.int64), starts) if len(ids) else starts
+    return pd.DataFrame(
+        {
+            "doc_id": ids,
+            "found": [key[m:e].tobytes() for m, e in zip(middle, ends)],
+            "open": [key[s:m].tobytes() for s, m in zip(starts, middle)],
+        }
+    )
+
+
+def _settled(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, key, and whether an earlier document has the window, of the windows that matter."""
     pieces: list[list[np.ndarray]] = [[], [], [], []]
     for runs, data in zip(part["runs"].tolist(), part["entries"]):
         n = (len(data) - 12 * runs) // 10
@@ -121,14 +161,7 @@ def settle(part: pd.DataFrame) -> pd.DataFrame:
     # Of windows of equal bytes, the smallest doc_id speaks for all.
     open_ = (contexts[of_anchor] > 1) & (doc == least[of_context])
     used = found | open_
-    doc, key, found = doc[used], _keys(anchor[used], context[used]), found[used]
-    order = np.lexsort((found, doc))
-    doc, key, found = doc[order], key[order], found[order]
-    starts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (found[1:] != found[:-1])]) if len(doc) else np.zeros(0, bool))
-    ends = np.concatenate([starts[1:], [len(doc)]]) if len(doc) else starts
-    return pd.DataFrame(
-        {"doc_id": doc[starts], "found": found[starts], "keys": [key[s:e].tobytes() for s, e in zip(starts, ends)]}
-    )
+    return doc[used], _keys(anchor[used], context[used]), found[used]
 
 
 def locate(blocks: int):
@@ -146,13 +179,12 @@ def locate(blocks: int):
                     row = part.iloc[first + i]
                     here = slice(bounds[i], bounds[i + 1])
                     own_keys = keys[here]
-                    known = np.frombuffer(b"".join(row["found"]), np.uint64) if len(row["found"]) else np.zeros(0, np.uint64)
-                    full = np.isin(own_keys, known)
+                    full = np.isin(own_keys, np.frombuffer(row["found"], np.uint64))
                     if full.any():
                         s = start[here][full]
                         rows.append((row["doc_id"], row["digest"], np.stack([s, s + count[here][full] + LENGTH - 1], 1).astype(np.int32).tobytes(), None, None, None))
                     if len(row["open"]):
-                        for w in np.flatnonzero(np.isin(own_keys, np.frombuffer(b"".join(row["open"]), np.uint64)) & ~full).tolist():
+                        for w in np.flatnonzero(np.isin(own_keys, np.frombuffer(row["open"], np.uint64)) & ~full).tolist():
                             w += int(bounds[i])
                             s = int(start[w])
                             rows.append((row["doc_id"], row["digest"], None, int(anchor[w] >> np.uint64(1)), s, data[s : s + int(count[w]) + LENGTH - 1]))
@@ -293,12 +325,9 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     flags = (
         window_blocks(docs, blocks)
         .groupBy("block")
-        .applyInPandas(settle, "doc_id long, found boolean, keys binary")
-        .groupBy("doc_id")
-        .agg(
-            F.collect_list(F.when(F.col("found"), F.col("keys"))).alias("found"),
-            F.collect_list(F.when(~F.col("found"), F.col("keys"))).alias("open"),
-        )
+        .applyInPandas(settle(blocks), "docs long, keys binary")
+        .groupBy("docs")
+        .applyInPandas(lambda rows: by_document(rows), "doc_id long, found binary, open binary")
     )
     packed = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.pandas_udf(_pack, "binary")("text").alias("packed"))
     located = materialize(
