@@ -190,16 +190,32 @@ def as_files(df: DataFrame, name: str) -> str:
 
 
 def image_payloads(spark: SparkSession, folder: str) -> DataFrame:
-    """First bytes of an image file per page: PNG or BMP, some unreadable."""
-    png = "unhex(concat('89504E470D0A1A0A0000000D49484452', lpad(hex(width), 8, '0'), lpad(hex(height), 8, '0')))"
-    flipped = "unhex(concat(substr(h, 7, 2), substr(h, 5, 2), substr(h, 3, 2), substr(h, 1, 2)))"
-    little = {side: flipped.replace("h,", f"lpad(hex({side}), 8, '0'),") for side in ("width", "height")}
-    bmp = f"concat(unhex('424D00000000000000003600000028000000'), {little['width']}, {little['height']})"
+    """First bytes of an image file per page, of five formats; some unreadable."""
+
+    def little(side: str, count: int) -> str:
+        pairs = [f"substr(lpad(hex({side}), {2 * count}, '0'), {2 * i - 1}, 2)" for i in range(count, 0, -1)]
+        return f"unhex(concat({', '.join(pairs)}))"
+
+    def big(side: str, count: int) -> str:
+        return f"unhex(lpad(hex({side}), {2 * count}, '0'))"
+
+    png = f"concat(unhex('89504E470D0A1A0A0000000D49484452'), {big('width', 4)}, {big('height', 4)})"
+    bmp = f"concat(unhex('424D00000000000000003600000028000000'), {little('width', 4)}, {little('height', 4)})"
+    jpeg = f"concat(unhex('FFD8FFE000040000FFC0001108'), {big('height', 2)}, {big('width', 2)}, unhex('03'))"
+    webp = (
+        "concat(unhex('524946460000000057454250565038580A00000000000000'), "
+        f"{little('width - 1', 3)}, {little('height - 1', 3)})"
+    )
+    tiff = (
+        f"concat(unhex('49492A000800000002000001040001000000'), {little('width', 4)}, "
+        f"unhex('0101040001000000'), {little('height', 4)}, unhex('00000000'))"
+    )
     return page_sizes(spark, folder).select(
         "document_index",
         "page_index",
         F.expr(
-            f"case page_index % 3 when 0 then {png} when 1 then {bmp} else unhex('00') end"
+            f"""case page_index % 6 when 0 then {png} when 1 then {bmp} when 3 then {jpeg}
+              when 4 then {webp} when 5 then {tiff} else unhex('00') end"""
         ).alias("payload"),
     )
 

@@ -226,9 +226,9 @@ FROM bodies JOIN pg ON request_id = document_index WHERE NOT broken AND NOT bad_
     "rejected_requests": f"""SELECT request_id, CASE WHEN broken THEN '{C.INVALID_JSON_ERROR}'
   WHEN no_pages AND NOT bad_image THEN '{C.NO_IMAGES_ERROR}' ELSE 'image is not base64' END AS error
 FROM (SELECT *, page_count = 0 OR request_id % 50 = 49 AS no_pages FROM bodies) WHERE broken OR bad_image OR no_pages""",
-    "image_sizes": """SELECT document_index, page_index, CASE WHEN page_index % 3 < 2 THEN width END AS width,
-  CASE WHEN page_index % 3 < 2 THEN height END AS height,
-  CASE WHEN page_index % 3 = 2 THEN 'cannot identify image file' END AS error FROM pg""",
+    "image_sizes": """SELECT document_index, page_index, CASE WHEN page_index % 6 <> 2 THEN width END AS width,
+  CASE WHEN page_index % 6 <> 2 THEN height END AS height,
+  CASE WHEN page_index % 6 = 2 THEN 'cannot identify image file' END AS error FROM pg""",
     "markdown_sink": f"""SELECT replace(string_split(document_path, '/')[-1], 'pdf', 'mmd') AS out_name, 0::BIGINT AS part_index,
   string_agg(linked || chr(10) || '{C.PAGE_SPLIT.replace(chr(10), "' || chr(10) || '")}' || chr(10), '' ORDER BY page_index) AS markdown
 FROM linked JOIN docs USING (document_index) GROUP BY document_index, document_path""",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +13,6 @@ from docflow import constants as C
 from docflow.functions.text import has_extension, or_default, path_parts
 from docflow.operators.ordering import dense_position
 
-
 UNREADABLE_ERROR = "cannot identify image file"
 
 
@@ -66,11 +68,53 @@ def image_sizes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def header_size(data: bytes) -> tuple[int, int] | None:
+    """Width and height of JPEG, WebP or TIFF bytes, from their header."""
+    if data[:2] == b"\xff\xd8":
+        at = 2
+        while at + 9 <= len(data) and data[at] == 0xFF:
+            marker = data[at + 1]
+            if marker == 0xFF:  # a fill byte
+                at += 1
+            elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+                height, width = struct.unpack_from(">HH", data, at + 5)
+                return width, height
+            elif marker == 0x01 or 0xD0 <= marker <= 0xD8:
+                at += 2
+            else:
+                at += 2 + struct.unpack_from(">H", data, at + 2)[0]
+        return None
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP" and len(data) >= 30:
+        if data[12:16] == b"VP8X":
+            return int.from_bytes(data[24:27], "little") + 1, int.from_bytes(data[27:30], "little") + 1
+        if data[12:16] == b"VP8L":
+            bits = int.from_bytes(data[21:25], "little")
+            return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
+        if data[12:16] == b"VP8 ":
+            width, height = struct.unpack_from("<HH", data, 26)
+            return width & 0x3FFF, height & 0x3FFF
+        return None
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        order = "<" if data[:2] == b"II" else ">"
+        try:
+            at = struct.unpack_from(order + "I", data, 4)[0]
+            found = {}
+            for i in range(struct.unpack_from(order + "H", data, at)[0]):
+                tag, kind = struct.unpack_from(order + "HH", data, at + 2 + 12 * i)
+                if tag in (256, 257):
+                    found[tag] = struct.unpack_from(order + ("H" if kind == 3 else "I"), data, at + 10 + 12 * i)[0]
+        except struct.error:
+            return None
+        return (found[256], found[257]) if len(found) == 2 else None
+    return None
+
+
 def payload_sizes(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """Pixel size from the header of PNG and BMP bytes; ``error`` for others.
+    """Pixel size from the header of image bytes; ``error`` where there is none.
 
-    Only the header is looked at. A BMP height is negative if its rows run
-    from the top.
+    PNG and BMP are read natively, and their bytes never reach Python; JPEG,
+    WebP and TIFF, whose sizes have no fixed place, are parsed in Arrow batches.
+    A BMP height is negative if its rows run from the top.
     """
     data = F.hex(F.substring(F.col(payload), 1, 26))
 
@@ -82,12 +126,17 @@ def payload_sizes(df: DataFrame, payload: str = "payload") -> DataFrame:
     png = F.startswith(data, F.lit("89504E470D0A1A0A"))
     bmp = F.startswith(data, F.lit("424D"))
     signed = F.when(number(22, True) >= 1 << 31, (1 << 32) - number(22, True)).otherwise(number(22, True))
-    width = F.when(png, number(16, False)).when(bmp, number(18, True))
-    height = F.when(png, number(20, False)).when(bmp, signed)
+
+    def parse(parts: pd.Series) -> pd.Series:
+        return pd.Series([list(header_size(x) or ()) if x is not None else None for x in parts], dtype=object)
+
+    other = F.pandas_udf(parse, "array<bigint>")(F.when(~(png | bmp), F.col(payload)))
+    sized = df.withColumn("_size", other)
     return (
-        df.withColumn("width", width)
-        .withColumn("height", height)
-        .withColumn("error", F.when(~(png | bmp), F.lit(UNREADABLE_ERROR)))
+        sized.withColumn("width", F.when(png, number(16, False)).when(bmp, number(18, True)).otherwise(F.get("_size", F.lit(0))))
+        .withColumn("height", F.when(png, number(20, False)).when(bmp, signed).otherwise(F.get("_size", F.lit(1))))
+        .withColumn("error", F.when(F.col("width").isNull(), F.lit(UNREADABLE_ERROR)))
+        .drop("_size")
     )
 
 
@@ -117,7 +166,13 @@ def parse_requests(df: DataFrame, body: str = "body") -> DataFrame:
     """
 
     def checked(read: Column) -> Column:
-        payloads = F.transform(read["images"], lambda text: F.try_to_binary(text, F.lit("base64")))
+        # Line ends and other characters outside the alphabet are passed over.
+        payloads = F.transform(
+            read["images"],
+            lambda text: F.try_to_binary(
+                F.nullif(F.regexp_replace(text, "[^A-Za-z0-9+/=]", ""), F.lit("")), F.lit("base64")
+            ),
+        )
         error = (
             F.when(read.isNull() | read["_bad"].isNotNull(), F.lit(C.INVALID_JSON_ERROR))
             .when(F.coalesce(F.size(read["images"]), F.lit(0)) <= 0, F.lit(C.NO_IMAGES_ERROR))

@@ -71,7 +71,7 @@ def test_requests(spark):
     image = base64.b64encode(png(2, 2)).decode()
     bodies = [
         json.dumps({"images": [image, image], "prompt": "<image>\nFree OCR."}),
-        json.dumps({"images": [image], "prompt": ""}),
+        json.dumps({"images": [image[:8] + "\r\n" + image[8:] + "\n"], "prompt": ""}),
         json.dumps({"images": [image], "prompt": None}),
         json.dumps({"images": []}),
         json.dumps({"prompt": "x"}),
@@ -113,3 +113,14 @@ def test_raw_requests(spark):
     rows = files.check_raw_requests(df).collect()
     assert [r.error for r in rows] == [None, C.EMPTY_IMAGE_ERROR, C.EMPTY_PDF_ERROR]
     assert [r.prompt for r in rows] == [C.DEFAULT_PROMPT, C.DEFAULT_PROMPT, "p"]
+
+
+def test_sizes_from_other_headers():
+    jpeg = bytes.fromhex("FFD8FFE000040000FFDA") + b""
+    assert files.header_size(jpeg) is None
+    assert files.header_size(bytes.fromhex("FFD8FFE000040000FFC000110800100020") + b"\3") == (32, 16)
+    assert files.header_size(b"RIFF\0\0\0\0WEBPVP8L\0\0\0\0\x2f" + (31 | 15 << 14).to_bytes(4, "little") + b"\0" * 8) == (32, 16)
+    assert files.header_size(b"RIFF\0\0\0\0WEBPVP8 \0\0\0\0\0\0\0\x9d\1\x2a\x20\0\x10\0") == (32, 16)
+    big = b"MM\0*\0\0\0\x08\0\2\1\0\0\3\0\0\0\1\0\x20\0\0\1\1\0\3\0\0\0\1\0\x10\0\0"
+    assert files.header_size(big) == (32, 16)
+    assert files.header_size(big[:20]) is None and files.header_size(b"") is None
