@@ -8,8 +8,8 @@
    t share one of them. The order is by how often a shingle's hash bucket
    occurs in the corpus, rarest first, so that frequent passages stay out.
 3. Rows that share a column and whose sizes allow a link are compared by their
-   sketches, the parities of a set's members in 1024 classes: two sets differ
-   in at least as many members as sketches in bits, so no link is lost. Columns
+   sketches, the parities of a set's members in classes: two sets differ in at
+   least as many members as their sketches in bits, so no link is lost. Columns
    of few rows give pairs, each of which is compared once; in the others rows
    are reached from one another. What may be linked makes clusters, outside of
    which no link exists.
@@ -42,7 +42,10 @@ COUNT_BITS = 18
 COUNT_PARTS = 64
 BLOCK_ENTRIES = 1 << 20
 TILE_SHINGLES = 1 << 20
+# Classes of a sketch; larger sets have a wide one too.
 SKETCH_BITS = 1024
+WIDE_BITS = 16384
+WIDE_FROM = 1500
 # Columns of up to so many rows give pairs.
 FEW_ROWS = 32
 BIN_BYTES = 8 << 20
@@ -79,6 +82,12 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
     return counts
 
 
+def parities(members: np.ndarray, bits: int) -> np.ndarray:
+    """Parity of the number of members in each of ``bits`` classes, as 64-bit values."""
+    counts = np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def feature_rows(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     """doc_id, size of the set, its signature, its first shingles, and its sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
@@ -96,16 +105,15 @@ def feature_rows(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame
                     n = len(own)
                     keep = n - (percent * n + 99) // 100 + 1 if n else 0
                     order = np.argsort(common[own >> np.uint64(64 - COUNT_BITS)], kind="stable")[:keep]
-                    parity = np.bincount((own & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
-                    sketch = np.packbits(parity.astype(np.uint8)).view(np.int64)
+                    sketches = parities(own, SKETCH_BITS), parities(own, WIDE_BITS) if n > WIDE_FROM else None
                     signs = own.sum(dtype=np.uint64), np.bitwise_xor.reduce(words.mix(own ^ np.uint64(n)))
-                    rows.append((n, *(int(np.int64(s)) if s < 1 << 63 else int(s) - (1 << 64) for s in map(int, signs)), own[order].tobytes(), sketch))
-                out = pd.DataFrame(rows, columns=["n", "sign", "sign2", "first", "sketch"])
+                    rows.append((n, *(int(np.int64(s)) if s < 1 << 63 else int(s) - (1 << 64) for s in map(int, signs)), own[order].tobytes(), *sketches))
+                out = pd.DataFrame(rows, columns=["n", "sign", "sign2", "first", "sketch", "wide"])
                 out.insert(0, "doc_id", ids.iloc[first : first + len(group)].to_numpy())
                 yield out
 
     return docs.select("doc_id", "text").mapInPandas(
-        features, "doc_id long, n long, sign long, sign2 long, first binary, sketch array<bigint>"
+        features, "doc_id long, n long, sign long, sign2 long, first binary, sketch array<bigint>, wide array<bigint>"
     )
 
 
@@ -180,7 +188,8 @@ def may_link(percent: int):
         out = []
         for _, rows in part.groupby("run", sort=False):
             ids, sizes = rows["a"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-            sketches = np.stack(rows["sketch"].to_list()).astype(np.int64).view(np.uint64)
+            column = "sketch" if rows["wide"].isna().any() else "wide"
+            sketches = np.stack(rows[column].to_list()).astype(np.int64).view(np.uint64)
             alive = np.arange(len(ids))
             while len(alive):
                 waiting, alive = [alive[0]], alive[1:]
@@ -263,7 +272,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     classes = materialize(
         rows.filter("n > 0 and doc_id is not null")
         .groupBy("sign", "sign2", "n")
-        .agg(F.min("doc_id").alias("rep"), F.first("first").alias("first"), F.first("sketch").alias("sketch")),
+        .agg(F.min("doc_id").alias("rep"), F.first("first").alias("first"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")),
         "classes",
     )
     entries = classes.agg(F.sum(F.octet_length("first") / 8)).first()[0] or 0
@@ -274,20 +283,23 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
         .applyInPandas(candidates(percent), "a long, b long, run long"),
         "candidates",
     )
-    sketches = classes.select("rep", "n", "sketch")
-    left = sketches.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
-    right = sketches.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+    sketches = classes.select("rep", "n", "sketch", "wide")
+    left, right = (
+        sketches.select(*[F.col(c).alias(f"{c}_{side}") for c in ("n", "sketch", "wide")], F.col("rep").alias(side))
+        for side in "ab"
+    )
+    differing = "aggregate(zip_with({0}_a, {0}_b, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)"
     pairs = (
         found.filter("run < 0").select("a", "b").distinct().join(left, "a").join(right, "b")
         .filter(
-            F.expr("aggregate(zip_with(s_a, s_b, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)") * (100 + percent)
+            F.coalesce(F.expr(differing.format("wide")), F.expr(differing.format("sketch"))) * (100 + percent)
             <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
         )
         .select("a", "b")
     )
     members = found.filter("run >= 0").select("a", "run").distinct()
     reached = (
-        members.join(left.select("a", F.col("n_a").alias("n"), F.col("s_a").alias("sketch")), "a")
+        members.join(sketches.withColumnRenamed("rep", "a"), "a")
         .withColumn("_bin", F.expr(f"pmod(xxhash64(run), {blocks * 4})"))
         .groupBy("_bin")
         .applyInPandas(may_link(percent), "a long, b long")
