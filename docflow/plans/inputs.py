@@ -102,11 +102,10 @@ def batched(spark: SparkSession, folder: str) -> DataFrame:
     return page_batches(ocr(spark, folder), documents(spark, folder).drop("text"), BATCH_PAGES)
 
 
-def outcomes(spark: SparkSession, folder: str) -> DataFrame:
-    """Scored pages: some batches failed. Stage times depend on the batch."""
+def with_outcome(pages: DataFrame) -> DataFrame:
+    """Batched pages with what became of them: some batches failed. Stage times depend on the batch."""
     return (
-        batched(spark, folder)
-        .withColumn("error", F.expr("case when batch_id % 17 = 3 then concat('fail batch ', batch_id) end"))
+        pages.withColumn("error", F.expr("case when batch_id % 17 = 3 then concat('fail batch ', batch_id) end"))
         .withColumn("preprocess_s", F.expr("(batch_id * 13) % 700 / 1000"))
         .withColumn("generate_s", F.expr("(batch_id * 97) % 5000 / 1000"))
         .withColumn("queue_wait_ms", F.expr("(document_index * 13 + page_index * 7) % 300"))
@@ -115,6 +114,18 @@ def outcomes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """Scored pages with their texts."""
+    return with_outcome(batched(spark, folder))
+
+
+def outcome_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Scored pages by their keys, batches and times. Texts are not read."""
+    docs = documents(spark, folder).drop("text")
+    keys = explode_pages(docs).select("document_index", "page_index", "page_count")
+    return with_outcome(page_batches(keys, docs, BATCH_PAGES))
+
+
 def stored_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     """Scored pages without their text, as a table: texts are read once."""
     return materialize(

@@ -325,7 +325,7 @@ def output_count_mismatch(spark, folder):
 
 def _status(spark, folder, scored=None, gaps=False):
     docs = inputs.documents(spark, folder, gaps).drop("text")
-    return scoring.document_status(docs, inputs.outcomes(spark, folder) if scored is None else scored)
+    return scoring.document_status(docs, inputs.outcome_keys(spark, folder) if scored is None else scored)
 
 
 def _generated(spark, folder):
@@ -343,13 +343,13 @@ def document_status(spark, folder):
 @query
 def missing_page_status(spark, folder):
     """Some page results are missing; their documents fail."""
-    scored = inputs.stored_outcomes(spark, folder).filter("(document_index + page_index) % 31 <> 4")
+    scored = inputs.outcome_keys(spark, folder).filter("(document_index + page_index) % 31 <> 4")
     return _status(spark, folder, scored).select("document_index", "status", "error")
 
 
 @query
 def generated_pages(spark, folder):
-    scored = inputs.outcomes(spark, folder)
+    scored = inputs.outcome_keys(spark, folder)
     return scoring.generated_pages(scored, _status(spark, folder)).select(*PAGE, "batch_id")
 
 
@@ -365,7 +365,7 @@ def dropped_pages(spark, folder):
 
 @query
 def failed_documents(spark, folder):
-    return scoring.failed_documents(inputs.outcomes(spark, folder))
+    return scoring.failed_documents(inputs.outcome_keys(spark, folder))
 
 
 @query
@@ -545,7 +545,7 @@ def request_timing(spark, folder):
 
 @query
 def request_batch_timing(spark, folder):
-    return metrics.request_batch_timing(inputs.outcomes(spark, folder))
+    return metrics.request_batch_timing(inputs.outcome_keys(spark, folder))
 
 
 # -- streams -----------------------------------------------------------------

@@ -53,3 +53,14 @@ def test_same_rows_as_sql(spark, tables, database, name):
 
 def test_entry_gives_a_row_per_document(spark):
     assert entry_points.entry(spark).count() == 200
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["document_status", "missing_page_status", "generated_pages", "active_pages", "dropped_pages", "failed_documents",
+     "failures", "request_batch_timing"],
+)
+def test_status_is_made_without_reading_texts(spark, tables, name):
+    plan = QUERIES[name](spark, tables)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "ReadSchema" in line]
+    assert scans and not any("text:" in line for line in scans)
