@@ -141,6 +141,29 @@ def result_lines(results: DataFrame) -> DataFrame:
     return results.select("document_index", "part_index", F.to_json(F.struct(*fields)).alias("value"))
 
 
+def request_responses(results: DataFrame, timing: DataFrame) -> DataFrame:
+    """Responses to requests, a request being a document: status code, body and timing as JSON.
+
+    The body holds page count, page results in order and usage, or the error as
+    ``detail``. ``timing`` has ``request_id``, ``total_ms`` and ``steps``. A
+    request of several parts has a row for each, like its results.
+    """
+    ok = F.col("status") == "ok"
+    body = F.when(ok, F.to_json(F.struct("page_count", "results", "usage"))).otherwise(
+        F.to_json(F.struct(F.col("error").alias("detail")))
+    )
+    spent = timing.select(
+        F.col("request_id").alias("document_index"), F.to_json(F.struct("total_ms", "steps")).alias("timing")
+    )
+    return results.join(spent, "document_index", "left").select(
+        F.col("document_index").alias("request_id"),
+        "part_index",
+        F.when(ok, 200).otherwise(500).alias("status_code"),
+        body.alias("body"),
+        "timing",
+    )
+
+
 def failures(status: DataFrame) -> DataFrame:
     """Failed documents with their error, in document order."""
     return (

@@ -392,6 +392,8 @@ def _usage_json(given: str, made: str) -> str:
     )
 
 
+_SPENT = {"gpu_queue_wait": "w", "gpu_generate": "g", "postprocess_cpu": "p"}
+_STEPS = ", ".join(f"'{step}': {_SPENT.get(step, 0)}" for step in C.TIMING_STEPS)
 _HEAD = "'document_index': document_index, 'document_path': document_path, 'status': status"
 QUERIES["results_jsonl"] = f"""SELECT document_index, CASE WHEN status = 'failed'
   THEN CAST(to_json({{{_HEAD}, 'error': error, 'page_count': page_count, 'part_index': 0, 'part_count': 1, 'results': CAST([] AS VARCHAR[]),
@@ -399,6 +401,16 @@ QUERIES["results_jsonl"] = f"""SELECT document_index, CASE WHEN status = 'failed
   ELSE CAST(to_json({{{_HEAD}, 'page_count': page_count, 'part_index': 0, 'part_count': 1, 'results': page_lists.results,
     'usage': {_usage_json("CAST(input_tokens AS BIGINT)", "CAST(output_tokens AS BIGINT)")}}}) AS VARCHAR) END AS value
 FROM results LEFT JOIN page_lists USING (document_index)"""
+QUERIES["request_responses"] = f"""SELECT document_index AS request_id, 0::BIGINT AS part_index,
+  CASE WHEN status = 'failed' THEN 500 ELSE 200 END AS status_code,
+  CASE WHEN status = 'failed' THEN CAST(to_json({{'detail': error}}) AS VARCHAR)
+  ELSE CAST(to_json({{'page_count': page_count, 'results': page_lists.results,
+    'usage': {_usage_json("CAST(input_tokens AS BIGINT)", "CAST(output_tokens AS BIGINT)")}}}) AS VARCHAR) END AS body,
+  CAST(to_json({{'total_ms': w + g + p, 'steps': {{{_STEPS}}}}}) AS VARCHAR) AS timing
+FROM results LEFT JOIN page_lists USING (document_index) LEFT JOIN (
+  SELECT document_index, max(w) AS w, CAST(sum(g) AS BIGINT) AS g, CAST(sum(p) AS BIGINT) AS p
+  FROM (SELECT document_index, batch_id, max(queue_wait_ms) AS w, arg_min(gpu_ms, page_index) AS g, arg_min(post_ms, page_index) AS p
+    FROM outcome GROUP BY ALL) GROUP BY 1) USING (document_index)"""
 QUERIES["metrics_json"] = """SELECT CAST(to_json({'cached_tokens': 0, 'documents': documents, 'elapsed_s': elapsed_s, 'failed': failed,
   'generate_s': generate_s, 'generated_cached_tokens': 0, 'generated_input_tokens': CAST(generated_input_tokens AS BIGINT),
   'generated_output_tokens': CAST(generated_output_tokens AS BIGINT), 'generated_pages': generated_pages,

@@ -548,6 +548,17 @@ def request_batch_timing(spark, folder):
     return metrics.request_batch_timing(inputs.outcome_keys(spark, folder))
 
 
+@query
+def request_responses(spark, folder):
+    """Every document as a request, with its response and timing."""
+    steps = ("gpu_queue_wait", "gpu_generate", "postprocess_cpu")
+    pairs = ", ".join(f"'{step}', coalesce({step}, 0)" for step in steps)
+    spans = metrics.request_batch_timing(inputs.outcome_keys(spark, folder)).select(
+        F.col("document_index").alias("request_id"), F.expr(f"stack({len(steps)}, {pairs}) as (step, ms)")
+    )
+    return results.request_responses(_results(spark, folder), metrics.request_timing(spans))
+
+
 # -- streams -----------------------------------------------------------------
 
 
