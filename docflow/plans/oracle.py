@@ -229,7 +229,7 @@ FROM (SELECT *, page_count = 0 OR request_id % 50 = 49 AS no_pages FROM bodies)
     "image_sizes": """SELECT document_index, page_index, CASE WHEN page_index % 6 <> 2 THEN width END AS width,
   CASE WHEN page_index % 6 <> 2 THEN height END AS height,
   CASE WHEN page_index % 6 = 2 THEN 'cannot identify image file' END AS error FROM pg""",
-    "markdown_sink": f"""SELECT replace(string_split(document_path, '/')[-1], 'pdf', 'mmd') AS out_name, 0::BIGINT AS part_index,
+    "markdown_sink": f"""SELECT document_index, document_path, replace(string_split(document_path, '/')[-1], 'pdf', 'mmd') AS out_name, 0::BIGINT AS part_index,
   string_agg(linked || chr(10) || '{C.PAGE_SPLIT.replace(chr(10), "' || chr(10) || '")}' || chr(10), '' ORDER BY page_index) AS markdown
 FROM linked JOIN docs USING (document_index) GROUP BY document_index, document_path""",
     "output_names": """SELECT document_index, replace(name, '.pdf', '_det.mmd') AS tagged, replace(name, 'pdf', 'mmd') AS markdown,

@@ -96,11 +96,18 @@ def markdown_sink(spark, folder):
     named = (
         markup.markdown_pages(inputs.ocr(spark, folder))
         .join(docs, ["document_index", "part_index"])
-        .select(sinks.pdf_outputs(F.col("document_path"))["markdown"].alias("out_name"), "part_index", "markdown")
+        .select(
+            "document_index",
+            "document_path",
+            sinks.pdf_outputs(F.col("document_path"))["markdown"].alias("out_name"),
+            "part_index",
+            "markdown",
+        )
     )
     target = new_folder(spark, "markdown")
     sinks.write_markdown(named, target)
-    return spark.read.schema("out_name string, part_index bigint, markdown string").json(target)
+    schema = "document_index bigint, document_path string, out_name string, part_index bigint, markdown string"
+    return spark.read.schema(schema).json(target)
 
 
 @query

@@ -54,16 +54,21 @@ def image_output(path: Column) -> Column:
 
 
 def write_markdown(named: DataFrame, folder: str, folders: bool = False) -> None:
-    """Write rows of ``out_name``, ``part_index``, ``markdown``.
+    """Write rows of ``out_name``, ``part_index``, ``markdown``, and what tells documents apart.
 
-    By default JSON lines sorted by name and part, in as many files as tasks.
-    With ``folders`` there is a text folder per ``out_name``: readable as
-    files, for corpora small enough to have one folder per document.
+    ``document_index`` and ``document_path`` are written too where there are
+    such columns, so documents of one base name in different folders stay
+    apart. By default JSON lines sorted by name and part, in as many files as
+    tasks. With ``folders`` there is a text folder per document and
+    ``out_name``: readable as files, for corpora small enough for that.
     """
-    spread = named.repartitionByRange(
-        task_count(named.sparkSession), "out_name", "part_index"
-    ).sortWithinPartitions("out_name", "part_index")
+    index = [c for c in ("document_index",) if c in named.columns]
+    keys = [*index, *[c for c in ("document_path",) if c in named.columns]]
+    order = ["out_name", *index, "part_index"]
+    sorted_rows = named.repartitionByRange(task_count(named.sparkSession), *order).sortWithinPartitions(*order)
     if folders:
-        spread.select("out_name", "markdown").write.option("lineSep", "\n").partitionBy("out_name").text(folder)
+        sorted_rows.select(*index, "out_name", "markdown").write.option("lineSep", "\n").partitionBy(
+            *index, "out_name"
+        ).text(folder)
     else:
-        spread.select("out_name", "part_index", "markdown").write.json(folder)
+        sorted_rows.select(*keys, "out_name", "part_index", "markdown").write.json(folder)

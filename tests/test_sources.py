@@ -105,6 +105,19 @@ def test_markdown_folders(spark, tmp_path):
     assert path.read_text(encoding="utf-8") == "é\nx\n"
 
 
+def test_documents_of_one_base_name_stay_apart(spark, tmp_path):
+    rows = [(0, "a/x.pdf", "x.mmd", 0, "first"), (1, "b/x.pdf", "x.mmd", 0, "second")]
+    df = spark.createDataFrame(
+        rows, "document_index bigint, document_path string, out_name string, part_index bigint, markdown string"
+    )
+    sinks.write_markdown(df, str(tmp_path / "lines"))
+    read = spark.read.json(str(tmp_path / "lines")).orderBy("document_index").collect()
+    assert [(r.document_path, r.markdown) for r in read] == [("a/x.pdf", "first"), ("b/x.pdf", "second")]
+    sinks.write_markdown(df, str(tmp_path / "md"), folders=True)
+    (path,) = (tmp_path / "md" / "document_index=1" / "out_name=x.mmd").glob("part-*")
+    assert path.read_text() == "second\n"
+
+
 def test_raw_requests(spark):
     df = spark.createDataFrame(
         [("image", bytearray(b"x"), None), ("image", bytearray(), ""), ("pdf", None, "p")],
