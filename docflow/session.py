@@ -45,9 +45,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+# Folders that new_folder has named and remove_intermediate_tables has not removed.
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """Path of a not yet existing folder below the shared folder."""
-    return f"{shared_folder(spark)}/docflow-{uuid.uuid4().hex}/{name}"
+    _made.append(f"{shared_folder(spark)}/docflow-{uuid.uuid4().hex}")
+    return f"{_made[-1]}/{name}"
+
+
+def remove_intermediate_tables(spark: SparkSession) -> int:
+    """Delete the tables this driver has stored so far; gives their number.
+
+    To be called when no result that reads them is needed any more.
+    """
+    removed = 0
+    while _made:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        removed += bool(store.delete(place, True))
+    return removed
 
 
 def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

@@ -58,3 +58,14 @@ def test_join_by_block_equals_a_plain_join(spark):
         assert joined.filter("name = 'c'").agg(F.max("page_index")).first()[0] == 2499
         assert join_by_block(pages, docs, "left_anti", block=block).collect() == [(9, 4)]
         assert join_by_block(pages, docs, "left_semi", block=block).count() == 2501
+
+
+def test_intermediate_tables_are_removed(spark, tmp_path, monkeypatch):
+    from docflow import session
+
+    monkeypatch.setattr(session, "_made", [])
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    stored = session.materialize(spark.range(5).toDF("n"), "numbers")
+    assert stored.count() == 5 and list(tmp_path.iterdir())
+    assert session.remove_intermediate_tables(spark) == 1
+    assert not list(tmp_path.iterdir()) and session.remove_intermediate_tables(spark) == 0
