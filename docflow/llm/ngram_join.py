@@ -144,8 +144,11 @@ def in_blocks(rows: DataFrame, blocks: int) -> DataFrame:
     return rows.mapInPandas(cut, "block long, entries binary")
 
 
-def candidates(percent: int):
-    """For each block: pairs (a, b) from columns of few rows, members (a, column) of the others."""
+def candidates(percent: int, blocks: int):
+    """For each block: pairs (a, b) from columns of few rows, members (a, run) of the others.
+
+    They are packed by groups of a: the same pair comes from many blocks.
+    """
 
     def find(part: pd.DataFrame) -> pd.DataFrame:
         pieces = [(e, len(e) // 16) for e in part["entries"]]
@@ -170,17 +173,29 @@ def candidates(percent: int):
         pairs = np.unique(np.concatenate(found, 1), axis=1)
         many = rows_of > FEW_ROWS
         runs = (int(part["block"].iloc[0]) << 32) + run[many]
-        return pd.DataFrame(
-            {
-                "a": np.concatenate([pairs[0], row[many]]),
-                "b": pd.array(np.concatenate([pairs[1], row[many]]), "Int64"),
-                "run": pd.array(np.concatenate([np.full(len(pairs[0]), -1), runs]), "Int64"),
-            }
-        )
+        made = np.stack(
+            [
+                np.concatenate([pairs[0], row[many]]),
+                np.concatenate([pairs[1], row[many]]),
+                np.concatenate([np.full(len(pairs[0]), -1), runs]),
+            ],
+            1,
+        ).astype(np.int64)
+        group = (words.mix(made[:, 0].astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        used, starts = np.unique(group[order], return_index=True)
+        ends = [*starts[1:], len(order)]
+        return pd.DataFrame({"rows": used, "packed": [made[order[s:e]].tobytes() for s, e in zip(starts, ends)]})
 
     return find
 
 
+def distinct_rows(part: pd.DataFrame) -> pd.DataFrame:
+    """The pairs and members of a group, each once."""
+    made = np.frombuffer(b"".join(part["packed"]), np.int64).reshape(-1, 3)
+    return pd.DataFrame(np.unique(made, axis=0), columns=["a", "b", "run"])
+
+
 def may_link(percent: int):
     """For the members of columns: each with the one from which its sketch is reached."""
 
@@ -280,7 +295,9 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     found = materialize(
         in_blocks(classes.select("rep", "n", "first"), blocks)
         .groupBy("block")
-        .applyInPandas(candidates(percent), "a long, b long, run long"),
+        .applyInPandas(candidates(percent, blocks), "rows long, packed binary")
+        .groupBy("rows")
+        .applyInPandas(lambda rows: distinct_rows(rows), "a long, b long, run long"),
         "candidates",
     )
     sketches = classes.select("rep", "n", "sketch", "wide")
@@ -290,14 +307,14 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     )
     differing = "aggregate(zip_with({0}_a, {0}_b, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)"
     pairs = (
-        found.filter("run < 0").select("a", "b").distinct().join(left, "a").join(right, "b")
+        found.filter("run < 0").select("a", "b").join(left, "a").join(right, "b")
         .filter(
             F.coalesce(F.expr(differing.format("wide")), F.expr(differing.format("sketch"))) * (100 + percent)
             <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
         )
         .select("a", "b")
     )
-    members = found.filter("run >= 0").select("a", "run").distinct()
+    members = found.filter("run >= 0").select("a", "run")
     reached = (
         members.join(sketches.withColumnRenamed("rep", "a"), "a")
         .withColumn("_bin", F.expr(f"pmod(xxhash64(run), {blocks * 4})"))
