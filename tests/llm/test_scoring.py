@@ -4,7 +4,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from docflow.llm import decontamination, licenses, token_counts, toxicity
 
