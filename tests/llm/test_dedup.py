@@ -213,3 +213,18 @@ def test_passages_of_fifty_words_are_found_and_clean_texts_are_not(make):
     assert len(caught & set(edited)) >= 6
     assert all(r.other_id < r.doc_id and r.similarity >= 0.8 for r in got)
     assert compact_windows.near_duplicate_passages(make([])).count() == 0
+
+
+def test_passages_around_a_common_line_are_linked_to_each_other(make):
+    rng = random.Random(7)
+
+    def fresh(n):
+        return [f"v{rng.randrange(10**6)}" for _ in range(n)]
+
+    line = fresh(30)
+    rows = [(i, " ".join(fresh(60) + line + fresh(60))) for i in range(20)]
+    for i in range(20):
+        passage = fresh(15) + line + fresh(15)
+        rows += [(100 + i + 50 * k, " ".join(fresh(40) + passage + fresh(40))) for k in range(2)]
+    got = compact_windows.near_duplicate_passages(make(rows)).collect()
+    assert {(r.other_id, r.doc_id) for r in got} == {(100 + i, 150 + i) for i in range(20)}
