@@ -228,3 +228,21 @@ def test_passages_around_a_common_line_are_linked_to_each_other(make):
         rows += [(100 + i + 50 * k, " ".join(fresh(40) + passage + fresh(40))) for k in range(2)]
     got = compact_windows.near_duplicate_passages(make(rows)).collect()
     assert {(r.other_id, r.doc_id) for r in got} == {(100 + i, 150 + i) for i in range(20)}
+
+
+def test_each_passage_of_a_pair_is_found(make):
+    rng = random.Random(8)
+
+    def fresh(n):
+        return [f"v{rng.randrange(10**6)}" for _ in range(n)]
+
+    rows, places = [], {}
+    for i in range(12):
+        one, two, between = fresh(60), fresh(55), (25, 40, 60)[i % 3]
+        rows += [(2 * i + k, " ".join(fresh(30) + one + fresh(between) + two + fresh(30))) for k in range(2)]
+        places[2 * i + 1] = {(30, 89), (90 + between, 144 + between)}
+    got = {}
+    for r in compact_windows.near_duplicate_passages(make(rows)).collect():
+        got.setdefault(r.doc_id, set()).add((r.first_word, r.last_word))
+        assert (r.first_word, r.last_word) == (r.other_first, r.other_last)
+    assert got == places
