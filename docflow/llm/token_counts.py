@@ -6,7 +6,7 @@ row with -1 and the new one with +1. A commit adds up the changes of a batch
 per source, language and tokenizer version and writes the sums below the number
 of the batch. A batch that is committed again, after a lost driver or a replay,
 is found there and left as it is, so it counts once. Totals are the sum over
-all batches; ``compact`` folds finished batches into one.
+all batches ever committed; batches are never folded together.
 
 Sums are partially aggregated before the shuffle, so a source with a third of
 all rows is a few rows by then. Tokenizing is row-local; whether the vocabulary
