@@ -204,7 +204,7 @@ class Scanner:
         best = 0
         for start, length, place in parts:
             covered = length
-            for text_end, template_end, before in reversed(ends[-64:]):
+            for text_end, template_end, before in reversed(ends):
                 if start - text_end > MAX_GAP:
                     break
                 if text_end <= start and template_end <= place:

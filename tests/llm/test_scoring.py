@@ -163,3 +163,9 @@ def test_leaks_against_the_full_distance(spark, make, block_bytes):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.leaks(make(rows), none).count() == 0
     assert decontamination.without_leaks(make([]), none).count() == 0
+
+
+def test_chains_reach_back_over_many_short_matches():
+    # 70 matches that fit no chain lie between two that do, all in the allowed gap.
+    between = [(10 + i % 5, 3, 0) for i in range(70)]
+    assert licenses.Scanner._chain(sorted([(0, 10, 5), *between, (18, 10, 20)])) == 20
