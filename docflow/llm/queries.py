@@ -11,9 +11,12 @@ from docflow.llm import (
     compact_windows,
     decontamination,
     exact_dedup,
+    lexical_search,
     licenses,
     mixing,
     ngram_join,
+    phrases,
+    secret_scan,
     sharding,
     suffix_dedup,
     token_counts,
@@ -131,6 +134,36 @@ def op10_exact_dedup(spark, folder):
     return exact_dedup.exact_dedup(spark, f"{folder}/documents.parquet")
 
 
+def op11_lexical_search(spark, folder):
+    """The 50 best documents of every benchmark item."""
+    index = lexical_search.build(table(spark, folder, "documents"))
+    return lexical_search.search(index, table(spark, folder, "benchmark"))
+
+
+def op12_phrases(spark, folder):
+    """The best collocations of every language."""
+    return phrases.collocations(table(spark, folder, "documents")).select(
+        "lang", "rank", "phrase", "a", "l", "r", "n", "score"
+    )
+
+
+def op13_secret_scan(spark, folder):
+    """Secrets by pattern and by the Markov models of a labelled sample, in every text."""
+    docs = table(spark, folder, "documents")
+    found = secret_scan.scan(docs, secret_scan.train(secret_scan.labelled_tokens(docs)))
+
+    def of(kind: str):
+        return F.filter("found", lambda x: x["kind"] == kind)
+
+    base = F.filter("found", lambda x: x["kind"] != "markov")
+    return found.select(
+        "doc_id",
+        *[F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in secret_scan.KINDS],
+        F.sha2(secret_scan.joined(base), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("found")).alias("spans"),
+    )
+
+
 def all_queries() -> dict[str, Query]:
     return {
         name: function
@@ -144,6 +177,8 @@ def oracle_sql() -> dict[str, str]:
         "op4_mixing": OP4,
         "op8_ngram_join": OP8,
         "op10_exact_dedup": OP10,
+        "op11_lexical_search": OP11,
+        "op12_phrases": OP12,
     }
 
 
@@ -187,3 +222,40 @@ p AS (SELECT d.doc_id, d.size, r.source_size, r.target, r.copies,
   FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target, copies, CAST(greatest(0, least(size, rest)) AS BIGINT) AS part,
   CAST(copies * size + greatest(0, least(size, rest)) AS BIGINT) AS taken FROM p"""
+
+OP11 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d WHERE len(w) > 0),
+f AS (SELECT doc_id, term, any_value(n) AS n, count(*) AS tf FROM t GROUP BY doc_id, term),
+g AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS total FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+v AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+w AS (SELECT v.term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w FROM v, g),
+s AS (SELECT q.item_id, f.doc_id, CAST(sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 20 * (100 - 50 + (50 * f.n * docs) // total)))) AS BIGINT) AS score
+  FROM q JOIN w ON w.term = q.term JOIN f ON f.term = q.term, g GROUP BY q.item_id, f.doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50"""
+
+OP12 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM p, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+c AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase),
+t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM c WHERE k = 1 GROUP BY lang),
+q AS (SELECT *, string_split(phrase, ' ') AS w FROM c WHERE k > 1 AND f >= 100),
+s AS (SELECT q.lang, q.phrase, q.f AS a, x.f AS l, y.f AS r, t.n, j,
+    CAST((1000::HUGEINT * q.f * t.n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM q) q
+  JOIN c x ON x.lang = q.lang AND x.phrase = array_to_string(w[1:j], ' ')
+  JOIN c y ON y.lang = q.lang AND y.phrase = array_to_string(w[j + 1:], ' ')
+  JOIN t ON t.lang = q.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+o AS (SELECT DISTINCT u.lang, u.phrase FROM (SELECT lang, f, unnest(flatten(list_transform(range(2, k),
+    lambda m: list_transform(range(1, k - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))))) AS phrase FROM q) u
+  JOIN q v ON v.lang = u.lang AND v.phrase = u.phrase AND u.f >= v.f)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM b ANTI JOIN o USING (lang, phrase) QUALIFY rank <= 2000"""
