@@ -4,20 +4,20 @@ A phrase is a run of 2 to ``LONGEST`` words inside one piece of a text, pieces
 ending at punctuation and line ends; words are lower-cased in A-Z. Everything is
 counted per language.
 
-Tasks number the words of a MB of text with an exact dictionary, hash each word
-once, and have the fingerprints of all runs of k words as differences of one
-polynomial prefix sum. A phrase can only be frequent if the runs inside it are, so
-the lengths are counted one after the other: a task sums up the fingerprints of
-those runs whose parts are marked in a bitmap of the frequent ones, a shuffle adds
-them, and what reaches the least count marks the next bitmap. A bitmap has
-``FILTER_BITS`` bits whatever the input; a fingerprint or a bit that two phrases
-share only lets more runs through.
-
-The last pass verifies against the text: runs marked in the bitmaps are compared
-word by word with the first of their fingerprint, those that differ are set apart,
-and a shuffle adds counts by the words themselves, with the least pointer (document
-and place) of an occurrence. Only these phrases are ever made into strings. Scores
-are computed from exact counts in decimal arithmetic.
+Tasks hash the words of a MB of text and have the fingerprints of all runs of k
+words as differences of one polynomial prefix sum. A phrase can only be frequent if the
+runs inside it are, so the lengths are counted one after the other: a task sums up the
+fingerprints of those runs whose parts are marked in a bitmap of the frequent ones, a
+shuffle adds them, and what reaches the least count marks the next bitmap. A bitmap has
+``FILTER_BITS`` bits whatever the input; a fingerprint or a bit that two phrases share
+only lets more runs through.
+
+The last pass verifies against the text: runs marked in the bitmaps are compared word by
+word, by exact numbers, with the first of their fingerprint, and those that differ are
+set apart. A shuffle brings the runs of a bucket of fingerprints together with a pointer
+(document and place of an occurrence), and they are added up by the words themselves. Only
+these runs are ever made into strings; the buckets grow in number with the corpus. Scores
+are computed from the exact counts in decimal arithmetic.
 
 Defined results: a null text is empty, a null language ``und``; a row counts as
 often as it stands in ``docs``; a null doc_id gives pointers without document;
@@ -30,6 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,8 +45,10 @@ NO_LANG = "und"
 FILTER_BITS = 26
 # Fingerprints a task adds up before it passes them on.
 HELD = 1 << 21
-# Distinct words or phrases a task holds.
-HELD_TEXTS = 1 << 18
+# Different runs a task holds in the last pass.
+HELD_RUNS = 1 << 19
+# Bytes of text whose marked runs meet in one bucket of the last shuffle.
+BUCKET_BYTES = 16 << 20
 # Bytes after which a piece ends; words are separated by these, space and tab.
 ENDS = np.zeros(256, bool)
 ENDS[[*b".,;:!?", 10, 11, 12, 13]] = True
@@ -56,32 +59,33 @@ _BUCKET_BITS = 15  # bits of one bucket of Spark's bitmap functions
 
 
 class Words:
-    """The words of some texts of one language: exact numbers, hashes, pieces and prefix sums."""
+    """The words of some texts of one language: hashes, pieces and prefix sums."""
 
     def __init__(self, lang: str, texts: list[bytes]):
-        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-        gap = GAPS[data]
-        edges = np.flatnonzero(np.diff(np.concatenate([[True], gap])))
-        starts, ends = edges[0::2], edges[1::2]
-        self.n = len(starts)
-        self.first = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]]))
-        offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
-        array = pa.Array.from_buffers(
-            pa.binary(), self.n, [None, pa.py_buffer(offsets), pa.py_buffer(data[~gap].tobytes())]
-        ).dictionary_encode()
-        self.numbers = array.indices.to_numpy()
-        self.dictionary: list[bytes] = array.dictionary.to_pylist()
-        seed = xxhash.xxh3_64_intdigest(lang.encode())
-        hashes = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in self.dictionary], np.uint64)
-        self.hashes = hashes[self.numbers] if self.n else np.zeros(0, np.uint64)
-        self.piece = np.cumsum(ENDS[data])[starts]
+        self.data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        self.hashes, self.starts, self.ends, bounds = words.words(texts, GAPS)
+        self.first = bounds[:-1]
+        self.n = len(self.hashes)
+        text = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        # Both rise from word to word, so the sum is equal only within a piece.
+        self.piece = np.cumsum(ENDS[self.data])[self.starts] + text
+        self.seed = np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))
         powers, self.inverse = _powers(self.n)
         self.sums = np.concatenate([[np.uint64(0)], np.cumsum(self.hashes * powers[: self.n], dtype=np.uint64)])
 
+    def dictionary(self) -> tuple[np.ndarray, pa.Array]:
+        """Exact number of every word, and the words."""
+        offsets = np.concatenate([[0], np.cumsum(self.ends - self.starts)]).astype(np.int32)
+        letters = self.data[~GAPS[self.data]].tobytes()
+        coded = pa.Array.from_buffers(
+            pa.binary(), self.n, [None, pa.py_buffer(offsets), pa.py_buffer(letters)]
+        ).dictionary_encode()
+        return coded.indices.to_numpy(), coded.dictionary
+
     def prints(self, k: int) -> np.ndarray:
         """Fingerprint of the k words from every place that has so many behind it."""
         m = max(0, self.n - k + 1)
-        return words.mix((self.sums[k : k + m] - self.sums[:m]) * self.inverse[:m] + np.uint64(k))
+        return words.mix((self.sums[k : k + m] - self.sums[:m]) * self.inverse[:m] + self.seed + np.uint64(k))
 
     def whole(self, k: int) -> np.ndarray:
         """Whether the k words from each of these places are in one piece."""
@@ -122,33 +126,15 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes
                     part, size = [], 0
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[tuple[str, bytes], int] = {}
-
-    def out() -> pa.RecordBatch:
-        langs, texts = zip(*held) if held else ((), ())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(langs, pa.string()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(held.values(), pa.int64())],
-            ["lang", "phrase", "n"],
-        )
-
-    for lang, group, _ in _groups(batches):
-        found = Words(lang, group)
-        for text, n in zip(found.dictionary, np.bincount(found.numbers, minlength=len(found.dictionary)).tolist()):
-            held[lang, text] = held.get((lang, text), 0) + n
-        if len(held) >= HELD_TEXTS:
-            yield out()
-            held.clear()
-    yield out()
-
-
 def _marked(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
     place = prints >> np.uint64(64 - FILTER_BITS)
     return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _inside(found: Words, k: int, bits: np.ndarray, part: int) -> np.ndarray:
+def _inside(found: Words, k: int, bits: np.ndarray | None, part: int) -> np.ndarray:
     """Places where k words are in one piece and all runs of ``part`` words in them are marked."""
+    if not part:
+        return np.arange(found.n)
     marked = _marked(bits, found.prints(part))
     ok = found.whole(k)
     for j in range(k - part + 1):
@@ -168,7 +154,7 @@ def _count_prints(lengths: tuple[int, ...], part: int, shared) -> Callable:
     """Sums of the fingerprints of runs whose parts of ``part`` words are marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        bits = shared.value if part else None
         prints, counts, held = [], [], 0
 
         def out() -> pa.RecordBatch:
@@ -196,63 +182,97 @@ def _count_prints(lengths: tuple[int, ...], part: int, shared) -> Callable:
     return run
 
 
-def _verify(shared: list) -> Callable:
-    """Marked runs by their words: language, phrase, words, count and first pointer."""
+RUN = {"lang": pa.string(), "phrase": pa.string(), "words": pa.int32(), "n": pa.int64(), "doc_id": pa.int64(), "place": pa.int64()}
+
+
+def _runs_of(found: Words, lang: str, ids: pa.Array, marks: list[np.ndarray]) -> Iterator[pa.Table]:
+    """Marked runs by their words, with their fingerprint, count and first pointer."""
+    numbers, dictionary = found.dictionary()
+    for k, bits in enumerate(marks, 1):
+        prints = found.prints(k)
+        at = np.flatnonzero(found.whole(k) & _marked(bits, prints))
+        while len(at):
+            _, first, which, counts = np.unique(prints[at], return_index=True, return_inverse=True, return_counts=True)
+            model = at[first][which]
+            same = np.ones(len(at), bool)
+            for j in range(k):
+                same &= numbers[at + j] == numbers[model + j]
+            if not same.all():
+                counts = np.bincount(which[same], minlength=len(first))
+            starts = at[first]
+            doc = np.searchsorted(found.first, starts, side="right") - 1
+            parts = [dictionary.take(pa.array(numbers[starts + j])) for j in range(k)]
+            phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if k > 1 else parts[0]
+            rows = len(starts)
+            yield pa.table(
+                {
+                    "lang": pa.repeat(pa.scalar(lang), rows),
+                    "phrase": phrase.cast(pa.string()),
+                    "words": pa.repeat(pa.scalar(k, pa.int32()), rows),
+                    "n": pa.array(counts, pa.int64()),
+                    "doc_id": ids.take(pa.array(doc)).cast(pa.int64()),
+                    "place": pa.array(starts - found.first[doc], pa.int64()),
+                    "print": pa.array(prints[starts]),
+                }
+            )
+            # Other words under a fingerprint are counted on their own.
+            at = at[~same]
+    rows = {name: pa.nulls(1, kind) for name, kind in RUN.items()}
+    rows |= {"lang": pa.array([lang]), "phrase": pa.array([""]), "words": pa.array([0], pa.int32()), "n": pa.array([found.n], pa.int64())}
+    yield pa.table(rows | {"print": pa.array([int(found.seed)], pa.uint64())})
+
+
+def _summed(runs: pa.Table) -> pa.Table:
+    """One row for equal words of a language: counts added up, the first pointer."""
+    out = runs.group_by(["lang", "phrase", "words"], use_threads=False).aggregate(
+        [("n", "sum"), *((name, "first", pc.ScalarAggregateOptions(skip_nulls=False)) for name in runs.schema.names[4:])]
+    )
+    return pa.table({name: out[name if name in out.schema.names else "n_sum" if name == "n" else f"{name}_first"] for name in runs.schema.names})
+
+
+def _verify(shared: list, buckets: int) -> Callable:
+    """Marked runs by their words, packed by bucket: a row per bucket, with all runs as lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, bytes], list] = {}
+        marks, held, rows = [bits.value for bits in shared], [], 0
 
-        def out() -> pa.RecordBatch:
-            values = list(held.values())
-            langs, texts = zip(*held) if held else ((), ())
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(langs, pa.string()),
-                    pa.array(texts, pa.binary()).cast(pa.string()),
-                    pa.array([v[0] for v in values], pa.int32()),
-                    pa.array([v[1] for v in values], pa.int64()),
-                    pa.array([v[2][0] for v in values], pa.int64()),
-                    pa.array([v[2][1] for v in values], pa.int64()),
-                ],
-                ["lang", "phrase", "words", "n", "doc_id", "place"],
-            )
+        def out(runs: pa.Table) -> pa.RecordBatch:
+            bucket = runs["print"].to_numpy() % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            runs, (own, starts) = runs.take(pa.array(order)).combine_chunks(), np.unique(bucket[order], return_index=True)
+            offsets = pa.array(np.append(starts, len(order)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, runs[name].combine_chunks()) for name in RUN]
+            return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), *lists], ["bucket", *RUN])
 
         for lang, group, ids in _groups(batches):
-            found = Words(lang, group)
-            ids = ids.to_pylist()
-            for k, bits in enumerate(shared, 2):
-                prints = found.prints(k)
-                at = np.flatnonzero(found.whole(k) & _marked(bits.value, prints))
-                while len(at):
-                    _, first, which, counts = np.unique(prints[at], return_index=True, return_inverse=True, return_counts=True)
-                    model = at[first][which]
-                    same = np.ones(len(at), bool)
-                    for j in range(k):
-                        same &= found.numbers[at + j] == found.numbers[model + j]
-                    if not same.all():
-                        counts = np.bincount(which[same], minlength=len(first))
-                    starts = at[first]
-                    doc = np.searchsorted(found.first, starts, side="right") - 1
-                    runs = found.numbers[starts[:, None] + np.arange(k)].tolist()
-                    for run_, n, d, place in zip(runs, counts.tolist(), doc.tolist(), (starts - found.first[doc]).tolist()):
-                        key = lang, b" ".join([found.dictionary[i] for i in run_])
-                        pointer = ids[d], place
-                        old = held.get(key)
-                        if old is None:
-                            held[key] = [k, n, pointer]
-                        else:
-                            old[1] += n
-                            old[2] = min(old[2], pointer, key=lambda p: (p[0] is None, p))
-                    # Other words under a fingerprint are counted on their own.
-                    at = at[~same]
-            if len(held) >= HELD_TEXTS:
-                yield out()
-                held.clear()
-        yield out()
+            for runs in _runs_of(Words(lang, group), lang, ids, marks):
+                held.append(runs)
+                rows += len(runs)
+            if rows >= HELD_RUNS:
+                held = [_summed(pa.concat_tables(held))]
+                rows = len(held[0])
+                if rows >= HELD_RUNS // 2:
+                    yield out(held[0])
+                    held, rows = [], 0
+        if held:
+            yield out(_summed(pa.concat_tables(held)))
 
     return run
 
 
+def _bucket(least: int) -> Callable:
+    """The runs of one bucket that stand often enough, and the words per language."""
+
+    def add_up(packed: pa.Table) -> pa.Table:
+        runs = pa.table({name: packed[name].combine_chunks().flatten() for name in RUN})
+        # The least pointer comes first, rows without a document last.
+        runs = runs.take(pc.sort_indices(runs, [("doc_id", "ascending"), ("place", "ascending")], null_placement="at_end"))
+        runs = _summed(runs)
+        return runs.filter(pc.or_(pc.greater_equal(runs["n"], least), pc.equal(runs["words"], 0)))
+
+    return add_up
+
+
 def _bitmap(spark, prints: DataFrame):
     """Broadcast bitmap of the fingerprints: 2^FILTER_BITS bits, made by Spark in buckets."""
     place = F.shiftrightunsigned("print", 64 - FILTER_BITS)
@@ -271,32 +291,17 @@ def _bitmap(spark, prints: DataFrame):
 def phrase_counts(docs: DataFrame, least: int = MIN_COUNT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """All runs of up to ``longest`` words that stand ``least`` times, and the words per language.
 
-    The first has lang, phrase, words, n, and doc_id and place of the first
-    occurrence (null for single words), the second lang and total.
+    The first has lang, phrase, words, n, and doc_id and place of an occurrence (the
+    least of those that tasks met first), the second lang and total.
     """
     if least < 1 or longest < 2:
         raise ValueError("least must be at least 1 and longest at least 2")
     spark = docs.sparkSession
     words.small_batches(spark)
     texts = docs.select("doc_id", "text", "lang")
-    single = materialize(
-        texts.mapInArrow(_count_words, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")),
-        "words",
-    )
-    frequent = single.filter(F.col("n") >= least)
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [
-                Words(lang, [text.encode()]).prints(1)[:1]
-                for lang, text in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist())
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*out, np.zeros(0, np.uint64)]).view(np.int64))], ["print"])
-
-    bits = _bitmap(spark, frequent.select("lang", "phrase").mapInArrow(hashed, "print long"))
-    marks = []
-    # Runs of four and five words are counted in one pass: few have only frequent parts.
-    for lengths in [(k,) for k in range(2, min(longest, 3) + 1)] + [tuple(range(4, longest + 1))] * (longest > 3):
+    marks, bits = [], None
+    # Runs of four and more words are counted in one pass: few have only frequent parts.
+    for lengths in [(k,) for k in range(1, min(longest, 3) + 1)] + [tuple(range(4, longest + 1))] * (longest > 3):
         counted = (
             texts.mapInArrow(_count_prints(lengths, lengths[0] - 1, bits), "print long, n long")
             .groupBy("print")
@@ -305,19 +310,16 @@ def phrase_counts(docs: DataFrame, least: int = MIN_COUNT, longest: int = LONGES
         )
         bits = _bitmap(spark, counted)
         marks += [bits] * len(lengths)
-    found = (
-        texts.mapInArrow(_verify(marks), "lang string, phrase string, words int, n long, doc_id long, place long")
-        .groupBy("lang", "phrase", "words")
-        .agg(
-            F.sum("n").alias("n"),
-            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("first"),
-        )
-        .filter(F.col("n") >= least)
-        .select("lang", "phrase", "words", "n", "first.doc_id", "first.place")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = int(size // BUCKET_BYTES) + 1
+    columns = "lang string, phrase string, words int, n long, doc_id long, place long"
+    lists = ", ".join(f"{name} array<{kind}>" for name, kind in (c.split() for c in columns.split(", ")))
+    runs = materialize(
+        texts.mapInArrow(_verify(marks, buckets), f"bucket long, {lists}").groupBy("bucket").applyInArrow(_bucket(least), columns),
+        "runs",
     )
-    runs = frequent.select("lang", "phrase", F.lit(1).alias("words"), "n").unionByName(found, allowMissingColumns=True)
-    totals = single.groupBy("lang").agg(F.sum("n").alias("total"))
-    return materialize(runs, "runs"), totals
+    totals = runs.filter("words = 0").groupBy("lang").agg(F.sum("n").alias("total"))
+    return runs.filter("words > 0"), totals
 
 
 def _joined(parts: Column) -> Column:

@@ -138,8 +138,10 @@ def test_runs_that_share_a_fingerprint_are_counted_apart(monkeypatch):
     monkeypatch.setattr(phrases.words, "mix", lambda x: x & np.uint64(1))
     text = "a b a b c a b. b c a, c a"
     batch = pa.RecordBatch.from_pydict({"doc_id": [3], "text": [text], "lang": ["en"]})
-    [out] = phrases._verify([All])(iter([batch]))
-    rows = {r["phrase"]: (r["n"], r["doc_id"], r["place"]) for r in out.to_pylist()}
+    [out] = phrases._verify([All, All], 1)(iter([batch]))
+    runs = phrases._bucket(1)(pa.table([pa.concat_arrays([c, c]) for c in out.columns], out.schema.names)).to_pylist()
+    assert {r["phrase"]: r["n"] for r in runs if r["words"] < 2} == {"": 24, "a": 10, "b": 8, "c": 6}
+    rows = {r["phrase"]: (r["n"] // 2, r["doc_id"], r["place"]) for r in runs if r["words"] == 2}
     assert rows == {"a b": (3, 3, 0), "b a": (1, 3, 1), "b c": (2, 3, 3), "c a": (3, 3, 4)}
 
 
