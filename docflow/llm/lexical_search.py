@@ -41,6 +41,8 @@ TOP = 50
 PIECE_POSTINGS = 1 << 19
 BLOCK_BYTES = 4 << 20
 BLOCK_ITEMS = 4096
+# Strata whose numbers of pieces may be broadcast, 16 bytes each.
+SENT_STRATA = 1 << 16
 _TERMS = bytes(32 if words.NOT_ALNUM[b] else b for b in words.LOWER)
 _LAST = np.iinfo(np.int64).max
 
@@ -124,14 +126,20 @@ def build(docs: DataFrame, piece: int = PIECE_POSTINGS) -> Index:
     )
     documents, length = forward.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     placed = forward.withColumn("m", F.expr(f"50 + (50 * n * {documents}) div {max(1, length)}"))
-    sizes = placed.groupBy("m").agg(F.sum(F.size("terms")).alias("_postings"))
-    # Pieces of a stratum: documents are dealt by their id and place in the table.
+    # Pieces of the strata that have several, dealt by id and place in the table. There is a
+    # row for each m at most; only if these are few are they sent to all tasks.
+    split = materialize(
+        placed.groupBy("m").agg(F.sum(F.size("terms")).alias("_postings")).filter(F.col("_postings") > piece), "split"
+    ).select("m", F.ceil(F.col("_postings") / F.lit(piece)).alias("_pieces"))
+    split = F.broadcast(split) if split.count() <= SENT_STRATA else split
     dealt = F.xxhash64("doc_id", F.monotonically_increasing_id())
     rows = (
         placed.withColumn("_dealt", dealt)
-        .join(sizes, "m")
-        .withColumn("piece", F.pmod("_dealt", F.ceil(F.col("_postings") / F.lit(piece))))
+        .join(split, "m", "left")
+        .withColumn("piece", F.pmod("_dealt", F.coalesce("_pieces", F.lit(1))))
         .select("m", "piece", "doc_id", "terms", "often")
+        # Asked for explicitly: rows dealt by m alone would do for the grouping.
+        .repartition("m", "piece")
         .groupBy("m", "piece")
         .applyInArrow(
             _stratum, "m long, docs array<long>, terms array<binary>, tf array<int>, counts array<int>, places array<int>"
