@@ -156,6 +156,19 @@ def failing_model(rows: pd.DataFrame) -> pd.DataFrame:
     return echo_model(rows)
 
 
+def rarely_failing_model(rows: pd.DataFrame) -> pd.DataFrame:
+    """As :func:`echo_model`, but one batch in 97 fails."""
+    batch = rows["batch_id"].iloc[0]
+    if batch % 97 == 3:
+        raise RuntimeError(f"fail batch {batch}")
+    return echo_model(rows)
+
+
+def unscored(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages as they go to the stand-in models, without a batch."""
+    return ocr(spark, folder).withColumnRenamed("raw_text", "payload").drop("output_tokens", "chunk")
+
+
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     """Pages scored batch by batch by the stand-in model."""
     ready = batched(spark, folder).withColumnRenamed("raw_text", "payload").drop("output_tokens", "chunk")

@@ -11,6 +11,7 @@ import re
 from docflow import constants as C
 from docflow.plans import inputs as I
 from docflow.plans import queries as Q
+from docflow.plans import waves as W
 
 TAG = C.REF_PATTERN
 EOS = C.EOS_TOKEN
@@ -428,6 +429,27 @@ QUERIES["raw_requests"] = f"""SELECT document_index AS request_id, kind,
     ELSE '<image>' || chr(10) || '<|grounding|>Convert the document to markdown.' END AS prompt,
   CASE WHEN document_index % 13 IN (2, 5) THEN CASE kind WHEN 'pdf' THEN '{C.EMPTY_PDF_ERROR}' ELSE '{C.EMPTY_IMAGE_ERROR}' END END AS error
 FROM (SELECT *, CASE WHEN document_index % 2 = 0 THEN 'pdf' ELSE 'image' END AS kind FROM docs)"""
+# What a wave leaves ahead depends on the wave before it; every 97th batch fails.
+COMMON["doc_span"] = """
+SELECT document_index, sum(page_count) OVER (ORDER BY document_index) - page_count AS s,
+  sum(page_count) OVER (ORDER BY document_index) AS e FROM docs WHERE page_count > 0"""
+RECURSIVE["wave_plan"] = f"""
+SELECT 0::BIGINT AS wave, 0::BIGINT AS begins, 0::BIGINT AS b, {W.FIRST_WAVE}::BIGINT AS size
+UNION ALL
+SELECT wave + 1, begins_next, b + size,
+  CASE WHEN (b + (least(stop, total) - begins - 1) // {I.BATCH_PAGES} + 94) // 97 > (b + 93) // 97
+    THEN greatest({W.FIRST_WAVE}, size // 2) ELSE size * 2 END
+FROM (SELECT w.*, CAST(CASE WHEN e > stop AND (b + size - 1 + 94) // 97 > (b + (greatest(s, begins) - begins) // {I.BATCH_PAGES} + 93) // 97
+    THEN e ELSE stop END AS BIGINT) AS begins_next
+  FROM (SELECT *, begins + size * {I.BATCH_PAGES} AS stop, (SELECT max(e) FROM doc_span) AS total FROM wave_plan) w
+  JOIN doc_span d ON d.s < least(stop, total) AND d.e >= least(stop, total))
+WHERE begins_next < total"""
+QUERIES["wave_scoring"] = f"""SELECT document_index, page_index, wave, batch_id,
+  CASE WHEN batch_id % 97 <> 3 THEN output_tokens END AS output_tokens,
+  CASE WHEN batch_id % 97 = 3 THEN 'fail batch ' || batch_id END AS error
+FROM (SELECT document_index, page_index, wave, b + CAST(s + page_index - begins AS BIGINT) // {I.BATCH_PAGES} AS batch_id, output_tokens
+  FROM ocr JOIN doc_span USING (document_index) JOIN wave_plan
+    ON s + page_index >= begins AND s + page_index < begins + size * {I.BATCH_PAGES})"""
 QUERIES["stream_pages"] = QUERIES["decode_batch_requests"]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docflow.operators import batching, markup, metrics, pages, results, scoring
 from docflow.operators.ordering import document_blocks
-from docflow.plans import corpus, inputs
+from docflow.plans import corpus, inputs, waves
 from docflow.session import new_folder
 from docflow.sources import files, sinks
 from docflow.streaming import batches as stream_batches
@@ -330,6 +330,23 @@ def output_count_mismatch(spark, folder):
     return scored.select(*PAGE, "batch_id", "output_tokens", "error")
 
 
+@query
+def wave_scoring(spark, folder):
+    """Pages scored in waves; those of documents that failed in an earlier wave are not."""
+    docs = inputs.documents(spark, folder).drop("text")
+    kept = [*PAGE, "batch_id", "width", "height", "input_tokens"]
+    pages = waves.score_in_waves(
+        inputs.unscored(spark, folder),
+        docs,
+        inputs.rarely_failing_model,
+        inputs.MODEL_OUTPUT,
+        kept,
+        new_folder(spark, "waves"),
+        inputs.BATCH_PAGES,
+    )
+    return pages.select(*PAGE, F.col("wave").cast("long").alias("wave"), "batch_id", "output_tokens", "error")
+
+
 def _status(spark, folder, scored=None, gaps=False):
     docs = inputs.documents(spark, folder, gaps).drop("text")
     return scoring.document_status(docs, inputs.outcome_keys(spark, folder) if scored is None else scored)
