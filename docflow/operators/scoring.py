@@ -41,7 +41,7 @@ def worker_object(name: str, build: Callable[[], Any], version: str = "") -> Any
     return held[1]
 
 
-def _run_scorer(rows: pd.DataFrame, scorer: Scorer, outputs: T.StructType) -> pd.DataFrame:
+def run_scorer(rows: pd.DataFrame, scorer: Scorer, outputs: T.StructType) -> pd.DataFrame:
     """Score one batch. Any error of the scorer or its outputs fails it as a whole.
 
     The outputs are converted to the declared types here, so a missing column
@@ -98,7 +98,7 @@ def score_batches(
     def score(rows: pd.DataFrame) -> pd.DataFrame:
         run = worker_object("scorer", make_scorer, version) if make_scorer else scorer
         ordered = rows.sort_values(["document_index", "page_index"])
-        return _run_scorer(ordered, run, outputs)[names]
+        return run_scorer(ordered, run, outputs)[names]
 
     return (
         pages.repartition(partitions or task_count(pages.sparkSession), "batch_id")
@@ -132,10 +132,10 @@ def score_stream_of_pages(
         for part in parts:
             waiting = part if waiting is None else pd.concat([waiting, part], ignore_index=True)
             while len(waiting) >= batch_pages:
-                yield _run_scorer(waiting.iloc[:batch_pages], run, outputs)[names]
+                yield run_scorer(waiting.iloc[:batch_pages], run, outputs)[names]
                 waiting = waiting.iloc[batch_pages:]
         if waiting is not None and len(waiting):
-            yield _run_scorer(waiting, run, outputs)[names]
+            yield run_scorer(waiting, run, outputs)[names]
 
     return pages.mapInPandas(score, schema)
 

@@ -17,6 +17,7 @@ from docflow.operators.batching import page_batches
 from docflow.operators.pages import explode_pages, plan_tokens
 from docflow.operators.scoring import score_batches
 from docflow.session import materialize, new_folder
+from docflow.streaming.runner import table_stream
 
 PAGE_CHARS = 1800
 BATCH_PAGES = 64
@@ -164,6 +165,13 @@ def rarely_failing_model(rows: pd.DataFrame) -> pd.DataFrame:
     return echo_model(rows)
 
 
+def down_for_some(rows: pd.DataFrame) -> pd.DataFrame:
+    """As :func:`echo_model`, but down for every seventh user."""
+    if rows["user_id"].iloc[0] % 7 == 3:
+        raise RuntimeError("model down")
+    return echo_model(rows)
+
+
 def unscored(spark: SparkSession, folder: str) -> DataFrame:
     """Pages as they go to the stand-in models, without a batch."""
     return ocr(spark, folder).withColumnRenamed("raw_text", "payload").drop("output_tokens", "chunk")
@@ -253,6 +261,17 @@ def arrivals(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def arrival_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The arrivals as a stream, each with a request and a payload."""
+    return table_stream(spark, f"{folder}/events.parquet").select(
+        "event_id",
+        "user_id",
+        F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("queued_us"),
+        F.col("event_type").alias("request"),
+        F.expr("concat(event_type, ' ', event_id)").alias("payload"),
+    )
+
+
 def spans(spark: SparkSession, folder: str) -> DataFrame:
     """Timed steps in hundredths of a millisecond; some are negative."""
     return table(spark, folder, "events").select(

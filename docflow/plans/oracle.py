@@ -450,6 +450,26 @@ QUERIES["wave_scoring"] = f"""SELECT document_index, page_index, wave, batch_id,
 FROM (SELECT document_index, page_index, wave, b + CAST(s + page_index - begins AS BIGINT) // {I.BATCH_PAGES} AS batch_id, output_tokens
   FROM ocr JOIN doc_span USING (document_index) JOIN wave_plan
     ON s + page_index >= begins AND s + page_index < begins + size * {I.BATCH_PAGES})"""
+COMMON["closed"] = f"""
+SELECT *, CASE WHEN rows = {Q.QUEUE_ROWS} THEN 'full' WHEN later IS NULL THEN 'idle' ELSE 'next' END AS reason,
+  CASE WHEN rows = {Q.QUEUE_ROWS} THEN latest ELSE opened_at + {Q.WAIT_US} END AS closed_at
+FROM (SELECT user_id, batch_id, opened_at, opened_by, count(*) AS rows, max(queued_us) AS latest, list(queued_us) AS times,
+    count(DISTINCT event_type) AS requests, lead(opened_at) OVER (PARTITION BY user_id ORDER BY batch_id) AS later
+  FROM user_batches JOIN (SELECT event_id, event_type FROM events) USING (event_id) GROUP BY user_id, batch_id, opened_at, opened_by)"""
+QUERIES["stream_closed_batches"] = """SELECT user_id, opened_at, opened_by, closed_at, reason, rows, requests,
+  list_sort(list_transform(times, lambda t: closed_at - t))[rows // 2 + 1] AS wait_p50, closed_at - opened_at AS wait_max FROM closed"""
+QUERIES["stream_microbatches"] = """SELECT user_id, event_id, event_type AS request, opened_at, opened_by, rows AS batch_rows,
+  closed_at - queued_us AS wait,
+  CASE WHEN user_id % 7 <> 3 THEN event_type || ' ' || event_id END AS raw_text,
+  CASE WHEN user_id % 7 <> 3 THEN CAST(2 AS BIGINT) END AS output_tokens,
+  CASE WHEN user_id % 7 = 3 THEN 'model down' END AS error
+FROM user_batches JOIN (SELECT event_id, event_type FROM events) USING (event_id) JOIN closed USING (user_id, batch_id, opened_at, opened_by)"""
+QUERIES["stream_completed_documents"] = """SELECT document_index, status, error, page_count,
+  CASE status WHEN 'ok' THEN i ELSE 0 END AS input_tokens, CAST(0 AS BIGINT) AS cached_tokens,
+  CASE status WHEN 'ok' THEN o ELSE 0 END AS output_tokens, CASE status WHEN 'ok' THEN i + o ELSE 0 END AS total_tokens
+FROM status JOIN (SELECT document_index, CAST(sum(input_tokens) AS BIGINT) AS i, CAST(sum(output_tokens) AS BIGINT) AS o FROM cost GROUP BY 1)
+  USING (document_index)"""
+QUERIES["stream_documents_in_order"] = """SELECT document_index, document_path, status, error, document_index AS sequence FROM gapped"""
 QUERIES["stream_pages"] = QUERIES["decode_batch_requests"]
 
 

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.operators import batching, markup, metrics, pages, results, scoring
-from docflow.operators.ordering import document_blocks
+from docflow.operators.ordering import dense_position, document_blocks
 from docflow.plans import corpus, inputs, waves
 from docflow.session import new_folder
 from docflow.sources import files, sinks
 from docflow.streaming import batches as stream_batches
+from docflow.streaming import completion
 from docflow.streaming import deltas as stream_deltas
-from docflow.streaming import runner
+from docflow.streaming import microbatch, runner
 from docflow.streaming import usage as stream_usage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,7 @@ WAIT_US = 6 * 3600 * 1_000_000
 QUEUE_ROWS = 5
 SHARED_WAIT_US = 20 * 60 * 1_000_000
 SHARED_ROWS = 6
+IDLE_MS = 200
 CONTEXT = 1200
 REPEAT_N, REPEAT_WINDOW, REPEAT_WHITELIST = 3, 12, (2,)
 
@@ -628,3 +630,40 @@ def stream_usage_by_window(spark, folder):
     return stream_usage.run_on_table(spark, folder)
 
 
+
+
+@query
+def stream_closed_batches(spark, folder):
+    """When and why the batches of every user's queue close; the last ones by a timer."""
+    events = microbatch.close_events(
+        inputs.arrival_stream(spark, folder), "user_id", "queued_us", "event_id", "request", WAIT_US, QUEUE_ROWS, IDLE_MS
+    )
+    return runner.run_until_idle(events, "closed_batches", IDLE_MS)
+
+
+@query
+def stream_microbatches(spark, folder):
+    """Pages scored in the shared batches of their queue; the model is down for some users."""
+    scored = microbatch.score_microbatches(
+        inputs.arrival_stream(spark, folder), "user_id", "queued_us", "event_id", inputs.down_for_some, inputs.MODEL_OUTPUT,
+        ["event_id", "request"], WAIT_US, QUEUE_ROWS, IDLE_MS,
+    )
+    return runner.run_until_idle(scored.drop("generate_s"), "microbatches", IDLE_MS)
+
+
+@query
+def stream_completed_documents(spark, folder):
+    """Documents that are done while their pages arrive out of order."""
+    pages = inputs.stored_outcomes(spark, folder).repartition(6, "page_index", "document_index")
+    arriving = runner.file_stream(spark, inputs.as_files(pages, "arriving"), pages.schema, max_files=2)
+    return runner.run_to_end(completion.complete_documents(arriving), "completed")
+
+
+@query
+def stream_documents_in_order(spark, folder):
+    """Finished documents arrive in any order and leave in theirs."""
+    done = _status(spark, folder, gaps=True).select("document_index", "document_path", "status", "error")
+    arriving = inputs.as_files(done.repartition(5, F.xxhash64("document_index")), "finished")
+    finished = runner.file_stream(spark, arriving, done.schema, max_files=1)
+    left = completion.run_in_order(finished, "in_order")
+    return dense_position(left, ["trigger", "document_index"], "sequence").drop("trigger")

@@ -19,6 +19,8 @@ def build_session(app_name: str = "docflow", master: str | None = None, **conf:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.python.worker.reuse": "true",
+        # Python reaches stream state by a socket file, not a port.
+        "spark.python.unix.domain.socket.enabled": "true",
         # State of streams lives on disk.
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,6 +84,44 @@ def run_updates_to_end(stream: DataFrame, name: str, keys: Sequence[str]) -> Dat
     )
 
 
+def run_until_idle(stream: DataFrame, name: str, wait_ms: int, every_ms: int = 100) -> DataFrame:
+    """Process all input that is there and let every timer of ``wait_ms`` run out; the output.
+
+    For streams that hold rows until a processing-time timer ends.
+    """
+    spark = stream.sparkSession
+    target = new_folder(spark, name)
+    running = (
+        stream.writeStream.format("parquet")
+        .option("path", target)
+        .option("checkpointLocation", new_folder(spark, f"{name}_progress"))
+        .outputMode("append")
+        .trigger(processingTime=f"{every_ms} milliseconds")
+        .start()
+    )
+    try:
+        _let_timers_end(running, wait_ms / 1000)
+    finally:
+        running.stop()
+    return spark.read.schema(stream.schema).parquet(target)
+
+
+def _let_timers_end(running, wait_s: float) -> None:
+    """Wait for a trigger without input, which has read everything, and then for one that began after all timers' end."""
+    ends = None
+    while running.isActive:
+        last = running.lastProgress
+        if last is not None and last["numInputRows"] == 0:
+            began = datetime.datetime.fromisoformat(last["timestamp"].replace("Z", "+00:00")).timestamp()
+            if ends is None:
+                ends = began + wait_s
+            elif began > ends:
+                return
+        time.sleep(0.1)
+    if running.exception():
+        raise running.exception()
+
+
 def run_to_end(stream: DataFrame, name: str) -> DataFrame:
     """Process all input that is there, in append mode, and read the output back."""
     spark = stream.sparkSession
