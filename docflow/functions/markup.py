@@ -40,7 +40,7 @@ def clean_text(raw: Column) -> Column:
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once for all its uses."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -154,7 +154,7 @@ def link_images(text: Column, page: Column) -> Column:
             lambda acc, tag: fewer_newlines(plain_symbols(F.replace(acc, tag["full"], F.lit("")))),
         )
 
-    return _let(ref_tags(text), rendered)
+    return let(ref_tags(text), rendered)
 
 
 def fewer_newlines(text: Column) -> Column:
@@ -184,7 +184,7 @@ def tidy_formulas(text: Column) -> Column:
 
 def eval_markdown(raw: Column) -> Column:
     """Formulas tidied, then every tag removed. The end token stays."""
-    return _let(
+    return let(
         tidy_formulas(raw),
         lambda text: F.aggregate(
             _all_tags(text),
@@ -204,4 +204,4 @@ def plain_image_links(raw: Column) -> Column:
             lambda acc, tag: plain_symbols(F.replace(acc, tag["full"], F.lit(""))),
         )
 
-    return _let(ref_tags(raw), rendered)
+    return let(ref_tags(raw), rendered)

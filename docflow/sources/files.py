@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docflow import constants as C
+from docflow.functions.markup import let
 from docflow.functions.text import has_extension, or_default, path_parts
 from docflow.operators.ordering import dense_position
 
@@ -165,34 +166,37 @@ def parse_requests(df: DataFrame, body: str = "body") -> DataFrame:
     An image that is not base64 fails its whole request.
     """
 
+    def decoded(text: Column) -> Column:
+        # Only what is not plain base64 is cleaned: line ends and other characters outside
+        # the alphabet are passed over.
+        plain = F.try_to_binary(F.nullif(text, F.lit("")), F.lit("base64"))
+        cleaned = F.nullif(F.regexp_replace(text, "[^A-Za-z0-9+/=]", ""), F.lit(""))
+        return F.coalesce(plain, F.try_to_binary(cleaned, F.lit("base64")))
+
     def checked(read: Column) -> Column:
-        # Line ends and other characters outside the alphabet are passed over.
-        payloads = F.transform(
-            read["images"],
-            lambda text: F.try_to_binary(
-                F.nullif(F.regexp_replace(text, "[^A-Za-z0-9+/=]", ""), F.lit("")), F.lit("base64")
-            ),
-        )
-        error = (
-            F.when(read.isNull() | read["_bad"].isNotNull(), F.lit(C.INVALID_JSON_ERROR))
-            .when(F.coalesce(F.size(read["images"]), F.lit(0)) <= 0, F.lit(C.NO_IMAGES_ERROR))
-            .when(F.exists(payloads, lambda payload: payload.isNull()), F.lit("image is not base64"))
-        )
-        return F.struct(
-            or_default(read["prompt"], C.DEFAULT_PROMPT).alias("prompt"),
-            payloads.alias("payloads"),
-            error.alias("error"),
-        )
+        def judged(payloads: Column) -> Column:
+            error = (
+                F.when(read.isNull() | read["_bad"].isNotNull(), F.lit(C.INVALID_JSON_ERROR))
+                .when(F.coalesce(F.size(read["images"]), F.lit(0)) <= 0, F.lit(C.NO_IMAGES_ERROR))
+                .when(F.exists(payloads, lambda payload: payload.isNull()), F.lit("image is not base64"))
+            )
+            return F.struct(
+                or_default(read["prompt"], C.DEFAULT_PROMPT).alias("prompt"),
+                payloads.alias("payloads"),
+                error.alias("error"),
+            )
+
+        return let(F.transform(read["images"], decoded), judged)
 
     read = F.from_json(F.col(body), REQUEST_SCHEMA, {"columnNameOfCorruptRecord": "_bad"})
-    return df.withColumn("request", F.get(F.transform(F.array(read), checked), F.lit(0)))
+    # A generator, since what reads several fields of a plain column would parse once for each.
+    return df.select("*", F.explode(F.array(let(read, checked))).alias("request"))
 
 
 def decode_requests(df: DataFrame, body: str = "body") -> DataFrame:
     """One row per image of the accepted requests, ``page_index`` from 0.
 
-    Rejected requests are left out after the explode: a filter before it would
-    parse and decode every body a second time.
+    Rejected requests are left out after the explode.
     """
     accepted = F.when(F.col("request.error").isNull(), F.col("request.payloads"))
     return (
@@ -212,6 +216,5 @@ def rejected_requests(df: DataFrame, body: str = "body") -> DataFrame:
     """Requests that were not accepted, with the reason."""
     return (
         parse_requests(df, body)
-        .select(*[c for c in df.columns if c != body], "request.error")
-        .filter("error is not null")
+        .select(*[c for c in df.columns if c != body], F.explode(F.array_compact(F.array("request.error"))).alias("error"))
     )
