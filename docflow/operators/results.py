@@ -141,6 +141,30 @@ def result_lines(results: DataFrame) -> DataFrame:
     return results.select("document_index", "part_index", F.to_json(F.struct(*fields)).alias("value"))
 
 
+def result_pieces(results: DataFrame) -> DataFrame:
+    """Document results as pieces of JSON lines: the pieces of a document, put together, are its one line.
+
+    The first piece has all that stands before the page results, every piece its part of them, and
+    the last one what stands behind.
+    """
+    head = ["document_index", "document_path", "status", "error", "page_count"]
+    tail = ["usage", *(["timings"] if "timings" in results.columns else [])]
+
+    def inner(names: list[str]) -> Column:
+        """The JSON of some fields without its braces."""
+        text = F.to_json(F.struct(*names))
+        return F.substring(text, F.lit(2), F.length(text) - 2)
+
+    pages = F.to_json("results")
+    first, last = F.col("part_index") == 0, F.col("part_index") == F.col("part_count") - 1
+    piece = F.concat(
+        F.when(first, F.concat(F.lit("{"), inner(head), F.lit(',"results":['))).otherwise(F.lit(",")),
+        F.substring(pages, F.lit(2), F.length(pages) - 2),
+        F.when(last, F.concat(F.lit("],"), inner(tail), F.lit("}\n"))).otherwise(F.lit("")),
+    )
+    return results.select("document_index", "part_index", piece.alias("piece"))
+
+
 def request_responses(results: DataFrame, timing: DataFrame) -> DataFrame:
     """Responses to requests, a request being a document: status code, body and timing as JSON.
 

@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 from docflow import constants as C
 from docflow.operators import batching, metrics, results, scoring
 from docflow.operators.ordering import PAGE_BLOCK
+from docflow.plans import waves
 from docflow.session import materialize
-from docflow.sources import sinks
+from docflow.sources import named_files, sinks
 
 
 def score_corpus(
@@ -94,6 +95,8 @@ def run_corpus(
     folder: str,
     batch_pages: int = C.DEFAULT_BATCH_PAGES,
     make_scorer: Callable[[], scoring.Scorer] | None = None,
+    one_line: bool = False,
+    first_wave: int | None = None,
 ) -> CorpusOutput:
     """Score a corpus and write page results, documents, metrics, batches and failures.
 
@@ -101,16 +104,25 @@ def run_corpus(
     ``render_s`` and optionally ``render_error``. Batches and failures grow
     with the corpus, so they are tables next to the metrics object and not
     lists inside it.
+
+    With ``first_wave`` pages are scored in waves, of so many batches at first, that pass over the
+    documents that failed, and a run that is started again goes on behind the last stored wave.
+    With ``one_line`` each document is one JSON line however many pages it has.
     """
     started = time.perf_counter()
-    scored = score_corpus(pages, docs, scorer, outputs, keep, batch_pages, make_scorer)
-    if "preprocess_s" not in scored.columns:
-        scored = scored.withColumn("preprocess_s", F.lit(0.0))
     target = CorpusOutput(*[f"{folder}/{field.name}" for field in fields(CorpusOutput)])
-    done = finished_pages(scored, target.page_results)
+    if first_wave is None:
+        scored = score_corpus(pages, docs, scorer, outputs, keep, batch_pages, make_scorer)
+        done = finished_pages(_with_preprocessing(scored), target.page_results)
+    else:
+        done = waves.score_in_waves(
+            pages, docs, scorer, outputs, keep, target.page_results, batch_pages, first_wave, make_scorer
+        )
+        done = _with_preprocessing(done)
     status = scoring.document_status(docs, done)
     summary = results.document_summary(status, done)
-    sinks.write_results(results.document_results(with_timings(summary, done), done), target.results)
+    write = named_files.write_result_lines if one_line else sinks.write_results
+    write(results.document_results(with_timings(summary, done), done), target.results)
     results.failures(status).write.json(target.failures)
     generated = scoring.generated_pages(done, status)
     metrics.batch_metrics(generated).orderBy("batch_id").write.json(target.batches)
@@ -119,6 +131,10 @@ def run_corpus(
     return target
 
 
+def _with_preprocessing(scored: DataFrame) -> DataFrame:
+    return scored if "preprocess_s" in scored.columns else scored.withColumn("preprocess_s", F.lit(0.0))
+
+
 def with_timings(summary: DataFrame, pages: DataFrame) -> DataFrame:
     """Add ``timings``: seconds to render, and with the document's batches in total."""
     per_batch = pages.groupBy("document_index", "batch_id").agg(

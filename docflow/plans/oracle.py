@@ -402,6 +402,9 @@ QUERIES["results_jsonl"] = f"""SELECT document_index, CASE WHEN status = 'failed
   ELSE CAST(to_json({{{_HEAD}, 'page_count': page_count, 'part_index': 0, 'part_count': 1, 'results': page_lists.results,
     'usage': {_usage_json("CAST(input_tokens AS BIGINT)", "CAST(output_tokens AS BIGINT)")}}}) AS VARCHAR) END AS value
 FROM results LEFT JOIN page_lists USING (document_index)"""
+QUERIES["one_line_results"] = f"""SELECT replace(value, '"part_index":0,"part_count":1,', '') AS value FROM ({QUERIES["results_jsonl"]})"""
+QUERIES["named_markdown_files"] = f"""SELECT replace(document_path, '.pdf', '_det.mmd') AS file, string_agg(markdown, '' ORDER BY part_index) AS markdown
+FROM ({QUERIES["markdown_with_tags"]}) JOIN docs USING (document_index) GROUP BY 1"""
 QUERIES["request_responses"] = f"""SELECT document_index AS request_id, 0::BIGINT AS part_index,
   CASE WHEN status = 'failed' THEN 500 ELSE 200 END AS status_code,
   CASE WHEN status = 'failed' THEN CAST(to_json({{'detail': error}}) AS VARCHAR)

@@ -11,7 +11,7 @@ from docflow.operators import batching, markup, metrics, pages, results, scoring
 from docflow.operators.ordering import dense_position, document_blocks
 from docflow.plans import corpus, inputs, waves
 from docflow.session import new_folder
-from docflow.sources import files, sinks
+from docflow.sources import files, named_files, sinks
 from docflow.streaming import batches as stream_batches
 from docflow.streaming import completion
 from docflow.streaming import deltas as stream_deltas
@@ -112,6 +112,27 @@ def markdown_sink(spark, folder):
     return spark.read.schema(schema).json(target)
 
 
+@query
+def named_markdown_files(spark, folder):
+    """Tagged markdown as a file of its own name for each document, read back."""
+    docs = inputs.documents(spark, folder).drop("text")
+    target = new_folder(spark, "named")
+    named_files.write_named(sinks.markdown_files(inputs.ocr(spark, folder), docs, "tagged"), target, ["part_index"])
+    read = spark.read.option("recursiveFileLookup", "true").schema("value string").text(target, wholetext=True)
+    return read.select(
+        F.concat_ws("/", F.slice(F.split(F.input_file_name(), "/"), -3, 3)).alias("file"), F.col("value").alias("markdown")
+    )
+
+
+@query
+def one_line_results(spark, folder):
+    """Documents in parts of two pages, written as one JSON line each, read back."""
+    docs = inputs.documents(spark, folder).drop("text")
+    target = new_folder(spark, "lines")
+    named_files.write_result_lines(corpus.document_results(docs, inputs.scored(spark, folder), block=2), target)
+    return spark.read.schema("value string").text(target)
+
+
 @query
 def output_names(spark, folder):
     docs = inputs.documents(spark, folder)

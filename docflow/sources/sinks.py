@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docflow.functions.text import file_name
+from docflow.operators import markup
 from docflow.operators.results import result_lines
 from docflow.session import task_count
 
@@ -53,6 +54,38 @@ def image_output(path: Column) -> Column:
     return F.replace(name, F.lit(".png"), F.lit(".md"))
 
 
+def markdown_files(pages: DataFrame, docs: DataFrame, kind: str) -> DataFrame:
+    """Markdown of one kind as pieces of files: ``file``, ``part_index`` and ``piece``.
+
+    ``kind`` is ``tagged`` (``<name>_det.mmd``) or ``markdown`` (``<name>.mmd``) for whole
+    documents, and ``eval`` (``<name>.md``), ``result`` (``result.mmd``) or ``original``
+    (``result_ori.mmd``) for images, whose pages each are one file. Files stand in the folder of
+    their document; those of one name for all documents have a folder for each.
+    """
+    path = F.col("document_path")
+    parts = F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1)
+
+    def beside(name: Column) -> Column:
+        return F.array_join(F.concat(parts, F.array(name)), "/")
+
+    if kind in ("tagged", "markdown"):
+        texts = markup.markdown_with_tags(pages) if kind == "tagged" else markup.markdown_pages(pages)
+        joined = texts.join(docs.select("document_index", "document_path"), "document_index")
+        return joined.select(beside(pdf_outputs(path)[kind]).alias("file"), "part_index", F.col("markdown").alias("piece"))
+    if kind == "eval":
+        named, texts = beside(image_output(path)), markup.eval_markdown(pages)
+    elif kind == "result":
+        named, texts = F.concat(path, F.lit("/result.mmd")), markup.image_markdown(pages)
+    elif kind == "original":
+        named, texts = F.concat(path, F.lit("/result_ori.mmd")), pages.withColumn("markdown", F.col("raw_text"))
+    else:
+        raise ValueError(f"no such kind of markdown: {kind}")
+    texts = texts.select("document_index", "page_index", "markdown")
+    return texts.join(docs.select("document_index", "document_path"), "document_index").select(
+        named.alias("file"), F.col("page_index").alias("part_index"), F.col("markdown").alias("piece")
+    )
+
+
 def write_markdown(named: DataFrame, folder: str, folders: bool = False) -> None:
     """Write rows of ``out_name``, ``part_index``, ``markdown``, and what tells documents apart.
 

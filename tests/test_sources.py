@@ -137,3 +137,89 @@ def test_sizes_from_other_headers():
     big = b"MM\0*\0\0\0\x08\0\2\1\0\0\3\0\0\0\1\0\x20\0\0\1\1\0\3\0\0\0\1\0\x10\0\0"
     assert files.header_size(big) == (32, 16)
     assert files.header_size(big[:20]) is None and files.header_size(b"") is None
+
+
+# -- turned images -----------------------------------------------------------
+
+
+def exif(orientation, order="<"):
+    """Exif data with one tag."""
+    head = b"II*\0" if order == "<" else b"MM\0*"
+    return head + struct.pack(order + "IHHHIHH", 8, 1, 274, 3, 1, orientation, 0) + struct.pack(order + "I", 0)
+
+
+def jpeg(width, height, orientation=None, order="<", before=0):
+    out = b"\xff\xd8\xff\xe0" + struct.pack(">H", 2 + before) + b"x" * before
+    if orientation:
+        body = b"Exif\0\0" + exif(orientation, order)
+        out += b"\xff\xe1" + struct.pack(">H", len(body) + 2) + body
+    return out + b"\xff\xc0" + struct.pack(">HBHHB", 11, 8, height, width, 3) + b"rest"
+
+
+def png_with(width, height, orientation):
+    chunk = exif(orientation)
+    return (b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0) + b"crc0"
+            + struct.pack(">I", len(chunk)) + b"eXIf" + chunk + b"crc0" + struct.pack(">I", 0) + b"IDAT")
+
+
+def webp(width, height, orientation=None, image=0):
+    body = b"VP8X" + struct.pack("<I", 10) + bytes([8 if orientation else 0, 0, 0, 0])
+    body += (width - 1).to_bytes(3, "little") + (height - 1).to_bytes(3, "little") + b"VP8 " + struct.pack("<I", image) + b"i" * image
+    if orientation:
+        body += b"EXIF" + struct.pack("<I", len(exif(orientation))) + exif(orientation)
+    return b"RIFF" + struct.pack("<I", len(body) + 4) + b"WEBP" + body
+
+
+def tiff(width, height, orientation):
+    tags = [(256, 4, width), (257, 4, height), (274, 3, orientation)]
+    return b"II*\0" + struct.pack("<IH", 8, len(tags)) + b"".join(struct.pack("<HHII", t, k, 1, v) for t, k, v in tags) + b"\0" * 4
+
+
+SEEN = [
+    *[(jpeg(30, 20, o), (20, 30) if o >= 5 else (30, 20)) for o in range(1, 9)],
+    (jpeg(30, 20, 6, ">"), (20, 30)), (jpeg(30, 20), (30, 20)), (jpeg(30, 20, 8, before=60_000), (20, 30)),
+    (png_with(30, 20, 6), (20, 30)), (png_with(30, 20, 3), (30, 20)), (webp(30, 20, 7), (20, 30)), (webp(30, 20), (30, 20)),
+    (webp(30, 20, 5, image=200_000), (20, 30)), (tiff(30, 20, 8), (20, 30)), (tiff(30, 20, 2), (30, 20)),
+    (b"", None), (b"\xff\xd8\xff", None), (jpeg(30, 20, 9), (30, 20)),
+]
+
+
+def test_sizes_are_those_of_the_turned_image(spark):
+    rows = [(i, bytearray(data)) for i, (data, _) in enumerate(SEEN)]
+    got = files.payload_sizes(spark.createDataFrame(rows, "i int, payload binary")).orderBy("i").collect()
+    assert [(r.width, r.height) if r.error is None else None for r in got] == [size for _, size in SEEN]
+
+
+def test_header_sizes_of_a_folder(spark, tmp_path):
+    endings = {b"\xff": "JPG", b"\x89": "png", b"R": "webp", b"I": "tiff", b"": "bmp"}
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    for i, (data, _) in enumerate(SEEN):
+        # A long tail, of which nothing may be needed.
+        (tmp_path / "in" / ("sub" if i % 2 else ".") / f"{i}.{endings[data[:1]]}").write_bytes(data)
+    (tmp_path / "in" / "notes.txt").write_bytes(jpeg(3, 3))
+    got = {int(r.path.rpartition("/")[2].split(".")[0]): r for r in files.header_sizes(spark, str(tmp_path / "in"), 3).collect()}
+    assert {i: (r.width, r.height) if r.error is None else None for i, r in got.items()} == {i: size for i, (_, size) in enumerate(SEEN)}
+
+
+def test_only_the_head_of_an_image_is_read():
+    class File:
+        read = 0
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            return False
+
+        def size(self):
+            return 50_000_000
+
+        def read_at(self, length, at):
+            File.read = max(File.read, at + length)
+            return jpeg(30, 20, 6)
+
+    class Store:
+        def open_input_file(self, path):
+            return File()
+
+    assert files.read_size(Store(), "x.jpg") == (20, 30) and File.read == files.HEAD_BYTES
