@@ -152,21 +152,22 @@ def leaks(
     for block in item_blocks(benchmark, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def search(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(shared.value, per_error)
-            for part in parts:
-                rows = [
-                    (doc_id, *found)
-                    for doc_id, text in zip(part["doc_id"].tolist(), part["text"].tolist())
-                    for found in matcher.find(text)
-                ]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "end"])
-
-        out = out.unionByName(docs.select("doc_id", "text").mapInPandas(search, schema))
+        found = F.explode(_search(shared, per_error)("text"))
+        out = out.unionByName(docs.select("doc_id", found.alias("_found")).select("doc_id", "_found.*"))
     return out
 
 
+def _search(shared, per_error: int):
+    """The items of the block in a text. Texts alone go to Python, so ids stay as they are."""
+
+    def search(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(shared.value, per_error)
+        for part in parts:
+            yield pd.Series([matcher.find(text) for text in part], dtype=object)
+
+    return F.pandas_udf(search, "array<struct<item_id bigint, distance int, end bigint>>")
+
+
 def without_leaks(
     docs: DataFrame, benchmark: DataFrame, per_error: int = BYTES_PER_ERROR, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:

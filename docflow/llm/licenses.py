@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from docflow.llm import words
 
@@ -217,20 +218,20 @@ class Scanner:
 def scan(docs: DataFrame, base: dict[str, str] = BASE, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
     """One row per row of ``docs``: words, places of base phrases, labels and score."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+
+    @F.pandas_udf(
+        "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+    )
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(base, notices)
-        names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
         for part in parts:
-            for first, group in words.chunks(part["text"].tolist()):
-                out = pd.DataFrame(scanner.scan(group), columns=names)
-                out["first_word"] = out["first_word"].astype("Int64")
-                out["last_word"] = out["last_word"].astype("Int64")
-                out.insert(0, "doc_id", part["doc_id"].iloc[first : first + len(group)].to_numpy())
-                yield out
+            rows = [row for _, group in words.chunks(part.tolist()) for row in scanner.scan(group)]
+            out = pd.DataFrame(rows, columns=names)
+            out["first_word"] = out["first_word"].astype("Int64")
+            out["last_word"] = out["last_word"].astype("Int64")
+            yield out
 
     words.small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(
-        run,
-        "doc_id long, n_words long, n_base long, first_word long, last_word long, "
-        "base_labels string, labels string, score double",
-    )
+    # Texts alone go to Python: a null among the ids would turn them into doubles there.
+    return docs.select("doc_id", run("text").alias("_found")).select("doc_id", "_found.*")

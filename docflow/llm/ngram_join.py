@@ -92,14 +92,16 @@ def feature_rows(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame
     """doc_id, size of the set, its signature, its first shingles, and its sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
-    def features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["n", "sign", "sign2", "first", "sketch", "wide"]
+
+    @F.pandas_udf("n long, sign long, sign2 long, first binary, sketch array<bigint>, wide array<bigint>")
+    def features(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         common = shared.value
         for part in parts:
-            ids = part["doc_id"]
-            for first, group in words.chunks(part["text"].tolist()):
+            rows = []
+            for _, group in words.chunks(part.tolist()):
                 hashes, _, _, bounds = words.words(group)
                 found, at = words.shingles(hashes, bounds)
-                rows = []
                 for i in range(len(group)):
                     own = np.unique(found[at[i] : at[i + 1]])
                     n = len(own)
@@ -108,13 +110,10 @@ def feature_rows(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame
                     sketches = parities(own, SKETCH_BITS), parities(own, WIDE_BITS) if n > WIDE_FROM else None
                     signs = own.sum(dtype=np.uint64), np.bitwise_xor.reduce(words.mix(own ^ np.uint64(n)))
                     rows.append((n, *(int(np.int64(s)) if s < 1 << 63 else int(s) - (1 << 64) for s in map(int, signs)), own[order].tobytes(), *sketches))
-                out = pd.DataFrame(rows, columns=["n", "sign", "sign2", "first", "sketch", "wide"])
-                out.insert(0, "doc_id", ids.iloc[first : first + len(group)].to_numpy())
-                yield out
+            yield pd.DataFrame(rows, columns=names)
 
-    return docs.select("doc_id", "text").mapInPandas(
-        features, "doc_id long, n long, sign long, sign2 long, first binary, sketch array<bigint>, wide array<bigint>"
-    )
+    # Texts alone go to Python: a null among the ids would turn them into doubles there.
+    return docs.select("doc_id", features("text").alias("_found")).select("doc_id", "_found.*")
 
 
 def in_blocks(rows: DataFrame, blocks: int) -> DataFrame:

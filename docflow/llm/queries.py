@@ -41,7 +41,7 @@ def op2_toxicity(spark, folder):
     found = toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return found.select(
         "doc_id",
-        (toxicity.fold() == 2).alias("held_out"),
+        F.coalesce(toxicity.fold() == 2, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
         "threshold",

@@ -351,16 +351,14 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
         .agg(F.collect_list("runs").alias("runs"))
     )
 
-    def finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for packed_text, own in zip(part["packed"], part["runs"]):
-                data = zlib.decompress(packed_text)
-                rows.append((len(data), *take_out(data, own)))
-            out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
-            out.insert(0, "doc_id", part["doc_id"].to_numpy())
-            yield out
-
-    return packed.join(runs, ["doc_id", "digest"], "left").select("doc_id", "packed", "runs").mapInPandas(
-        finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    )
+    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    def finish(packed_texts: pd.Series, found: pd.Series) -> pd.DataFrame:
+        rows = []
+        for packed_text, own in zip(packed_texts, found):
+            data = zlib.decompress(packed_text)
+            rows.append((len(data), *take_out(data, own)))
+        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    # Ids stay out of Python, where a null among them would turn them into doubles.
+    joined = packed.join(runs, ["doc_id", "digest"], "left")
+    return joined.select("doc_id", finish("packed", "runs").alias("_done")).select("doc_id", "_done.*")
