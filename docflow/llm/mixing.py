@@ -16,8 +16,9 @@ all rows is never sorted as a whole.
 Defined results: null and empty texts have size 0 and are taken 0 times; a
 source without words has target 0; the null source is a source of its own and
 comes last; equal hashes are ordered by doc_id; an empty table gives
-no rows. Columns other than doc_id, text and source are carried by ``mix``
-unless they clash with its own, which win.
+no rows. Columns other than doc_id, text and source are not read by ``mix``, which carries
+those it is told to keep; ``repeat_documents`` returns all columns as they are, and rows of one
+doc_id, or of none, are documents of their own.
 """
 
 from __future__ import annotations
@@ -88,12 +89,14 @@ def mix(
     docs: DataFrame,
     weights: Sequence[float] = (5, 2, 1),
     max_epochs: int = 3,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, part and taken.
+    """doc_id, source, size, source_size, target, copies, part and taken; and the columns to keep.
 
-    ``copies`` whole copies and ``part`` words of one more make ``taken`` words.
+    ``copies`` whole copies and ``part`` words of one more make ``taken`` words. Documents of
+    equal hash and id are ordered by the columns to keep.
     """
-    sizes = materialize(with_sizes(docs), "sizes")
+    sizes = materialize(with_sizes(docs, keep), "sizes")
     targets = materialize(source_targets(sizes, weights, max_epochs), "targets").withColumn(
         # Words left for the documents that get one copy more.
         "_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -119,7 +122,7 @@ def mix(
     planned = sizes.join(plan, same & (F.col("_range") == F.col("_r"))).drop("_source", "_r")
     earlier = (
         Window.partitionBy("source", "_range")
-        .orderBy("draw", "doc_id")
+        .orderBy("draw", "doc_id", *keep)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     inner = planned.filter("_edge").withColumn(
@@ -136,6 +139,7 @@ def mix(
         F.col("_whole").cast("bigint").alias("copies"),
         part.cast("bigint").alias("part"),
         (F.col("_whole") * F.col("size") + part).cast("bigint").alias("taken"),
+        *keep,
     )
 
 
@@ -145,17 +149,19 @@ def repeat_documents(
     """The mix as rows of ``docs``, each as often as it is taken.
 
     A text is never cut: the edge document of a source gives a whole copy if
-    half of it or more is taken. Texts without words are kept once.
+    half of it or more is taken. Texts without words are kept once. ``docs`` is read
+    twice and must give the same rows in the same partitions, as a stored table does.
     """
-    plan = mix(docs.select("doc_id", "text", "source"), weights, max_epochs)
+    keyed = docs.withColumn("_row_key", F.monotonically_increasing_id())
+    plan = mix(keyed.select("doc_id", "text", "source", "_row_key"), weights, max_epochs, ["_row_key"])
     times = plan.select(
-        F.col("doc_id").alias("_doc_id"),
+        "_row_key",
         F.when(F.col("size") == 0, 1)
         .otherwise(F.col("copies") + (2 * F.col("part") >= F.col("size")).cast("int"))
         .alias("_times"),
-    ).filter("_times > 0").dropDuplicates(["_doc_id"])
+    ).filter("_times > 0")
     return (
-        docs.join(times, F.expr("doc_id <=> _doc_id"))
+        keyed.join(times, "_row_key")
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times").cast("bigint"))))
         .select(*docs.columns)
     )

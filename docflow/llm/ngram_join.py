@@ -355,3 +355,23 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     return rows.join(by_class, ["sign", "sign2", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("_root", "doc_id")).alias("component_id")
     )
+
+
+def without_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The row of the smallest doc_id of each component, with all its columns.
+
+    Here every row is a node of its own, so of repeated rows and of equal texts without an id one
+    stays too; a null doc_id comes last. ``docs`` is read several times and must give the same rows in
+    the same partitions, as a stored table does.
+    """
+    keyed = docs.withColumn("_row_key", F.monotonically_increasing_id())
+    found = jaccard_components(keyed.select(F.col("_row_key").alias("doc_id"), "text"), percent)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row_key")).alias("_least")
+    first = (
+        keyed.select("_row_key", "doc_id")
+        .join(found.select(F.col("doc_id").alias("_row_key"), "component_id"), "_row_key")
+        .groupBy("component_id")
+        .agg(least)
+        .select("_least._row_key")
+    )
+    return keyed.join(first, "_row_key", "left_semi").select(*docs.columns)
