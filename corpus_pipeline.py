@@ -10,29 +10,30 @@ from docflow.session import materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below the limit."""
+    """Documents whose score is below the limit; a null text scores as one without words."""
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near copies."""
-    found = ngram_join.jaccard_components(docs, 80)
-    others = found.filter("doc_id <> component_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """The document of the smallest doc_id of each group of near copies.
+
+    Of repeated rows one stays; a text without words is nobody's copy.
+    """
+    return ngram_join.without_copies(docs, 80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; an empty benchmark takes none out."""
     return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; texts without words once, every row on its own."""
     return mixing.repeat_documents(docs)
 
 
 def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and place of each row."""
+    """Shard and place of each row; rows of equal text share a shard, null counts as empty."""
     return sharding.shard(docs, 24).withColumn("law", F.lit("bytes"))
 
 
