@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -81,6 +82,16 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_finished(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files and broadcasts that no live plan needs any more.
+
+    Spark does so when the driver's garbage is collected. A loop of many short jobs may go on
+    for long before that happens by itself, and what it has left would take disk and memory.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def task_count(spark: SparkSession) -> int:
     """Number of partitions for an explicit repartition."""
     return max(
