@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docflow.session import materialize
+from docflow.session import materialize, release_finished
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,9 +34,17 @@ def components(edges: DataFrame) -> DataFrame:
         after = materialize(
             moved.select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).distinct(), "links"
         )
-        # Done when every node points to one root, and every root to itself.
-        open_nodes = after.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
-        roots = after.filter("u = v").select(F.col("u").alias("v"))
-        if open_nodes.filter("n > 1").isEmpty() and after.join(roots, "v", "left_anti").isEmpty():
+        release_finished(edges.sparkSession)
+        # Done when every node has one row, and every root points to itself: one pass over the nodes.
+        ends = after.select(
+            F.explode(
+                F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.lit(None).cast("bigint").alias("v")))
+            ).alias("e")
+        ).select("e.u", "e.v")
+        nodes = ends.groupBy("u").agg(
+            F.min("v").alias("low"), F.max("v").alias("high"), F.max(F.col("v").isNull()).alias("is_root")
+        )
+        moving = nodes.filter("low is null or low < high or (is_root and low <> u)").agg(F.count(F.lit(1))).first()[0]
+        if not moving:
             return after.select(F.col("u").alias("id"), F.col("v").alias("root"))
         links = after

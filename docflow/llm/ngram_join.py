@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from docflow.llm import words
 from docflow.llm.graph import components
-from docflow.session import materialize
+from docflow.session import materialize, release_finished
 
 COUNT_BITS = 18
 COUNT_PARTS = 64
@@ -299,6 +299,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
         .applyInPandas(lambda rows: distinct_rows(rows), "a long, b long, run long"),
         "candidates",
     )
+    release_finished(docs.sparkSession)
     sketches = classes.select("rep", "n", "sketch", "wide")
     left, right = (
         sketches.select(*[F.col(c).alias(f"{c}_{side}") for c in ("n", "sketch", "wide")], F.col("rep").alias(side))
