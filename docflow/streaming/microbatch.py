@@ -26,15 +26,28 @@ from docflow import constants as C
 from docflow.operators.scoring import Scorer, run_scorer, worker_object
 
 FULL, NEXT, IDLE = "full", "next", "idle"
-Closed = Callable[[Any, pd.DataFrame, str, int], pd.DataFrame]
+Closed = Callable[[Any, Any, str, int], Any]
 
 
 class Queue(StatefulProcessor):
-    """The open batch of one queue. ``closed`` gets the key, the rows, the reason and the closing time."""
+    """The open batch of one queue. ``closed`` gets the key, the rows, the reason and the closing time.
+
+    With the names of ``events`` it gets the rows as tuples and gives one row, and those of a trigger
+    go out together; otherwise it gets and gives frames.
+    """
 
     def __init__(
-        self, schema: T.StructType, time: str, tie: str, max_wait: int, max_rows: int, idle_ms: int, closed: Closed
+        self,
+        schema: T.StructType,
+        time: str,
+        tie: str,
+        max_wait: int,
+        max_rows: int,
+        idle_ms: int,
+        closed: Closed,
+        events: list[str] | None,
     ):
+        self.events = events
         self.schema, self.time, self.tie = schema, time, tie
         self.max_wait, self.max_rows, self.idle_ms, self.closed = max_wait, max_rows, idle_ms, closed
 
@@ -58,7 +71,7 @@ class Queue(StatefulProcessor):
         batch = old + list(new[self.schema.names].itertuples(index=False, name=None))
         at = self.schema.names.index(self.time)
         times = np.array([row[at] for row in batch], np.int64)
-        start, changed = 0, not old
+        start, changed, events = 0, not old, []
         while start < len(batch):
             # An arrival that came late belongs to the batch open now.
             later = np.flatnonzero(times[start:] >= times[start] + self.max_wait)
@@ -70,8 +83,14 @@ class Queue(StatefulProcessor):
                 closed_at, why = int(times[start]) + self.max_wait, NEXT
             else:
                 break
-            yield self.closed(key, self._frame(batch[start:end]), why, closed_at)
+            rows = batch[start:end]
+            if self.events:
+                events.append(self.closed(key, rows, why, closed_at))
+            else:
+                yield self.closed(key, self._frame(rows), why, closed_at)
             start, changed = end, True
+        if events:
+            yield pd.DataFrame(events, columns=self.events)
         self.waiting.put(batch[start:]) if start < len(batch) else self.waiting.clear()
         if changed:
             self._set_timer(timerValues.getCurrentProcessingTimeInMs() if start < len(batch) else None)
@@ -81,7 +100,10 @@ class Queue(StatefulProcessor):
             batch = [tuple(row) for row in self.waiting.get()]
             opened = batch[0][self.schema.names.index(self.time)]
             self.waiting.clear()
-            yield self.closed(key, self._frame(batch), IDLE, int(opened) + self.max_wait)
+            if self.events:
+                yield pd.DataFrame([self.closed(key, batch, IDLE, int(opened) + self.max_wait)], columns=self.events)
+            else:
+                yield self.closed(key, self._frame(batch), IDLE, int(opened) + self.max_wait)
 
     def close(self) -> None:
         pass
@@ -97,6 +119,7 @@ def _queued(
     idle_ms: int | None,
     closed: Closed,
     schema: T.StructType,
+    events: bool = False,
 ) -> DataFrame:
     if max_rows < 1 or max_wait < 0 or (idle_ms or 0) < 0:
         raise ValueError("max_rows must be at least 1, max_wait and idle_ms at least 0")
@@ -106,7 +129,7 @@ def _queued(
         if not isinstance(columns[name].dataType, T.LongType):
             raise ValueError(f"{name} must be a bigint")
     return arrivals.groupBy(key).transformWithStateInPandas(
-        Queue(columns, time, tie, max_wait, max_rows, idle_ms, closed), schema, "append", "processingTime"
+        Queue(columns, time, tie, max_wait, max_rows, idle_ms, closed, schema.names if events else None), schema, "append", "processingTime"
     )
 
 
@@ -128,29 +151,21 @@ def close_events(
     upper median of the time from arrival to closing) and wait_max. A null request counts as none.
     """
 
-    def closed(group: tuple, rows: pd.DataFrame, why: str, closed_at: int) -> pd.DataFrame:
-        waits = np.sort(closed_at - rows[time].to_numpy(np.int64))
-        first = rows.iloc[0]
-        return pd.DataFrame(
-            {
-                key: [group[0]],
-                "opened_at": [int(first[time])],
-                "opened_by": [int(first[tie])],
-                "closed_at": [closed_at],
-                "reason": [why],
-                "rows": [len(rows)],
-                "requests": [rows[request].nunique()],
-                "wait_p50": [int(waits[len(waits) // 2])],
-                "wait_max": [int(waits[-1])],
-            }
-        )
+    columns = [name for name in arrivals.columns if name != key]
+    at, by, who = (columns.index(name) for name in (time, tie, request))
+
+    def closed(group: tuple, rows: list[tuple], why: str, closed_at: int) -> tuple:
+        waits = sorted(closed_at - int(row[at]) for row in rows)
+        requests = len({row[who] for row in rows if row[who] is not None})
+        opened = int(rows[0][at]), int(rows[0][by])
+        return (group[0], *opened, closed_at, why, len(rows), requests, waits[len(waits) // 2], waits[-1])
 
     numbers = ("opened_at", "opened_by", "closed_at", "reason", "rows", "requests", "wait_p50", "wait_max")
     schema = T.StructType(
         [arrivals.schema[key]]
         + [T.StructField(n, T.StringType() if n == "reason" else T.LongType()) for n in numbers]
     )
-    return _queued(arrivals, key, time, tie, max_wait, max_rows, idle_ms, closed, schema)
+    return _queued(arrivals, key, time, tie, max_wait, max_rows, idle_ms, closed, schema, events=True)
 
 
 def score_microbatches(
