@@ -246,3 +246,56 @@ def test_each_passage_of_a_pair_is_found(make):
         got.setdefault(r.doc_id, set()).add((r.first_word, r.last_word))
         assert (r.first_word, r.last_word) == (r.other_first, r.other_last)
     assert got == places
+
+
+def test_every_text_of_a_doc_id_is_compared(make):
+    rng = random.Random(9)
+
+    def fresh(n):
+        return [f"v{rng.randrange(10**6)}" for _ in range(n)]
+
+    one, two = fresh(70), fresh(70)
+    rows = [(1, " ".join(fresh(20) + one)), (2, " ".join(fresh(20) + two)), (3, " ".join(fresh(20) + one)), (3, " ".join(fresh(20) + two))]
+    got = compact_windows.near_duplicate_passages(make(rows + rows[:1])).collect()
+    assert {(r.other_id, r.doc_id, r.first_word, r.last_word) for r in got} == {(1, 3, 20, 89), (2, 3, 20, 89)}
+
+
+def test_passages_agree_with_brute_force(make):
+    """Documents that share a passage are connected; links of equal passages are never lost, nine in ten of edited ones are found."""
+    rng = random.Random(10)
+
+    def fresh(n):
+        return [f"v{rng.randrange(10**6)}" for _ in range(n)]
+
+    passages = [fresh(rng.randrange(55, 120)) for _ in range(12)]
+    texts, near = {}, {}
+    for i in range(120):
+        kind = i % 12
+        passage = list(passages[kind])
+        if i >= 84:
+            # One word in sixty or fewer.
+            for place in rng.sample(range(len(passage)), len(passage) // 60 or 1):
+                passage[place] = f"changed{i}"
+        texts[i] = fresh(rng.randrange(40)) + passage + fresh(rng.randrange(40))
+    shingles = {i: {tuple(t[j : j + 5]) for j in range(len(t) - 4)} for i, t in texts.items()}
+    for i in texts:
+        near[i] = {j for j in range(i) if len(shingles[i] & shingles[j]) >= 46}
+    rows = [(i, " ".join(t)) for i, t in texts.items()]
+    rows += [(1000 + i, " ".join(fresh(200))) for i in range(20)]
+    got = compact_windows.near_duplicate_passages(make(rows)).collect()
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in got:
+        assert r.other_id in near[r.doc_id]
+        a, b = texts[r.doc_id][r.first_word : r.last_word + 1], texts[r.other_id][r.other_first : r.other_last + 1]
+        a, b = ({tuple(t[j : j + 5]) for j in range(len(t) - 4)} for t in (a, b))
+        assert abs(len(a & b) / len(a | b) - r.similarity) < 1e-9 and r.similarity >= 0.8
+        one, other = find(r.doc_id), find(r.other_id)
+        root[max(one, other)] = min(one, other)
+    assert all(find(i) == i % 12 for i in range(84))
+    assert sum(find(i) == i % 12 for i in range(84, 120)) >= 0.9 * 36
