@@ -147,6 +147,11 @@ def request_timing(
         )
     else:
         requests = requests.withColumn("_total", F.col("_accounted"))
+    return timing_of(requests, steps)
+
+
+def timing_of(requests: DataFrame, steps: Sequence[str] = C.TIMING_STEPS) -> DataFrame:
+    """Timing from ``_total``, ``_accounted`` and ``_steps``, the sums of a request's spans; the latter may be null."""
     defaults = F.create_map(*[F.lit(item) for step in steps for item in (step, 0.0)])
     empty = F.map_from_entries(F.filter(F.map_entries(defaults), lambda entry: F.lit(False)))
     rest = F.col("_total") - F.coalesce("_accounted", F.lit(0.0))

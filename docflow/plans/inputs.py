@@ -22,6 +22,7 @@ from docflow.streaming.runner import table_stream
 PAGE_CHARS = 1800
 BATCH_PAGES = 64
 SNAPSHOT_CHARS = 300
+PIECE_TOKENS = 24
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -281,6 +282,16 @@ def spans(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def timed_requests(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Spans in milliseconds, and the total time of every request, of which a step may lack some."""
+    rows = spans(spark, folder)
+    total = F.sum(F.greatest("hundredths", F.lit(0))) + F.expr("request_id % 3 * 30")
+    return (
+        rows.select("request_id", "step", F.expr("cast(hundredths / 100 as decimal(18, 2))").alias("ms")),
+        rows.groupBy("request_id").agg(total.alias("_total")).select("request_id", (F.col("_total") / 100).alias("total_ms")),
+    )
+
+
 def tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Token arrays of pages: word lengths, so that repeats are frequent."""
     return pages(spark, folder).select(
@@ -288,6 +299,14 @@ def tokens(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def token_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The same tokens in pieces of ``PIECE_TOKENS``, with the position of the first."""
+    starts = F.expr(f"explode(transform(sequence(0, (size(token_ids) - 1) div {PIECE_TOKENS}), i -> i * {PIECE_TOKENS}))")
+    return tokens(spark, folder).filter("size(token_ids) > 0").withColumn("start", starts).withColumn(
+        "token_ids", F.slice("token_ids", F.col("start").cast("int") + 1, PIECE_TOKENS)
+    )
+
+
 def formulas(spark: SparkSession, folder: str) -> DataFrame:
     """Model output with a one-line formula that carries an equation number."""
     text = """concat('\\\\[ x_', document_index, ' \\\\coloneqq y \\\\quad (', page_index, ') \\\\]\\n', raw_text)"""

@@ -473,6 +473,8 @@ QUERIES["stream_completed_documents"] = """SELECT document_index, status, error,
 FROM status JOIN (SELECT document_index, CAST(sum(input_tokens) AS BIGINT) AS i, CAST(sum(output_tokens) AS BIGINT) AS o FROM cost GROUP BY 1)
   USING (document_index)"""
 QUERIES["stream_documents_in_order"] = """SELECT document_index, document_path, status, error, document_index AS sequence FROM gapped"""
+QUERIES["stream_request_timing"] = QUERIES["request_timing"]
+QUERIES["stream_repeated_ngrams"] = QUERIES["repeated_ngrams"]
 QUERIES["stream_pages"] = QUERIES["decode_batch_requests"]
 
 

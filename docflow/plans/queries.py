@@ -15,7 +15,8 @@ from docflow.sources import files, named_files, sinks
 from docflow.streaming import batches as stream_batches
 from docflow.streaming import completion
 from docflow.streaming import deltas as stream_deltas
-from docflow.streaming import microbatch, runner
+from docflow.streaming import microbatch, repetition, runner
+from docflow.streaming import timing as stream_timing
 from docflow.streaming import usage as stream_usage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -578,15 +579,7 @@ def inference_stats(spark, folder):
 
 @query
 def request_timing(spark, folder):
-    spans = inputs.spans(spark, folder).select(
-        "request_id", "step", F.expr("cast(hundredths / 100 as decimal(18, 2))").alias("ms")
-    )
-    totals = (
-        inputs.spans(spark, folder)
-        .groupBy("request_id")
-        .agg((F.sum(F.greatest("hundredths", F.lit(0))) + F.expr("request_id % 3 * 30")).alias("_total"))
-        .select("request_id", (F.col("_total") / 100).alias("total_ms"))
-    )
+    spans, totals = inputs.timed_requests(spark, folder)
     return metrics.request_steps(metrics.request_timing(spans, totals))
 
 
@@ -651,6 +644,24 @@ def stream_usage_by_window(spark, folder):
     return stream_usage.run_on_table(spark, folder)
 
 
+@query
+def stream_request_timing(spark, folder):
+    """Spans and responses arrive in any order; the last timing of every request."""
+    spans, totals = (
+        runner.file_stream(spark, inputs.as_files(rows.repartition(n, F.xxhash64(*rows.columns)), "timed"), rows.schema, max_files=2)
+        for rows, n in zip(inputs.timed_requests(spark, folder), (6, 4))
+    )
+    timing = stream_timing.stream_request_timing(spans, totals)
+    return metrics.request_steps(runner.run_updates_to_end(timing, "request_timing", ["request_id"]))
+
+
+@query
+def stream_repeated_ngrams(spark, folder):
+    """Tokens of all pages arrive in pieces, out of order."""
+    pieces = inputs.token_pieces(spark, folder).repartition(4, "start")
+    arriving = runner.file_stream(spark, inputs.as_files(pieces, "pieces"), pieces.schema, max_files=2)
+    found = repetition.stream_repeated_ngrams(arriving, REPEAT_N, REPEAT_WINDOW, REPEAT_WHITELIST)
+    return runner.run_to_end(found, "repeated")
 
 
 @query
