@@ -78,8 +78,8 @@ def op6_token_counts(spark, folder, tokenizers=token_counts.TOKENIZER_FOLDER):
     """Token totals after three batches: all documents come, the later rows of
     equal texts go, and what is not English is counted anew by another version."""
     docs = table(spark, folder, "documents")
-    first = token_counts.tokens(f"{tokenizers}/byte_bpe_50k.tiktoken")
-    second = token_counts.tokens(f"{tokenizers}/byte_bpe_multi_50k.tiktoken")
+    first, second = (token_counts.tokens(f"{tokenizers}/{name}.tiktoken") for name in ("byte_bpe_50k", "byte_bpe_multi_50k"))
+    other = F.col("lang") != "en"
     counts = materialize(
         docs.select(
             "doc_id",
@@ -87,6 +87,7 @@ def op6_token_counts(spark, folder, tokenizers=token_counts.TOKENIZER_FOLDER):
             "lang",
             F.sha2("text", 256).alias("_digest"),
             first("text").alias("tokens"),
+            second(F.when(other, F.col("text"))).alias("_anew"),
         ),
         "counts",
     ).withColumn("version", F.lit("byte_bpe_50k"))
@@ -97,20 +98,12 @@ def op6_token_counts(spark, folder, tokenizers=token_counts.TOKENIZER_FOLDER):
         ),
         "ledger",
     )
-    anew = docs.filter("lang <> 'en'").select(
-        "source", "lang", F.lit("byte_bpe_multi_50k").alias("version"), second("text").alias("tokens"), "doc_id"
-    )
-    gone = ledger.filter("_gone")
     rollup = token_counts.Rollup(spark, new_folder(spark, "rollup"))
     rollup.commit(1, token_counts.inserted(counts))
-    rollup.commit(2, token_counts.deleted(gone))
-    rollup.commit(
-        3,
-        token_counts.revised(
-            ledger.filter("lang <> 'en' and not _gone"),
-            anew.join(gone.select("doc_id"), "doc_id", "left_anti"),
-        ),
-    )
+    rollup.commit(2, token_counts.deleted(ledger.filter("_gone")))
+    recounted = ledger.filter(other & ~F.col("_gone"))
+    anew = recounted.select("source", "lang", F.lit("byte_bpe_multi_50k").alias("version"), F.col("_anew").alias("tokens"))
+    rollup.commit(3, token_counts.revised(recounted, anew))
     return rollup.totals()
 
 

@@ -104,6 +104,79 @@ def test_token_rollup_is_idempotent(spark, tmp_path):
     assert got == {("a", "en", "v1"): (1, 7), ("a", "en", "v2"): (1, 6), (None, None, "v1"): (0, 0)}
 
 
+def test_batches_that_were_not_committed_do_not_count(spark, tmp_path):
+    rollup = token_counts.Rollup(spark, str(tmp_path / "rollup"))
+    one = changes(spark, [("a", "en", "v1", 5, 1)])
+    for batch in (7, 3, 5, 4):
+        assert rollup.commit(batch, one)
+    # What a writer that was lost before its rename has left.
+    one.write.parquet(str(tmp_path / "rollup" / "work-lost" / "totals"))
+    one.write.parquet(str(tmp_path / "rollup" / "batch=9"))
+    again = token_counts.Rollup(spark, str(tmp_path / "rollup"))
+    assert [again.commit(batch, one) for batch in (3, 4, 5, 7)] == [False] * 4
+    assert [tuple(r)[3:] for r in again.totals().collect()] == [(4, 20)]
+    ranges = again._table(4, "batches", token_counts.RANGES).collect()
+    assert sorted(map(tuple, ranges)) == [(3, 5), (7, 7)]
+    assert again.drop_old() == 2 and again.versions() == [3, 4] and again.totals().first()["n_tokens"] == 20
+
+
+def test_two_writers_of_one_version_both_count(spark, tmp_path, monkeypatch):
+    rollup = token_counts.Rollup(spark, str(tmp_path / "rollup"))
+    other = token_counts.Rollup(spark, str(tmp_path / "rollup"))
+    one = changes(spark, [("a", "en", "v1", 5, 1)])
+    publish, taken = rollup._publish, []
+
+    def late(work, version):
+        # Another writer takes the version first.
+        if not taken:
+            taken.append(other.commit(2, one))
+        return publish(work, version)
+
+    monkeypatch.setattr(rollup, "_publish", late)
+    assert rollup.commit(1, one) and taken == [True]
+    assert [tuple(r)[3:] for r in rollup.totals().collect()] == [(2, 10)]
+    assert not rollup.commit(2, one)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_token_counts_query_by_brute_force(spark, tmp_path, empty):
+    import base64
+
+    tiktoken = pytest.importorskip("tiktoken")
+    from docflow.llm import queries
+
+    coders = {}
+    for name in ("byte_bpe_50k", "byte_bpe_multi_50k"):
+        with open(f"{token_counts.TOKENIZER_FOLDER}/{name}.tiktoken", "rb") as file:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        coders[name] = tiktoken.Encoding(name, pat_str=token_counts.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = [
+        (1, "one text", "en", "a"), (2, "one text", "en", "b"), (2, "one text", "en", "b"), (3, "ein Text, où", "de", "a"),
+        (4, "ein Text, où", "fr", None), (5, None, "de", "a"), (6, None, None, "a"), (7, "", "de", "a"), (7, "zwei", "de", "a"),
+        (7, "one text", "de", "b"), (None, "zwei", "de", "a"), (8, "lang " * 20_000, "de", "c"), (9, "allein", None, None),
+    ]
+    rows = [] if empty else rows
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "-1 as tokens", "'x' as version")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    expected = {}
+
+    def add(sign, name, text, lang, source):
+        sums = expected.setdefault((source, lang, name), [0, 0])
+        sums[0] += sign
+        sums[1] += sign * (len(coders[name].encode_ordinary(text)) if text else 0)
+
+    for doc_id, text, lang, source in rows:
+        add(1, "byte_bpe_50k", text, lang, source)
+        least = min((d for d, t, *_ in rows if t == text and d is not None), default=None)
+        if text is not None and doc_id is not None and least is not None and doc_id != least:
+            add(-1, "byte_bpe_50k", text, lang, source)
+        elif lang not in (None, "en"):
+            add(-1, "byte_bpe_50k", text, lang, source)
+            add(1, "byte_bpe_multi_50k", text, lang, source)
+    got = queries.op6_token_counts(spark, str(tmp_path)).collect()
+    assert {(r.source, r.lang, r.version): [r.n_docs, r.n_tokens] for r in got} == expected and len(got) == len(expected)
+
+
 def test_tokens_of_texts(spark, make):
     import base64
 
