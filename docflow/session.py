@@ -5,10 +5,44 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# The state of streams lives on disk, and the stores of an executor share their memory.
+DISK_STATE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
+
+
+@contextmanager
+def disk_state(spark: SparkSession) -> Iterator[None]:
+    """State on disk for streams that start within the block, whatever the session's own setting.
+
+    Keyed state with lists, maps and timers needs it, and other state must not be held in memory.
+    A session whose provider is on disk already keeps all its settings.
+    """
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    changed = {} if spark.conf.get(provider, None) == DISK_STATE[provider] else DISK_STATE
+    before = {key: spark.conf.get(key, None) for key in changed}
+    for key, value in changed.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def build_session(app_name: str = "docflow", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are written for."""
     builder = SparkSession.builder.appName(app_name)
@@ -22,9 +56,7 @@ def build_session(app_name: str = "docflow", master: str | None = None, **conf:
         "spark.python.worker.reuse": "true",
         # Python reaches stream state by a socket file, not a port.
         "spark.python.unix.domain.socket.enabled": "true",
-        # State of streams lives on disk.
-        "spark.sql.streaming.stateStore.providerClass":
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        **DISK_STATE,
         **{key.replace("__", "."): value for key, value in conf.items()},
     }
     for key, value in settings.items():

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from docflow.operators.results import USAGE
-from docflow.session import new_folder
+from docflow.session import disk_state, new_folder
 
 # Pages of one bitmap, and documents of one range of the frontier.
 BITS = 1024
@@ -158,7 +158,9 @@ def run_in_order(finished: DataFrame, name: str, size: int = RANGE) -> DataFrame
     """Process all input that is there; the rows with the ``trigger`` in which each left."""
     spark = finished.sparkSession
     folder = new_folder(spark, name)
-    emit_in_order(finished, folder, size=size).trigger(availableNow=True).start().awaitTermination()
+    with disk_state(spark):
+        running = emit_in_order(finished, folder, size=size).trigger(availableNow=True).start()
+    running.awaitTermination()
     schema = finished.schema.add("trigger", "long")
     try:
         return spark.read.schema(schema).option("basePath", f"{folder}/emitted").parquet(f"{folder}/emitted")

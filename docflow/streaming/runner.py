@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.session import new_folder
+from docflow.session import disk_state, new_folder
 
 
 def file_stream(
@@ -65,13 +65,14 @@ def run_updates_to_end(stream: DataFrame, name: str, keys: Sequence[str]) -> Dat
     def upsert(rows: DataFrame, trigger: int) -> None:
         rows.write.mode("overwrite").parquet(f"{target}/trigger={trigger}")
 
-    running = (
-        stream.writeStream.foreachBatch(upsert)
-        .option("checkpointLocation", new_folder(spark, f"{name}_progress"))
-        .outputMode("update")
-        .trigger(availableNow=True)
-        .start()
-    )
+    with disk_state(spark):
+        running = (
+            stream.writeStream.foreachBatch(upsert)
+            .option("checkpointLocation", new_folder(spark, f"{name}_progress"))
+            .outputMode("update")
+            .trigger(availableNow=True)
+            .start()
+        )
     running.awaitTermination()
     if not any(progress["numInputRows"] for progress in running.recentProgress):
         return spark.createDataFrame([], stream.schema)
@@ -91,14 +92,15 @@ def run_until_idle(stream: DataFrame, name: str, wait_ms: int, every_ms: int = 1
     """
     spark = stream.sparkSession
     target = new_folder(spark, name)
-    running = (
-        stream.writeStream.format("parquet")
-        .option("path", target)
-        .option("checkpointLocation", new_folder(spark, f"{name}_progress"))
-        .outputMode("append")
-        .trigger(processingTime=f"{every_ms} milliseconds")
-        .start()
-    )
+    with disk_state(spark):
+        running = (
+            stream.writeStream.format("parquet")
+            .option("path", target)
+            .option("checkpointLocation", new_folder(spark, f"{name}_progress"))
+            .outputMode("append")
+            .trigger(processingTime=f"{every_ms} milliseconds")
+            .start()
+        )
     try:
         _let_timers_end(running, wait_ms / 1000)
     finally:
@@ -126,13 +128,14 @@ def run_to_end(stream: DataFrame, name: str) -> DataFrame:
     """Process all input that is there, in append mode, and read the output back."""
     spark = stream.sparkSession
     target = new_folder(spark, name)
-    running = (
-        stream.writeStream.format("parquet")
-        .option("path", target)
-        .option("checkpointLocation", new_folder(spark, f"{name}_progress"))
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+    with disk_state(spark):
+        running = (
+            stream.writeStream.format("parquet")
+            .option("path", target)
+            .option("checkpointLocation", new_folder(spark, f"{name}_progress"))
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
     running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(target)
