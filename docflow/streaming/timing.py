@@ -48,7 +48,7 @@ def stream_request_timing(
     ``spans`` has ``request_id``, ``step``, ``ms``, and ``totals``, the responses, ``request_id`` and
     ``total_ms``. A span may come before, with or after its response; a request has a row from
     its response on. The last row of a request is that of ``request_timing`` on all rows. Spans
-    without a step or time count nothing. The state of a request is one sum per step, without expiry.
+    without a step or time count nothing, and a null request_id is left out. The state of a request is one sum per step, without expiry.
     """
     parts = F.round(F.greatest(F.col("ms"), F.lit(0)) * PARTS).cast("bigint")
     nothing = F.lit(None)
