@@ -59,16 +59,21 @@ def batch_metrics(pages: DataFrame) -> DataFrame:
     grouped = pages.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("pages"),
         F.count_distinct("document_index").alias("documents"),
-        F.max("preprocess_s").alias("_preprocess"),
-        F.max("generate_s").alias("_generate"),
+        F.max("preprocess_s").alias("preprocess_s"),
+        F.max("generate_s").alias("generate_s"),
     )
-    total = F.col("_preprocess") + F.col("_generate")
-    return grouped.select(
+    return batch_rates(grouped)
+
+
+def batch_rates(batches: DataFrame) -> DataFrame:
+    """Rounded seconds, their total, and pages per second of each batch."""
+    total = F.col("preprocess_s") + F.col("generate_s")
+    return batches.select(
         "batch_id",
         "pages",
         "documents",
-        F.round("_preprocess", 6).alias("preprocess_s"),
-        F.round("_generate", 6).alias("generate_s"),
+        F.round("preprocess_s", 6).alias("preprocess_s"),
+        F.round("generate_s", 6).alias("generate_s"),
         F.round(total, 6).alias("total_s"),
         rate(F.col("pages"), total).alias("pages_per_second"),
     )

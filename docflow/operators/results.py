@@ -64,6 +64,11 @@ def document_summary(status: DataFrame, pages: DataFrame) -> DataFrame:
     totals = pages.filter("error is null").groupBy("document_index").agg(
         F.count(F.lit(1)).alias("pages_done"), *_usage_sums(pages)
     )
+    return summary_of(status, totals)
+
+
+def summary_of(status: DataFrame, totals: DataFrame) -> DataFrame:
+    """Status with the usage and pages done of each document, from their totals."""
     ok = F.col("status") == "ok"
     joined = status.join(totals, "document_index", "left")
     for name in USAGE:

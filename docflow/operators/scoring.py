@@ -195,7 +195,13 @@ def document_status(docs: DataFrame, scored: DataFrame) -> DataFrame:
     pages, has a page in a batch where any page failed (then the first such
     batch counts), or lacks the result of a page. Only page keys are joined with the failed batches.
     """
-    failed = (
+    done = scored.filter("error is null").groupBy("document_index").agg(F.count(F.lit(1)).alias("_done"))
+    return status_of(docs, failed_batches_of(scored), done)
+
+
+def failed_batches_of(scored: DataFrame) -> DataFrame:
+    """Per document with a page in a failed batch: the first such batch and its error."""
+    return (
         scored.select("document_index", "batch_id")
         .join(batch_errors(scored), "batch_id")
         .groupBy("document_index")
@@ -204,7 +210,10 @@ def document_status(docs: DataFrame, scored: DataFrame) -> DataFrame:
             F.min_by("error", "batch_id").alias("_batch_error"),
         )
     )
-    done = scored.filter("error is null").groupBy("document_index").agg(F.count(F.lit(1)).alias("_done"))
+
+
+def status_of(docs: DataFrame, failed: DataFrame, done: DataFrame) -> DataFrame:
+    """Status of the documents from their first failed batches and their numbers of pages done."""
     render_error = F.col("render_error") if "render_error" in docs.columns else F.lit(None).cast("string")
     no_pages = F.when(F.col("page_count") == 0, F.lit(C.ZERO_PAGES_ERROR))
     found = F.coalesce("_done", F.lit(0))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docflow import constants as C
-from docflow.operators import batching, metrics, results, scoring
+from docflow.operators import batching, facts, metrics, results, scoring
 from docflow.operators.ordering import PAGE_BLOCK
 from docflow.plans import waves
 from docflow.session import materialize
@@ -48,16 +48,26 @@ def document_results(docs: DataFrame, scored: DataFrame, block: int = PAGE_BLOCK
 
 
 def corpus_metrics(docs: DataFrame, pages: DataFrame, elapsed_s: float | None = None) -> DataFrame:
-    """Totals, generated totals, stage seconds and rates in one row.
+    """Totals, generated totals, stage seconds and rates in one row, from one pass over the pages.
 
     Without ``elapsed_s`` the time is the sum of the stages.
     """
-    status = scoring.document_status(docs, pages)
-    generated = scoring.generated_pages(pages, status)
+    return facts_metrics(docs, run_facts(pages), elapsed_s)
+
+
+def run_facts(pages: DataFrame) -> DataFrame:
+    """The facts of the pages as a stored table; a run without preprocessing times spent none there."""
+    return materialize(facts.page_facts(_with_preprocessing(pages)), "page_facts")
+
+
+def facts_metrics(docs: DataFrame, found: DataFrame, elapsed_s: float | None = None) -> DataFrame:
+    """As :func:`corpus_metrics`, from stored facts."""
+    status = facts.document_status(docs, found)
+    generated = facts.generated(found, status)
     # Three one-row frames with different columns, put side by side.
     rows = (
-        metrics.corpus_totals(results.document_summary(status, pages))
-        .unionByName(metrics.generated_totals(generated), allowMissingColumns=True)
+        metrics.corpus_totals(facts.document_summary(status, found))
+        .unionByName(facts.generated_totals(generated), allowMissingColumns=True)
         .unionByName(metrics.stage_totals(docs, generated), allowMissingColumns=True)
     )
     row = rows.agg(*[F.max(name).alias(name) for name in rows.columns])
@@ -97,6 +107,7 @@ def run_corpus(
     make_scorer: Callable[[], scoring.Scorer] | None = None,
     one_line: bool = False,
     first_wave: int | None = None,
+    config: dict[str, object] | None = None,
 ) -> CorpusOutput:
     """Score a corpus and write page results, documents, metrics, batches and failures.
 
@@ -108,6 +119,7 @@ def run_corpus(
     With ``first_wave`` pages are scored in waves, of so many batches at first, that pass over the
     documents that failed, and a run that is started again goes on behind the last stored wave.
     With ``one_line`` each document is one JSON line however many pages it has.
+    ``config`` holds settings of the run that stand in the metrics object as they are.
     """
     started = time.perf_counter()
     target = CorpusOutput(*[f"{folder}/{field.name}" for field in fields(CorpusOutput)])
@@ -119,15 +131,18 @@ def run_corpus(
             pages, docs, scorer, outputs, keep, target.page_results, batch_pages, first_wave, make_scorer
         )
         done = _with_preprocessing(done)
-    status = scoring.document_status(docs, done)
-    summary = results.document_summary(status, done)
+    found = run_facts(done)
+    status = facts.document_status(docs, found)
+    summary = facts.document_summary(status, found)
     write = named_files.write_result_lines if one_line else sinks.write_results
-    write(results.document_results(with_timings(summary, done), done), target.results)
+    write(results.document_results(with_timings(summary, found), done), target.results)
     results.failures(status).write.json(target.failures)
-    generated = scoring.generated_pages(done, status)
-    metrics.batch_metrics(generated).orderBy("batch_id").write.json(target.batches)
+    facts.batch_metrics(facts.generated(found, status)).orderBy("batch_id").write.json(target.batches)
     elapsed = time.perf_counter() - started
-    sinks.write_metrics(corpus_metrics(docs, done, elapsed), target.metrics)
+    totals = facts_metrics(docs, found, elapsed)
+    if config:
+        totals = totals.withColumn("config", F.struct(*[F.lit(value).alias(key) for key, value in config.items()]))
+    sinks.write_metrics(totals, target.metrics)
     return target
 
 
@@ -136,7 +151,10 @@ def _with_preprocessing(scored: DataFrame) -> DataFrame:
 
 
 def with_timings(summary: DataFrame, pages: DataFrame) -> DataFrame:
-    """Add ``timings``: seconds to render, and with the document's batches in total."""
+    """Add ``timings``: seconds to render, and with the document's batches in total.
+
+    ``pages`` may be page results or their facts.
+    """
     per_batch = pages.groupBy("document_index", "batch_id").agg(
         F.max(F.col("preprocess_s") + F.col("generate_s")).alias("_batch_s")
     )

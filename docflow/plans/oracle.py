@@ -423,6 +423,17 @@ QUERIES["metrics_json"] = """SELECT CAST(to_json({'cached_tokens': 0, 'documents
   'input_tokens': CAST(input_tokens AS BIGINT), 'output_tokens': CAST(output_tokens AS BIGINT), 'pages': CAST(pages AS BIGINT),
   'pages_per_second': pages_per_second, 'preprocess_s': preprocess_s, 'render_s': render_s, 'succeeded': succeeded,
   'tokens_per_second': tokens_per_second, 'total_tokens': CAST(total_tokens AS BIGINT)}) AS VARCHAR) AS value FROM corpus"""
+QUERIES["facts_batch_metrics"] = QUERIES["batch_metrics"]
+_DONE = "FILTER (error IS NULL)"
+_DONE_USAGE = f"""CAST(count(*) {_DONE} AS BIGINT) AS pages_done, CAST(coalesce(sum(input_tokens) {_DONE}, 0) AS BIGINT) AS input_tokens,
+  0::BIGINT AS cached_tokens, CAST(coalesce(sum(output_tokens) {_DONE}, 0) AS BIGINT) AS output_tokens,
+  CAST(coalesce(sum(input_tokens + output_tokens) {_DONE}, 0) AS BIGINT) AS total_tokens"""
+QUERIES["page_facts"] = f"""SELECT document_index, batch_id, count(*) AS pages, {_DONE_USAGE},
+  max(preprocess_s) AS preprocess_s, max(generate_s) AS generate_s, any_value(error) AS error
+FROM outcome GROUP BY document_index, batch_id"""
+QUERIES["facts_document_status"] = f"""SELECT document_index, status, s.error, first_failed_batch, coalesce(pages_done, 0) AS pages_done,
+  {", ".join(f"CASE WHEN status = 'ok' THEN coalesce({name}, 0) ELSE 0 END AS {name}" for name in ("input_tokens", "cached_tokens", "output_tokens", "total_tokens"))}
+FROM status s LEFT JOIN (SELECT document_index, {_DONE_USAGE} FROM outcome GROUP BY 1) u USING (document_index)"""
 QUERIES["stream_snapshot_deltas"] = QUERIES["snapshot_deltas"]
 QUERIES["stream_scored_pages"] = """SELECT request_id, page_index, chunk AS raw_text,
   CAST(len(string_split(chunk, ' ')) AS BIGINT) AS output_tokens, NULL::VARCHAR AS error

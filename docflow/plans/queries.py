@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.operators import batching, markup, metrics, pages, results, scoring
+from docflow.operators import batching, facts, markup, metrics, pages, results, scoring
 from docflow.operators.ordering import dense_position, document_blocks
 from docflow.plans import corpus, inputs, waves
 from docflow.session import new_folder
@@ -567,6 +567,30 @@ def failures(spark, folder):
     return results.failures(_status(spark, folder, gaps=True))
 
 
+def _facts(spark, folder):
+    return corpus.run_facts(inputs.stored_outcomes(spark, folder))
+
+
+@query
+def page_facts(spark, folder):
+    return _facts(spark, folder).drop("page_index")
+
+
+@query
+def facts_batch_metrics(spark, folder):
+    found = _facts(spark, folder)
+    status = facts.document_status(inputs.documents(spark, folder).drop("text"), found)
+    return facts.batch_metrics(facts.generated(found, status))
+
+
+@query
+def facts_document_status(spark, folder):
+    docs = inputs.documents(spark, folder).drop("text")
+    found = _facts(spark, folder)
+    summary = facts.document_summary(facts.document_status(docs, found), found)
+    return summary.select("document_index", "status", "error", "first_failed_batch", "pages_done", *results.USAGE)
+
+
 @query
 def stage_totals(spark, folder):
     return metrics.stage_totals(inputs.documents(spark, folder), _generated(spark, folder))
