@@ -242,3 +242,27 @@ def test_chains_reach_back_over_many_short_matches():
     # 70 matches that fit no chain lie between two that do, all in the allowed gap.
     between = [(10 + i % 5, 3, 0) for i in range(70)]
     assert licenses.Scanner._chain(sorted([(0, 10, 5), *between, (18, 10, 20)])) == 20
+
+
+def longest_chain(parts):
+    """Most words covered by a chain, by trying every subset in order."""
+    best = 0
+    for mask in range(1, 1 << len(parts)):
+        chain = [p for i, p in enumerate(parts) if mask >> i & 1]
+        fits = all(
+            0 <= b[0] - (a[0] + a[1]) <= licenses.MAX_GAP and a[2] + a[1] <= b[2] for a, b in zip(chain, chain[1:])
+        )
+        best = max(best, sum(p[1] for p in chain) if fits else 0)
+    return best
+
+
+def test_license_chain_covers_as_much_as_any_chain():
+    rng = random.Random(5)
+    for _ in range(300):
+        # Of one text and one template: as matches end at different words, so do the parts.
+        ends = sorted(rng.sample(range(6, 60), rng.randrange(1, 9)))
+        parts = sorted((end - n, n, rng.randrange(30)) for end in ends for n in [rng.randrange(3, 7)])
+        parts.sort(key=lambda p: p[0] + p[1])
+        if any(a[0] > b[0] for a, b in zip(parts, parts[1:])):
+            continue
+        assert licenses.Scanner._chain(sorted(parts)) == longest_chain(sorted(parts))
