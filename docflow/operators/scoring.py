@@ -6,7 +6,7 @@ import sys
 import time
 import types
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -41,31 +41,49 @@ def worker_object(name: str, build: Callable[[], Any], version: str = "") -> Any
     return held[1]
 
 
+def _call(rows: pd.DataFrame, scorer: Scorer, fields: list[tuple[str, pa.DataType]]) -> tuple[list[pa.Array] | None, str | None]:
+    """The output columns of one batch in the declared types, or its error."""
+    try:
+        scored = scorer(rows)
+        if len(scored) != len(rows):
+            return None, C.COUNT_MISMATCH_ERROR.format(outputs=len(scored), inputs=len(rows))
+        return [pa.Array.from_pandas(scored[name], type=kind) for name, kind in fields], None
+    except Exception as exc:  # noqa: BLE001 - any model error is data here
+        return None, f"missing output {exc}" if isinstance(exc, KeyError) else str(exc) or C.UNKNOWN_ERROR
+
+
 def run_scorer(rows: pd.DataFrame, scorer: Scorer, outputs: T.StructType) -> pd.DataFrame:
     """Score one batch. Any error of the scorer or its outputs fails it as a whole.
 
     The outputs are converted to the declared types here, so a missing column
     or a wrong type is an error of this batch too.
     """
-    started = time.perf_counter()
-    error = None
-    columns: dict[str, Any] = {}
-    try:
-        scored = scorer(rows)
-        if len(scored) != len(rows):
-            error = C.COUNT_MISMATCH_ERROR.format(outputs=len(scored), inputs=len(rows))
-        else:
-            arrow = to_arrow_schema(outputs)
-            for field in arrow:
-                values = pa.Array.from_pandas(scored[field.name], type=field.type)
-                columns[field.name] = values.to_pandas(types_mapper=_NULLABLE.get)
-    except Exception as exc:  # noqa: BLE001 - any model error is data here
-        error = f"missing output {exc}" if isinstance(exc, KeyError) else str(exc) or C.UNKNOWN_ERROR
-    kept = rows.reset_index(drop=True)
-    if error is not None:
-        columns = {name: [None] * len(kept) for name in outputs.fieldNames()}
-    columns = {name: pd.Series(values).reset_index(drop=True) for name, values in columns.items()}
-    return kept.assign(**columns, error=error, generate_s=time.perf_counter() - started)
+    return rows.reset_index(drop=True).assign(**run_scorer_on_each([rows], scorer, outputs))
+
+
+def run_scorer_on_each(batches: Iterable[pd.DataFrame], scorer: Scorer, outputs: T.StructType) -> dict[str, Any]:
+    """Score batches one after the other, each as by :func:`run_scorer`; the added columns, one below the other.
+
+    A batch costs its call and no frame of its own, so that many small ones are cheap.
+    """
+    fields = [(field.name, field.type) for field in to_arrow_schema(outputs)]
+    found: list[list[pa.Array]] = [[] for _ in fields]
+    errors: list[str | None] = []
+    seconds: list[float] = []
+    for rows in batches:
+        started, n = time.perf_counter(), len(rows)
+        columns, error = _call(rows, scorer, fields)
+        for i, (parts, (_, kind)) in enumerate(zip(found, fields)):
+            values = pa.nulls(n, kind) if columns is None else columns[i]
+            parts += values.chunks if isinstance(values, pa.ChunkedArray) else [values]
+        errors += [error] * n
+        seconds += [time.perf_counter() - started] * n
+    # One array, since each chunk would be converted on its own.
+    columns = {
+        name: pa.chunked_array(parts, kind).combine_chunks().to_pandas(types_mapper=_NULLABLE.get)
+        for parts, (name, kind) in zip(found, fields)
+    }
+    return columns | {"error": errors, "generate_s": seconds}
 
 
 def _scored_schema(pages: DataFrame, keep: list[str], outputs: T.StructType) -> T.StructType:

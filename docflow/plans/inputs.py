@@ -144,10 +144,10 @@ MODEL_OUTPUT = T.StructType([
 
 def echo_model(rows: pd.DataFrame) -> pd.DataFrame:
     """Stands in for a model: gives back the prepared output."""
-    return pd.DataFrame({
-        "raw_text": rows["payload"],
-        "output_tokens": rows["payload"].str.count(" ") + 1,
-    })
+    texts = rows["payload"].tolist()
+    # A null payload, None or NaN, has no count.
+    tokens = [text.count(" ") + 1 if isinstance(text, str) else None for text in texts]
+    return pd.DataFrame({"raw_text": texts, "output_tokens": tokens})
 
 
 def failing_model(rows: pd.DataFrame) -> pd.DataFrame:

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import time as clock
 from collections.abc import Callable, Iterator
-from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -23,17 +22,20 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from docflow import constants as C
-from docflow.operators.scoring import Scorer, run_scorer, worker_object
+from docflow.operators.scoring import Scorer, run_scorer_on_each, worker_object
 
 FULL, NEXT, IDLE = "full", "next", "idle"
-Closed = Callable[[Any, Any, str, int], Any]
+Closed = Callable[[tuple, list[tuple]], pd.DataFrame]
+# Rows of closed batches that are handed over at a time.
+OUT_ROWS = 10_000
 
 
 class Queue(StatefulProcessor):
-    """The open batch of one queue. ``closed`` gets the key, the rows, the reason and the closing time.
+    """The open batch of one queue. ``closed`` gets the key and the batches that closed, and gives their rows.
 
-    With the names of ``events`` it gets the rows as tuples and gives one row, and those of a trigger
-    go out together; otherwise it gets and gives frames.
+    A batch is its rows as tuples, the reason and the closing time. Those of a trigger are handed
+    over together, at most about ``OUT_ROWS`` rows at a time, since a frame for each would cost
+    more than what is done with them.
     """
 
     def __init__(
@@ -45,9 +47,7 @@ class Queue(StatefulProcessor):
         max_rows: int,
         idle_ms: int,
         closed: Closed,
-        events: list[str] | None,
     ):
-        self.events = events
         self.schema, self.time, self.tie = schema, time, tie
         self.max_wait, self.max_rows, self.idle_ms, self.closed = max_wait, max_rows, idle_ms, closed
 
@@ -55,55 +55,53 @@ class Queue(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.schema)
 
-    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=self.schema.names)
-
-    def _set_timer(self, now: int | None) -> None:
-        """One timer, for the batch that is open; none if there is no such batch."""
-        for at in list(self.handle.listTimers()):
+    def _set_timer(self, now: int | None, waited: bool) -> None:
+        """One timer, for the batch that is open; none if there is no such batch, nor was one if no row ``waited``."""
+        for at in list(self.handle.listTimers()) if waited else ():
             self.handle.deleteTimer(at)
         if now is not None:
             self.handle.registerTimer(now + self.idle_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        old = [tuple(row) for row in self.waiting.get()] if self.waiting.exists() else []
+        old = [tuple(row) for row in self.waiting.get()]
         new = pd.concat(rows).sort_values([self.time, self.tie], kind="stable")
         batch = old + list(new[self.schema.names].itertuples(index=False, name=None))
         at = self.schema.names.index(self.time)
-        times = np.array([row[at] for row in batch], np.int64)
-        start, changed, events = 0, not old, []
+        times = [int(row[at]) for row in batch]
+        latest = np.maximum.accumulate(times).tolist()
+        start, changed, done, held = 0, not old, [], 0
         while start < len(batch):
             # An arrival that came late belongs to the batch open now.
-            later = np.flatnonzero(times[start:] >= times[start] + self.max_wait)
-            timeout = start + int(later[0]) if len(later) else len(batch)
-            end = max(start + 1, min(start + self.max_rows, timeout))
+            limit, end = times[start] + self.max_wait, min(start + self.max_rows, len(batch))
+            if latest[end - 1] >= limit:
+                end = max(start + 1, next((i for i in range(start, end) if times[i] >= limit), end))
             if end - start == self.max_rows:
-                closed_at, why = int(times[end - 1]), FULL
+                closed_at, why = times[end - 1], FULL
             elif end < len(batch):
-                closed_at, why = int(times[start]) + self.max_wait, NEXT
+                closed_at, why = limit, NEXT
             else:
                 break
-            rows = batch[start:end]
-            if self.events:
-                events.append(self.closed(key, rows, why, closed_at))
-            else:
-                yield self.closed(key, self._frame(rows), why, closed_at)
+            done.append((batch[start:end], why, closed_at))
+            held += end - start
             start, changed = end, True
-        if events:
-            yield pd.DataFrame(events, columns=self.events)
-        self.waiting.put(batch[start:]) if start < len(batch) else self.waiting.clear()
+            if held >= OUT_ROWS:
+                yield self.closed(key, done)
+                done, held = [], 0
+        if done:
+            yield self.closed(key, done)
+        if start < len(batch):
+            self.waiting.put(batch[start:])
+        elif old:
+            self.waiting.clear()
         if changed:
-            self._set_timer(timerValues.getCurrentProcessingTimeInMs() if start < len(batch) else None)
+            self._set_timer(timerValues.getCurrentProcessingTimeInMs() if start < len(batch) else None, bool(old))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.waiting.exists():
-            batch = [tuple(row) for row in self.waiting.get()]
+        batch = [tuple(row) for row in self.waiting.get()]
+        if batch:
             opened = batch[0][self.schema.names.index(self.time)]
             self.waiting.clear()
-            if self.events:
-                yield pd.DataFrame([self.closed(key, batch, IDLE, int(opened) + self.max_wait)], columns=self.events)
-            else:
-                yield self.closed(key, self._frame(batch), IDLE, int(opened) + self.max_wait)
+            yield self.closed(key, [(batch, IDLE, int(opened) + self.max_wait)])
 
     def close(self) -> None:
         pass
@@ -119,7 +117,6 @@ def _queued(
     idle_ms: int | None,
     closed: Closed,
     schema: T.StructType,
-    events: bool = False,
 ) -> DataFrame:
     if max_rows < 1 or max_wait < 0 or (idle_ms or 0) < 0:
         raise ValueError("max_rows must be at least 1, max_wait and idle_ms at least 0")
@@ -129,7 +126,7 @@ def _queued(
         if not isinstance(columns[name].dataType, T.LongType):
             raise ValueError(f"{name} must be a bigint")
     return arrivals.groupBy(key).transformWithStateInPandas(
-        Queue(columns, time, tie, max_wait, max_rows, idle_ms, closed, schema.names if events else None), schema, "append", "processingTime"
+        Queue(columns, time, tie, max_wait, max_rows, idle_ms, closed), schema, "append", "processingTime"
     )
 
 
@@ -154,7 +151,7 @@ def close_events(
     columns = [name for name in arrivals.columns if name != key]
     at, by, who = (columns.index(name) for name in (time, tie, request))
 
-    def closed(group: tuple, rows: list[tuple], why: str, closed_at: int) -> tuple:
+    def event(group: tuple, rows: list[tuple], why: str, closed_at: int) -> tuple:
         waits = sorted(closed_at - int(row[at]) for row in rows)
         requests = len({row[who] for row in rows if row[who] is not None})
         opened = int(rows[0][at]), int(rows[0][by])
@@ -165,7 +162,11 @@ def close_events(
         [arrivals.schema[key]]
         + [T.StructField(n, T.StringType() if n == "reason" else T.LongType()) for n in numbers]
     )
-    return _queued(arrivals, key, time, tie, max_wait, max_rows, idle_ms, closed, schema, events=True)
+
+    def closed(group: tuple, batches: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([event(group, *batch) for batch in batches], columns=schema.names)
+
+    return _queued(arrivals, key, time, tie, max_wait, max_rows, idle_ms, closed, schema)
 
 
 def score_microbatches(
@@ -198,15 +199,34 @@ def score_microbatches(
     names = schema.fieldNames()
     version = str(clock.time_ns())
 
-    def closed(group: tuple, rows: pd.DataFrame, why: str, closed_at: int) -> pd.DataFrame:
+    columns = [name for name in arrivals.columns if name != key]
+    at, by = columns.index(time), columns.index(tie)
+    kept = [(name, columns.index(name), isinstance(arrivals.schema[name].dataType, T.LongType)) for name in keep if name != key]
+
+    def frames(group: tuple, batches: list[list[tuple]], every: list[tuple]) -> Iterator[pd.DataFrame]:
+        """A frame for each batch, cut from one of all rows; with nulls, the types of a column may differ by batch."""
+        whole = pd.DataFrame(every, columns=columns).assign(**{key: group[0]})
+        alike, start = not whole[columns].isna().any(axis=None), 0
+        for rows in batches:
+            yield (
+                whole.iloc[start : start + len(rows)].reset_index(drop=True)
+                if alike
+                else pd.DataFrame(rows, columns=columns).assign(**{key: group[0]})
+            )
+            start += len(rows)
+
+    def closed(group: tuple, batches: list[tuple]) -> pd.DataFrame:
         run = worker_object("scorer", make_scorer, version) if make_scorer else scorer
-        first = rows.iloc[0]
-        scored = run_scorer(rows.assign(**{key: group[0]}), run, outputs)
-        return scored.assign(
-            opened_at=int(first[time]),
-            opened_by=int(first[tie]),
-            batch_rows=len(rows),
-            wait=closed_at - rows[time].to_numpy(np.int64),
-        )[names]
+        every = [row for rows, _, _ in batches for row in rows]
+        scored = run_scorer_on_each(frames(group, [rows for rows, _, _ in batches], every), run, outputs)
+        out = {name: [row[i] for row in every] for name, i, _ in kept}
+        # Integers with nulls stay integers.
+        out |= {name: pd.array(out[name], dtype="Int64") for name, _, whole in kept if whole}
+        out[key] = [group[0]] * len(every)
+        out["opened_at"] = [int(rows[0][at]) for rows, _, _ in batches for _ in rows]
+        out["opened_by"] = [int(rows[0][by]) for rows, _, _ in batches for _ in rows]
+        out["batch_rows"] = [len(rows) for rows, _, _ in batches for _ in rows]
+        out["wait"] = [closed_at - int(row[at]) for rows, _, closed_at in batches for row in rows]
+        return pd.DataFrame(out | scored)[names]
 
     return _queued(arrivals, key, time, tie, max_wait, max_rows, idle_ms, closed, schema)

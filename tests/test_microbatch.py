@@ -4,6 +4,7 @@ import glob
 import os
 import random
 import uuid
+from types import SimpleNamespace
 
 import pandas as pd
 import pytest
@@ -114,6 +115,32 @@ def test_arguments_of_queues(spark, tmp_path):
         microbatch.close_events(frame, "k", "payload", "id", "request")
 
 
+def test_a_key_gives_its_closed_batches_together():
+    """A frame for every closed batch made a key of many small batches slow."""
+    rows = [((i, i, "r", f"p{i}"), (i, i, "r", None)) for i in range(4)]
+    calls = []
+
+    def score(part: pd.DataFrame) -> pd.DataFrame:
+        calls.append(list(part.index))
+        if part["payload"].iloc[0] == "p2":
+            raise RuntimeError("model down")
+        return pd.DataFrame({"raw_text": part["payload"], "tokens": [1, None]})
+
+    outputs = OUT.add("tokens", "long")
+    frames = [pd.DataFrame(list(pair), columns=["t", "id", "request", "payload"]) for pair in rows]
+    found = scoring.run_scorer_on_each(frames, score, outputs)
+    assert calls == [[0, 1]] * 4
+    assert list(found["raw_text"]) == ["p0", None, "p1", None, None, None, "p3", None]
+    assert [None if pd.isna(n) else n for n in found["tokens"]] == [1, None, 1, None, None, None, 1, None]
+    assert found["error"] == [None] * 4 + ["model down"] * 2 + [None] * 2
+    queue = microbatch.Queue(T.StructType().add("t", "long").add("id", "long"), "t", "id", 1, 5, 1, lambda key, done: done)
+    queue.waiting = SimpleNamespace(get=lambda: iter(()), put=lambda left: None, clear=lambda: None)
+    queue.handle = SimpleNamespace(registerTimer=lambda at: None, listTimers=lambda: iter(()), deleteTimer=lambda at: None)
+    clock = SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 0)
+    given = list(queue.handleInputRows((7,), [pd.DataFrame({"t": [0, 5, 9], "id": [0, 1, 2]})], clock))
+    assert given == [[([(0, 0)], "next", 1), ([(5, 1)], "next", 6)]]
+
+
 # -- documents ---------------------------------------------------------------
 
 PAGE = "document_index bigint, page_index bigint, page_count bigint, batch_id bigint, input_tokens bigint, output_tokens bigint, error string"
