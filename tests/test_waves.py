@@ -5,6 +5,7 @@ import os
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from docflow.operators import results, scoring
 from docflow.plans import waves
@@ -118,3 +119,25 @@ def test_waves_of_nothing(spark, tmp_path):
     assert done.count() == 0 and calls == []
     with pytest.raises(ValueError):
         run(spark, tmp_path, [1], 0, lambda b: False)
+
+
+def test_a_wave_reads_only_its_own_pages(spark, tmp_path):
+    """Every wave went through the whole source for its pages."""
+    docs, pages = labelled(spark, **{chr(97 + i): 50 for i in range(20)})
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(page):
+        reads.add(1)
+        return page
+
+    read = pages.withColumn("page_index", seen.asNondeterministic()("page_index"))
+
+    def model(rows: pd.DataFrame) -> pd.DataFrame:
+        if rows["batch_id"].iloc[0] % 2:
+            raise RuntimeError("fail")
+        return pd.DataFrame({"raw_text": "raw:" + rows["label"], "output_tokens": 2})
+
+    done = waves.score_in_waves(read, docs, model, OUTPUT, KEEP, str(tmp_path / "out"), 10, 2)
+    assert done.select("wave").distinct().count() > 10
+    assert reads.value == 1000
