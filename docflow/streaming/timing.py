@@ -24,17 +24,23 @@ class Spans(StatefulProcessor):
         self.total = handle.getValueState("total", "ms double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        part = pd.concat(rows)
-        spans = part[part["step"].notna()]
-        for step, parts in spans.groupby("step")["parts"].sum().items():
-            before = self.sums.getValue((step,))[0] if self.sums.containsKey((step,)) else 0
-            self.sums.updateValue((step,), (before + int(parts),))
-        totals = part["total_ms"].dropna()
-        if len(totals):
-            self.total.update((float(totals.max()),))
-        if self.total.exists():
-            sums = {step: parts for (step,), (parts,) in self.sums.iterator()} if self.sums.exists() else {}
-            yield pd.DataFrame({"request_id": [key[0]], "total": [self.total.get()[0]], "sums": [sums]})
+        # The sums are read once, and each that changes is written once.
+        sums = {step: parts for (step,), (parts,) in self.sums.iterator()}
+        changed, totals = set(), []
+        for part in rows:
+            for step, parts, total in zip(part["step"].tolist(), part["parts"].tolist(), part["total_ms"].tolist()):
+                if not pd.isna(step):
+                    sums[step] = sums.get(step, 0) + int(parts)
+                    changed.add(step)
+                if not pd.isna(total):
+                    totals.append(float(total))
+        for step in changed:
+            self.sums.updateValue((step,), (sums[step],))
+        if totals:
+            self.total.update((max(totals),))
+        total = (max(totals),) if totals else self.total.get()
+        if total:
+            yield pd.DataFrame({"request_id": [key[0]], "total": [total[0]], "sums": [sums]})
 
     def close(self) -> None:
         pass

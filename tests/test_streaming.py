@@ -1,10 +1,12 @@
 import random
 import uuid
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from docflow.streaming import batches, deltas, runner, usage
+from docflow.streaming import batches, deltas, runner, timing, usage
 from tests.test_batching import arrivals, greedy
 
 SCHEMA = "k bigint, t bigint, id bigint"
@@ -110,3 +112,50 @@ def test_snapshot_deltas_carry_the_length_over(spark, tmp_path, file_count):
     assert {(r.key, r.step): r.delta for r in got} == {
         (key, step): f"é{key}{step}" * (step % 3) for step in range(12) for key in text
     }
+
+
+class CountingMap(dict):
+    """Map state that counts how often it is asked."""
+
+    asked = 0
+
+    def iterator(self):
+        self.asked += 1
+        return iter([((k,), (v,)) for k, v in self.items()])
+
+    def updateValue(self, key, value):
+        self.asked += 1
+        self[key[0]] = value[0]
+
+    def exists(self):
+        self.asked += 1
+        return bool(self)
+
+    def containsKey(self, key):
+        self.asked += 1
+        return key[0] in self
+
+    def getValue(self, key):
+        self.asked += 1
+        return (self[key[0]],) if key[0] in self else None
+
+
+def test_request_timing_reads_its_sums_once():
+    """Every step was looked up, read and written on its own, and all were read again."""
+    spans, stored = timing.Spans(), CountingMap(a=1, d=7)
+    spans.sums = stored
+    spans.total = SimpleNamespace(get=lambda: (5.0,), exists=lambda: True, update=lambda row: None)
+    part = pd.DataFrame({"step": ["a", "b", "c", "a", None], "parts": [1, 2, 3, 4, 0], "total_ms": [None] * 5})
+    given = list(spans.handleInputRows((3,), iter([part]), None))
+    assert given[0].to_dict("records") == [{"request_id": 3, "total": 5.0, "sums": {"a": 6, "b": 2, "c": 3, "d": 7}}]
+    assert dict(stored) == {"a": 6, "b": 2, "c": 3, "d": 7}
+    assert stored.asked == 4
+
+
+def test_snapshots_of_a_trigger_in_any_order(spark, tmp_path):
+    rows = [(k, n, "abcdefgh"[: 2 * n]) for k in range(20) for n in (3, 1, 2)]
+    folder = str(tmp_path / "shots")
+    spark.createDataFrame(rows, "k long, n long, text string").write.parquet(folder)
+    stream = runner.file_stream(spark, folder, "k long, n long, text string")
+    got = runner.run_to_end(deltas.stream_snapshot_deltas(stream, ["k"], "n", "text"), "shots").collect()
+    assert sorted(tuple(r) for r in got) == [(k, n, "abcdefgh"[2 * n - 2 : 2 * n]) for k in range(20) for n in (1, 2, 3)]
