@@ -26,12 +26,13 @@ def stream_snapshot_deltas(
     names = [*keys, order, "delta"]
 
     def cut(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([part[[order, text]] for part in parts]).sort_values(order, kind="stable")
-        full, lengths = rows[text].tolist(), rows[text].str.len().tolist()
+        given = [row for part in parts for row in zip(part[order].tolist(), part[text].tolist())]
+        given.sort(key=lambda row: (row[0] != row[0], row[0]))
+        lengths = [len(value) for _, value in given]
         starts = [state.get[0] if state.exists else 0, *lengths[:-1]]
         state.update((lengths[-1],))
-        new = [value[start:] for value, start in zip(full, starts)]
-        columns = (*([value] * len(rows) for value in group), rows[order].tolist(), new)
+        new = [value[start:] for (_, value), start in zip(given, starts)]
+        columns = (*([value] * len(given) for value in group), [at for at, _ in given], new)
         yield pd.DataFrame(dict(zip(names, columns)))
 
     fields = {f.name: f.dataType.simpleString() for f in snapshots.schema}
