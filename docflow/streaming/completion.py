@@ -29,17 +29,21 @@ class Pages(StatefulProcessor):
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        done, *sums = self.sums.get() if self.sums.exists() else (False, 0, 0, 0, 0)
+        done, *sums = self.sums.get() or (False, 0, 0, 0, 0)
         if done:
             return
-        part = pd.concat(rows).sort_values("page_index", kind="stable")
-        page_count = int(part["page_count"].iloc[0])
-        failed = part["error"].notna()
-        if failed.any():
-            yield self._finished(key, page_count, part["error"][failed].iloc[0], [0, 0, 0])
+        # Few pages come at a time, for which columns as they are cost less than a frame's methods.
+        parts = list(rows)
+        columns = {name: [value for part in parts for value in part[name].tolist()] for name in _COLUMNS}
+        order = np.argsort(np.array(columns["page_index"]), kind="stable").tolist()
+        page_count = int(columns["page_count"][order[0]])
+        failed = next((i for i in order if not pd.isna(columns["error"][i])), None)
+        if failed is not None:
+            yield self._finished(key, page_count, columns["error"][failed], [0, 0, 0])
         else:
-            part = self._new(part.drop_duplicates("page_index"))
-            sums = [sums[0] + len(part), *(n + int(part[name].fillna(0).sum()) for n, name in zip(sums[1:], USAGE))]
+            fresh = self._new(np.array(columns["page_index"])[order].astype(np.int64), order)
+            usage = [sum(columns[name][i] for i in fresh if not pd.isna(columns[name][i])) for name in USAGE[:3]]
+            sums = [sums[0] + len(fresh), *(n + int(more) for n, more in zip(sums[1:], usage))]
             if sums[0] < page_count:
                 self.sums.update((False, *sums))
                 return
@@ -48,20 +52,20 @@ class Pages(StatefulProcessor):
         self.bitmaps.clear()
         self.sums.update((True, 0, 0, 0, 0))
 
-    def _new(self, part: pd.DataFrame) -> pd.DataFrame:
-        """The pages that have not come before."""
-        pages = part["page_index"].to_numpy(np.int64)
+    def _new(self, pages: np.ndarray, rows: list[int]) -> list[int]:
+        """The rows of the pages that have not come before, each page once."""
+        pages, first = np.unique(pages, return_index=True)
+        blocks = pages // BITS
         fresh = np.ones(len(pages), bool)
-        for block in np.unique(pages // BITS).tolist():
-            own = np.flatnonzero(pages // BITS == block)
-            bits = np.zeros(BITS // 8, np.uint8)
-            if self.bitmaps.containsKey((block,)):
-                bits = np.frombuffer(self.bitmaps.getValue((block,))[0], np.uint8).copy()
+        for block in np.unique(blocks).tolist():
+            own = np.flatnonzero(blocks == block)
+            stored = self.bitmaps.getValue((block,))
+            bits = np.frombuffer(stored[0], np.uint8).copy() if stored else np.zeros(BITS // 8, np.uint8)
             at = pages[own] % BITS
             fresh[own] = (bits[at // 8] >> (at % 8)) & 1 == 0
             np.bitwise_or.at(bits, at // 8, (1 << (at % 8)).astype(np.uint8))
             self.bitmaps.updateValue((block,), (bits.tobytes(),))
-        return part[fresh]
+        return [rows[i] for i in first[fresh].tolist()]
 
     @staticmethod
     def _finished(key, page_count: int, error: str | None, sums: list[int]) -> pd.DataFrame:

@@ -26,10 +26,10 @@ class LastTokens(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         position, tail = 0, np.zeros(0, np.int64)
-        if self.tail.exists():
-            position, stored = self.tail.get()
+        if before := self.tail.get():
+            position, stored = before
             tail = np.frombuffer(stored, np.int64)
-        old = {start: np.frombuffer(tokens, np.int64) for (start,), (tokens,) in self.ahead.iterator()} if self.ahead.exists() else {}
+        old = {start: np.frombuffer(tokens, np.int64) for (start,), (tokens,) in self.ahead.iterator()}
         pieces = dict(old)
         for part in rows:
             for start, tokens in zip(part["start"].tolist(), part["tokens"]):
