@@ -7,9 +7,8 @@ ordinary identifiers: the mean logarithm of the likelihood ratio of its transiti
 A token above the threshold that no base span touches is a span of kind ``markov``.
 
 Both models are trained from labelled samples, tokens marked as secret or not. The
-default sample is taken from the corpus: of about ``MAX_DOCUMENTS`` documents, chosen by a
-hash of doc_id, what the patterns find is labelled as secret and all other tokens of
-``IDENTIFIER`` characters as ordinary. Spark counts the transitions of distinct tokens; only
+default labels are taken from the whole corpus: what the patterns find is labelled as secret
+and all other tokens of ``IDENTIFIER`` characters as ordinary. Spark counts the transitions of distinct tokens; only
 the two tables of counts, ``len(ALPHABET) + 1`` squared, reach the driver. Half of the ordinary
 tokens, by a hash, are set apart from training and give the threshold: the share
 ``TOLERANCE`` of those long enough to be a span may lie above it. The scan itself is
@@ -45,8 +44,10 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 MIN_LENGTH = 16
 IDENTIFIER = 6
-MAX_DOCUMENTS = 20_000
 TOLERANCE = 0.0005
+# Scores that are sorted in one place to find a quantile, and parts into which more of them are counted.
+SORTED = 20_000
+PARTS = 4096
 # Share of the uniform distribution in both models.
 UNIFORM = 0.25
 _ASSIGN = re.compile(ASSIGN, re.ASCII | re.IGNORECASE)
@@ -100,11 +101,9 @@ class Models:
         return np.add.reduceat(self.ratio[moves], starts) / [len(t) for t in tokens]
 
 
-def labelled_tokens(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
-    """token and secret: a labelled sample of the corpus, see the module."""
+def labelled_tokens(docs: DataFrame) -> DataFrame:
+    """token and secret: the labelled tokens of all documents, see the module."""
     words.small_batches(docs.sparkSession)
-    one_in = max(1, -(-docs.count() // max_documents))
-    chosen = docs.filter("doc_id is not null").filter(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0)
 
     @F.pandas_udf("array<struct<token string, secret boolean>>")
     def label(texts: pd.Series) -> pd.Series:
@@ -117,7 +116,40 @@ def labelled_tokens(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> Data
             out.append([(token, secret) for tokens, secret in found for token in tokens])
         return pd.Series(out)
 
-    return chosen.select(F.explode(label("text")).alias("_t")).select("_t.*")
+    return docs.select(F.explode(label("text")).alias("_t")).select("_t.*")
+
+
+def quantile(values: DataFrame, share: float) -> float | None:
+    """The quantile of the one column, between two values by their distance; none of no values.
+
+    Values are counted in ``PARTS`` parts of their range, and then of the part that holds the place,
+    until ``SORTED`` are left or all are equal; only those are brought together.
+    """
+    name = values.columns[0]
+    values = values.filter(F.col(name).isNotNull())
+    n, low, high = values.agg(F.count(F.lit(1)), F.min(name), F.max(name)).first()
+    if not n:
+        return None
+    place = (n - 1) * share
+
+    def at(rank: int) -> float:
+        below, least, most, count = 0, low, high, n
+        while least < most and count > SORTED:
+            own = values.filter(F.col(name).between(least, most))
+            part = F.least(F.floor((F.col(name) - least) / (most - least) * PARTS), F.lit(PARTS - 1))
+            counted = own.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min(name).alias("least"), F.max(name).alias("most"))
+            for row in sorted(counted.collect(), key=lambda r: r["part"]):
+                if below + row["n"] > rank:
+                    break
+                below += row["n"]
+            least, most, count = row["least"], row["most"], row["n"]
+        if least == most:
+            return least
+        rest = values.filter(F.col(name).between(least, most)).orderBy(name).limit(rank - below + 1)
+        return rest.agg(F.max(name)).first()[0]
+
+    first = at(int(place))
+    return first if place == int(place) else first + (at(int(place) + 1) - first) * (place - int(place))
 
 
 def train(samples: DataFrame, tolerance: float = TOLERANCE) -> Models:
@@ -156,7 +188,7 @@ def train(samples: DataFrame, tolerance: float = TOLERANCE) -> Models:
         return pd.Series(models.score(tokens.tolist()))
 
     long = samples.filter(apart & (F.length("token") >= MIN_LENGTH)).select(score("token").alias("score"))
-    limit = long.agg(F.percentile("score", F.lit(1 - tolerance))).first()[0]
+    limit = quantile(materialize(long, "scores"), 1 - tolerance)
     if counts[0].any():
         models.threshold = max(0.0, limit or 0.0)
     return models
