@@ -45,6 +45,8 @@ NO_LANG = "und"
 FILTER_BITS = 26
 # Fingerprints a task adds up before it passes them on.
 HELD = 1 << 21
+# Fingerprints it passes on at a time.
+PASSED = 1 << 16
 # Different runs a task holds in the last pass.
 HELD_RUNS = 1 << 19
 # Bytes of text whose marked runs meet in one bucket of the last shuffle.
@@ -143,11 +145,16 @@ def _inside(found: Words, k: int, bits: np.ndarray | None, part: int) -> np.ndar
 
 
 def _add_up(prints: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    every = np.concatenate(prints)
+    """Each fingerprint once, with its sum. Empties the lists, so that nothing is held twice."""
+    every, numbers = np.concatenate(prints), np.concatenate(counts)
+    prints.clear()
+    counts.clear()
     order = np.argsort(every)
     every = every[order]
+    numbers = numbers[order]
+    del order
     starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-    return every[starts], np.add.reduceat(np.concatenate(counts)[order], starts)
+    return every[starts], np.add.reduceat(numbers, starts)
 
 
 def _count_prints(lengths: tuple[int, ...], part: int, shared) -> Callable:
@@ -157,9 +164,10 @@ def _count_prints(lengths: tuple[int, ...], part: int, shared) -> Callable:
         bits = shared.value if part else None
         prints, counts, held = [], [], 0
 
-        def out() -> pa.RecordBatch:
-            found, n = _add_up(prints, counts)
-            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["print", "n"])
+        def out(found: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(found), PASSED):
+                part = slice(at, at + PASSED)
+                yield pa.RecordBatch.from_arrays([pa.array(found[part].view(np.int64)), pa.array(n[part])], ["print", "n"])
 
         for lang, group, _ in _groups(batches):
             found = Words(lang, group)
@@ -171,13 +179,16 @@ def _count_prints(lengths: tuple[int, ...], part: int, shared) -> Callable:
                     held += len(own)
             if held >= HELD:
                 both = _add_up(prints, counts)
-                prints, counts = [both[0]], [both[1]]
                 held = len(both[0])
                 if held >= HELD // 2:
-                    yield out()
-                    prints, counts, held = [], [], 0
+                    yield from out(*both)
+                    held = 0
+                else:
+                    prints.append(both[0])
+                    counts.append(both[1])
+                del both
         if prints:
-            yield out()
+            yield from out(*_add_up(prints, counts))
 
     return run
 

@@ -232,3 +232,28 @@ def test_secret_query_gives_base_digests(spark, tables):
         assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(b.startswith(k) for b in base) for k in ("assign", "access", "hex"))
         assert not base or set(base) <= set(r.spans.split(","))
+
+
+def test_secret_models_learn_from_every_document(spark):
+    """Only one in so many documents of a larger corpus gave its tokens."""
+    docs = spark.range(45_000).selectExpr("if(id < 5, null, id) as doc_id", "concat('identifier_', id) as text")
+    assert secret_scan.labelled_tokens(docs).count() == 45_000
+
+
+def test_quantile_equals_numpy(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "SORTED", 5)
+    monkeypatch.setattr(secret_scan, "PARTS", 4)
+    rng = np.random.default_rng(3)
+    for values in (rng.normal(size=200), np.repeat([1.5, 2.0], 40), np.array([3.25]), np.append(rng.normal(size=60), 1e9)):
+        frame = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "score double")
+        for share in (0.9995, 0.5, 0.0):
+            assert secret_scan.quantile(frame, share) == pytest.approx(np.quantile(values, share))
+    assert secret_scan.quantile(spark.createDataFrame([], "score double"), 0.5) is None
+
+
+def test_phrase_tasks_pass_on_few_fingerprints_at_a_time():
+    """A task passed on all it held, up to two million, as one batch."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(100_000)) for i in range(11)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(11)), "text": texts, "lang": ["en"] * 11})
+    parts = [len(part) for part in phrases._count_prints((1,), 0, None)(iter([batch]))]
+    assert sum(parts) == 1_100_000 and max(parts) <= phrases.PASSED
