@@ -2,8 +2,10 @@
 
 import random
 import re
+import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from docflow.llm import decontamination, licenses, token_counts, toxicity
 
@@ -43,6 +45,30 @@ def test_toxicity_without_labels_or_documents(spark, make):
     assert {r.score for r in toxicity.score(make([(i, "a") for i in range(5)]), ones).collect()} <= {0.0, 1.0}
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, make):
+    ids = spark.range(12_000).withColumnRenamed("id", "doc_id").filter(toxicity.fold() != 2)
+    order = [r.doc_id for r in ids.orderBy(F.xxhash64("doc_id")).collect()]
+    # Label 1 only behind the first 8,000 rows by a hash of the id.
+    assert len(order) > 8_300
+    toxic = set(order[8_000:])
+    docs = make([(i, "plain words here" + (" nasty" if i in toxic else "")) for i in order] + [(20_000, "some nasty words"), (20_001, "words")])
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in order], "doc_id long, toxic int")
+    by_id = {r.doc_id: r.score for r in toxicity.score(docs, labels).filter("doc_id >= 20000").collect()}
+    assert by_id[20_000] > 0.5 > by_id[20_001]
+
+
+def test_toxicity_averages_what_the_parts_learnt(spark, make, monkeypatch):
+    monkeypatch.setattr(toxicity, "PART_ROWS", 100)
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{rng.randrange(100)}" for _ in range(20)) + (f" nasty{i % 9}" if i % 3 == 0 else "")) for i in range(900)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(900)], "doc_id long, toxic int")
+    stored = toxicity.labelled(make(rows), labels)
+    assert stored.select("part").distinct().count() > 4
+    assert stored.count() == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(900))
+    got = toxicity.score(make(rows), labels).withColumn("held", toxicity.fold() == 2).filter("held").collect()
+    assert sum((r.score >= 0.3) == (r.doc_id % 3 == 0) for r in got) > 0.95 * len(got)
+
+
 def places(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
     found, labels = [], set()
