@@ -119,10 +119,8 @@ def named_markdown_files(spark, folder):
     docs = inputs.documents(spark, folder).drop("text")
     target = new_folder(spark, "named")
     named_files.write_named(sinks.markdown_files(inputs.ocr(spark, folder), docs, "tagged"), target, ["part_index"])
-    read = spark.read.option("recursiveFileLookup", "true").schema("value string").text(target, wholetext=True)
-    return read.select(
-        F.concat_ws("/", F.slice(F.split(F.input_file_name(), "/"), -3, 3)).alias("file"), F.col("value").alias("markdown")
-    )
+    read = named_files.read_named(spark, target)
+    return read.select(F.concat_ws("/", F.slice(F.split("path", "/"), -3, 3)).alias("file"), F.col("value").alias("markdown"))
 
 
 @query

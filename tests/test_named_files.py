@@ -57,6 +57,33 @@ def test_a_task_that_is_run_again_leaves_each_file_once(spark, tmp_path):
     assert files_in(tmp_path / "out") == {"a.md": "12", "b.md": "3"}
 
 
+def test_files_are_read_as_by_spark_in_few_tasks(spark, tmp_path):
+    names = [f"d{i % 3}/x y%/é {i}[1].mmd" for i in range(400)] + ["top.md", "_hidden/a.md", "d0/.b.md", "d1/_c.md"]
+    pieces = spark.createDataFrame([(name, 0, f"{name}\r\n\n") for name in names] + [("empty.md", 0, None)], "file string, n int, piece string")
+    folder = str(tmp_path / "out")
+    named_files.write_named(pieces, folder, ["n"])
+    assert len(files_in(folder)) == 405
+    own = named_files.read_named(spark, folder)
+    assert own.rdd.getNumPartitions() <= 8
+    text = spark.read.option("recursiveFileLookup", "true").schema("value string").text(folder, wholetext=True)
+    shown = F.regexp_replace(F.input_file_name(), "^file:/+", "/")
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, text.select(shown, "value").collect()))
+
+
+def test_a_staged_write_is_moved_by_tasks(tmp_path):
+    writer = named_files._Writer(str(tmp_path / "out"), "_staging-x")
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"file": ["a.md", "b/c.md"], "piece": ["1", "2"]})
+    lost, done = writer.write(iter([batch])), writer.write(iter([batch]))
+    writer.commit([done])
+    assert sorted(os.listdir(tmp_path / "out" / "_staging-x")) == [os.path.basename(done.folder)] and lost.folder != done.folder
+    store, root = named_files.file_system(str(tmp_path / "out"))
+    for _ in range(2):
+        named_files._move(store, root, done.folder)
+    assert sorted(f for f in files_in(tmp_path / "out")) == ["a.md", "b/c.md"]
+
+
 def test_an_aborted_write_leaves_nothing(spark, tmp_path):
     bad = spark.createDataFrame([("a.md", 0, "x"), ("../b.md", 0, "y")], "file string, n int, piece string")
     with pytest.raises(Exception, match="not a file name"):
