@@ -51,6 +51,9 @@ BATCH = 64
 RATE = 0.05
 SEED = 5
 HEAD_BYTES = 4
+# Bits that mark the labelled ids, whatever the input.
+ID_BITS = 26
+_BUCKET_BITS = 15  # bits of one bucket of Spark's bitmap functions
 # Words come first, then heads, then the padding.
 PAD = 2 << VOCABULARY_BITS
 CHOICES = np.linspace(0.05, 0.95, 91)
@@ -206,10 +209,31 @@ def scores(tables: dict, texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """part, toxic, lang, apart and the numbers of words of every labelled row outside the held-out fold, stored.
+def labelled_ids(known: DataFrame):
+    """Broadcast bitmap of the hashes of the labelled ids: 2^ID_BITS bits, made by Spark in buckets."""
+    counted = (
+        known.select(id_hash().alias("place"))
+        .select(F.shiftright("place", _BUCKET_BITS).alias("bucket"), (F.col("place") % (1 << _BUCKET_BITS)).alias("bit"))
+        .groupBy("bucket")
+        .agg(F.bitmap_construct_agg("bit").alias("bits"))
+    )
+    size = 1 << (_BUCKET_BITS - 3)
+    out = np.zeros(1 << (ID_BITS - 3), np.uint8)
+    for row in counted.toLocalIterator():
+        out[row["bucket"] * size : (row["bucket"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
+    return known.sparkSession.sparkContext.broadcast(out)
+
+
+def id_hash() -> Column:
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << ID_BITS))
 
-    Rows of a part stand together, in the order of a hash.
+
+def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """part, key, toxic, lang, apart and the numbers of words of every labelled row outside the held-out fold.
+
+    Texts become numbers where they are read, and only numbers are shuffled. Rows whose id is not
+    in a bitmap of the labelled ones are not numbered; the join leaves out the few others that are
+    not labelled. It is a merge join at every size, since neither side is bounded.
     """
     known = (
         labels.filter("toxic is not null and doc_id is not null")
@@ -219,26 +243,38 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
     parts = known.count() // PART_ROWS + 1
     key = F.xxhash64("doc_id", "text")
+    shared = labelled_ids(known)
 
     def number(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = shared.value
         for frame in frames:
+            place = frame["place"].to_numpy(dtype=np.int64)
+            frame = frame[(bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0]
+            if frame.empty:
+                continue
             numbers: list[bytes] = []
             for _, ids, bounds in encode(frame["text"].tolist()):
                 small = ids.astype(np.uint16)
                 numbers.extend(small[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:]))
-            yield frame[["part", "key", "toxic", "lang"]].assign(
+            yield frame[["doc_id", "part", "key", "lang"]].assign(
                 apart=frame["doc_id"].to_numpy(dtype=np.int64) // 7 % 5 == 0, numbers=numbers
             )
 
-    rows = (
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return (
         docs.filter(fold() != 2)
-        .select("doc_id", "text", "lang", key.alias("key"), F.pmod(key, F.lit(parts)).cast("int").alias("part"))
-        .join(known, "doc_id")
-        .mapInPandas(number, "part int, key long, toxic double, lang string, apart boolean, numbers binary")
+        .select("doc_id", "text", "lang", key.alias("key"), F.pmod(key, F.lit(parts)).cast("int").alias("part"), id_hash().alias("place"))
+        .mapInPandas(number, f"doc_id {kind}, part int, key long, lang string, apart boolean, numbers binary")
+        .join(known.hint("merge"), "doc_id")
+        .select("part", "key", "toxic", "lang", "apart", "numbers")
         .repartition(parts, "part")
         .sortWithinPartitions("part", "key", "lang")
     )
-    return materialize(rows.drop("key"), "labelled")
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """:func:`labelled_rows`, stored. Rows of a part stand together, in the order of a hash."""
+    return materialize(labelled_rows(docs, labels).select("part", "toxic", "lang", "apart", "numbers"), "labelled")
 
 
 def log_odds(rows: DataFrame) -> np.ndarray:

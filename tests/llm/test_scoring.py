@@ -69,6 +69,18 @@ def test_toxicity_averages_what_the_parts_learnt(spark, make, monkeypatch):
     assert sum((r.score >= 0.3) == (r.doc_id % 3 == 0) for r in got) > 0.95 * len(got)
 
 
+def test_toxicity_shuffles_no_text(spark, make):
+    rows = [(i, f"w{i} nasty" if i % 3 else None) for i in range(200)] + [(5, "w5 again"), (None, "word")]
+    known = [i for i in range(200) if i % 4 and zlib.crc32(str(i).encode()) % 4 != 2]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200) if i % 4] + [(7777, 1), (None, 1)], "doc_id long, toxic int")
+    found = toxicity.labelled_rows(make(rows), labels)
+    assert found.count() == len(known) + (5 in known)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    # Nothing is shuffled between the texts and what makes numbers of them.
+    assert "Exchange" not in plan[plan.index("MapInPandas") : plan.index("Scan")]
+
+
 def places(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
     found, labels = [], set()
