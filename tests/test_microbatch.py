@@ -141,6 +141,77 @@ def test_a_key_gives_its_closed_batches_together():
     assert given == [[([(0, 0)], "next", 1), ([(5, 1)], "next", 6)]]
 
 
+def processor(kind, *arguments):
+    """A stateful processor whose state and timers are kept here."""
+    made, waiting, timers = kind(*arguments), [], set()
+
+    def put(rows):
+        waiting[:] = rows
+
+    state = SimpleNamespace(get=lambda: iter(list(waiting)), put=put, clear=waiting.clear)
+    made.init(SimpleNamespace(
+        getListState=lambda name, schema: state, registerTimer=timers.add, deleteTimer=timers.discard, listTimers=lambda: iter(set(timers))))
+    return made, timers
+
+
+def trigger(made, timers, key, rows, names, now):
+    """What a processor gives for the rows of a trigger, and then for the timers that have run out."""
+    out, times = [], SimpleNamespace(getCurrentProcessingTimeInMs=lambda: now)
+    if rows:
+        # Two frames, as from two Arrow batches.
+        halves = [pd.DataFrame(part, columns=names) for part in (rows[: len(rows) // 2], rows[len(rows) // 2 :])]
+        out += [e for given in made.handleInputRows(key, halves, times) for e in given]
+    for at in sorted(t for t in timers if t <= now):
+        timers.discard(at)
+        expired = SimpleNamespace(getExpiryTimeInMs=lambda: at)
+        out += [e for given in made.handleExpiredTimer(key, times, expired) for e in given]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_queues_of_a_group_close_as_each_by_itself(seed):
+    rng = random.Random(seed)
+    schema = T.StructType().add("k", "long").add("t", "long").add("id", "long")
+    names, keys, last = schema.names, [None] if seed == 3 else list(range(7)), 0
+    group, group_timers = processor(microbatch.Queues, schema, "k", "t", "id", 15, 3, 20, lambda done: done)
+    single = {k: processor(microbatch.Queue, T.StructType(schema.fields[1:]), "t", "id", 15, 3, 20, lambda key, done: [(key[0], *d) for d in done])
+              for k in keys}
+    together, apart, arrived = [], [], 0
+    for now in range(0, 400, 8):
+        rows = [(rng.choice(keys), last + rng.randrange(40) - 5, arrived + i) for i in range(rng.choice((0, 0, 1, 4, 30)))] if now < 300 else []
+        last, arrived = last + 12, arrived + len(rows)
+        together += [(q, [r[1:] for r in batch], *rest) for q, batch, *rest in trigger(group, group_timers, (0,), rows, names, now)]
+        for k, (made, timers) in single.items():
+            own = [r[1:] for r in rows if r[0] == k]
+            apart += trigger(made, timers, (k,), own, names[1:], now)
+    assert sorted(map(repr, together)) == sorted(map(repr, apart)) and {why for _, _, why, _ in apart} == {"full", "next", "idle"}
+    assert sum(len(batch) for _, batch, _, _ in together) == arrived
+
+
+def test_one_call_serves_the_queues_of_a_group():
+    """A call for every queue made streams of many queues slow."""
+    schema = T.StructType().add("k", "string").add("t", "long").add("id", "long")
+    calls = []
+    group, timers = processor(microbatch.Queues, schema, "k", "t", "id", 10, 2, 5, lambda done: calls.append(done) or done)
+    rows = [(f"q{i}", t, 10 * i + t) for i in range(50) for t in (0, 1, 2)]
+    trigger(group, timers, (0,), rows, schema.names, 0)
+    assert len(calls) == 1 and [why for _, _, why, _ in calls[0]] == ["full"] * 50 and timers == {5}
+    trigger(group, timers, (0,), [], schema.names, 5)
+    assert len(calls) == 2 and [why for _, _, why, _ in calls[1]] == ["idle"] * 50
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(5,0)"])
+def test_close_events_of_keys_that_are_null_or_of_any_type(spark, tmp_path, monkeypatch, kind):
+    monkeypatch.setattr(microbatch, "QUEUE_GROUPS", 3)
+    rows = [(None if i % 9 == 8 else i % 9, 10 * i, i, None if i % 4 == 0 else f"r{i % 3}", "") for i in range(90)]
+    arriving = stream(spark, tmp_path, [rows]).withColumn("k", F.col("k").cast(kind))
+    got = runner.run_until_idle(microbatch.close_events(arriving, "k", "t", "id", "request", 1000, 4, idle_ms=300), "kinds", 300)
+    assert got.schema["k"].dataType.simpleString() == kind
+    found = sorted((str(r.k), r.opened_by, r.reason, r["rows"]) for r in got.collect())
+    queues = [(str(k), [i for i in range(90) if (None if i % 9 == 8 else i % 9) == k]) for k in [None, *range(8)]]
+    assert found == sorted((k, ids[s], "full" if s < 8 else "idle", len(ids[s : s + 4])) for k, ids in queues for s in (0, 4, 8))
+
+
 # -- documents ---------------------------------------------------------------
 
 PAGE = "document_index bigint, page_index bigint, page_count bigint, batch_id bigint, input_tokens bigint, output_tokens bigint, error string"
