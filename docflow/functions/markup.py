@@ -104,6 +104,11 @@ def detections(text: Column, width: Column, height: Column) -> Column:
     ``array<struct<ref_index, box_index, label, bbox_norm, bbox>>``. Pixel
     values are truncated toward zero.
     """
+    return detections_of(ref_tags(text), width, height)
+
+
+def detections_of(tags: Column, width: Column, height: Column) -> Column:
+    """As :func:`detections`, of tags that :func:`ref_tags` has found."""
 
     def of_tag(tag: Column) -> Column:
         return F.transform(
@@ -125,7 +130,7 @@ def detections(text: Column, width: Column, height: Column) -> Column:
             ),
         )
 
-    return F.flatten(F.transform(ref_tags(text), of_tag))
+    return F.flatten(F.transform(tags, of_tag))
 
 
 def _linked(text: Column, tags: Column, page: Column | None) -> Column:

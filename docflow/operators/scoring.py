@@ -9,12 +9,13 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from docflow import constants as C
 from docflow.functions import markup
@@ -107,21 +108,49 @@ def score_batches(
     columns are dropped right here. ``make_scorer`` builds the scorer once per
     Python worker. Adds ``error`` and the seconds of the call. A batch is
     bounded by its page count, and the number of partitions is set here so
-    that small batches are not packed into few tasks.
+    that small batches are not packed into few tasks. Rows come to Python sorted, in
+    frames of many batches, and each batch is cut from them.
     """
     schema = _scored_schema(pages, keep, outputs)
     names = schema.fieldNames()
     version = uuid.uuid4().hex
+    whole = {field.name: field.dataType for field in pages.schema if isinstance(field.dataType, (T.IntegralType, T.BooleanType))}
+    numpy_types = {name: np.dtype(to_arrow_type(kind).to_pandas_dtype()) for name, kind in whole.items()}
 
-    def score(rows: pd.DataFrame) -> pd.DataFrame:
+    def batches(rows: pd.DataFrame, starts: list[int]) -> Iterator[pd.DataFrame]:
+        # A null makes a column of whole numbers another type, but only in its own batch.
+        changed = [name for name, kind in numpy_types.items() if rows[name].dtype != kind]
+        for start, end in zip(starts, [*starts[1:], len(rows)]):
+            own = rows.iloc[start:end].reset_index(drop=True)
+            back = [name for name in changed if not own[name].isna().any()]
+            yield own.astype({name: numpy_types[name] for name in back}) if back else own
+
+    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run = worker_object("scorer", make_scorer, version) if make_scorer else scorer
-        ordered = rows.sort_values(["document_index", "page_index"])
-        return run_scorer(ordered, run, outputs)[names]
+
+        def scored(rows: pd.DataFrame, starts: list[int]) -> pd.DataFrame:
+            return rows.assign(**run_scorer_on_each(batches(rows, starts), run, outputs))[names]
+
+        waiting: pd.DataFrame | None = None
+        for part in parts:
+            rows = part if waiting is None else pd.concat([waiting, part], ignore_index=True)
+            if rows.empty:
+                continue
+            number = rows["batch_id"]
+            before = number.shift()
+            starts = np.flatnonzero(~((number == before) | (number.isna() & before.isna())).to_numpy() | (np.arange(len(rows)) == 0))
+            # The last batch may go on in the next frame.
+            last = int(starts[-1])
+            if last:
+                yield scored(rows.iloc[:last].reset_index(drop=True), starts[:-1].tolist())
+            waiting = rows.iloc[last:]
+        if waiting is not None:
+            yield scored(waiting.reset_index(drop=True), [0])
 
     return (
         pages.repartition(partitions or task_count(pages.sparkSession), "batch_id")
-        .groupBy("batch_id")
-        .applyInPandas(score, schema)
+        .sortWithinPartitions("batch_id", F.asc_nulls_last("document_index"), F.asc_nulls_last("page_index"))
+        .mapInPandas(score, schema)
     )
 
 
@@ -185,15 +214,19 @@ def page_results(scored: DataFrame) -> DataFrame:
     like a model error.
     """
     raw = F.col("raw_text")
-    wrong = F.exists(markup.ref_tags(raw), lambda tag: markup.wrong_boxes(tag["coords"]))
+    tags = F.col("_tags")
+    wrong = F.exists(tags, lambda tag: markup.wrong_boxes(tag["coords"]))
     return (
-        scored.withColumn("clean_text", markup.clean_text(raw))
-        .withColumn("detections", markup.detections(raw, F.col("width"), F.col("height")))
+        # A column of its own, so that the text is searched for tags once.
+        scored.withColumn("_tags", markup.ref_tags(raw))
+        .withColumn("clean_text", markup.clean_text(raw))
+        .withColumn("detections", markup.detections_of(tags, F.col("width"), F.col("height")))
         .withColumn("has_eos", markup.has_eos(raw))
         .withColumn(
             "error",
             F.coalesce("error", F.when(wrong, F.lit("detection box is not four numbers"))),
         )
+        .drop("_tags")
     )
 
 

@@ -140,6 +140,37 @@ def test_wrong_boxes_fail_the_whole_batch(spark):
     assert rows[0].error == rows[1].error
 
 
+def test_batches_are_cut_whole_from_frames_of_many(spark):
+    """A group and its frame for every batch made the scoring of small batches slow."""
+    pages = spark.createDataFrame(
+        [(d, p, (5 * d + p) // 4 if d < 8 else None, None if (d, p) == (3, 1) else 2**53 + 1) for d in range(9) for p in range(5)][::-1],
+        "document_index bigint, page_index bigint, batch_id bigint, input_tokens bigint",
+    )
+
+    def seen(rows: pd.DataFrame) -> pd.DataFrame:
+        places = [f"{d}.{p}" for d, p in zip(rows["document_index"], rows["page_index"])]
+        assert list(rows.index) == list(range(len(rows)))
+        return pd.DataFrame({"raw_text": [" ".join(places)] * len(rows), "output_tokens": [int(rows["input_tokens"].dtype == "int64")] * len(rows)})
+
+    kept = ["document_index", "page_index", "batch_id"]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in (1, 7, 1000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            scored = scoring.score_batches(pages, seen, OUTPUT, kept, partitions=2)
+            got = scored.collect()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        assert len(got) == 45 and all(r.error is None for r in got)
+        by_batch = {}
+        for r in got:
+            by_batch.setdefault((r.batch_id, r.raw_text, r.output_tokens), []).append(f"{r.document_index}.{r.page_index}")
+        assert len(by_batch) == 11 and all(text == " ".join(places) for (_, text, _), places in by_batch.items())
+        assert {number for number, _, whole in by_batch if not whole} == {4}
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan
+
+
 def test_scorer_is_built_once_per_worker(spark, tmp_path):
     docs, pages = labelled(spark, a=40)
     log = str(tmp_path / "built")
