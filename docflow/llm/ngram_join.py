@@ -11,8 +11,9 @@
    sketches, the parities of a set's members in classes: two sets differ in at
    least as many members as their sketches in bits, so no link is lost. Columns
    of few rows give pairs, each of which is compared once; in the others rows
-   are reached from one another. What may be linked makes clusters, outside of
-   which no link exists.
+   are reached from one another, in a long column within bands of sizes. What may
+   be linked makes clusters, outside of which no link exists. Pairs and sketches
+   are held by the MB, whatever the number of pairs of a block.
 4. In a cluster the product of whole rows is taken in tiles of about
    ``TILE_SHINGLES`` entries a side: one row at a time is multiplied with those
    not yet reached, overlaps are accumulated, pairs below the bound of their
@@ -48,6 +49,10 @@ WIDE_BITS = 16384
 WIDE_FROM = 1500
 # Columns of up to so many rows give pairs.
 FEW_ROWS = 32
+# Columns of more rows are dealt out by size.
+BAND_ROWS = 4096
+# Pairs that a task holds before it passes them on.
+HELD_PAIRS = 1 << 20
 BIN_BYTES = 8 << 20
 
 
@@ -143,17 +148,46 @@ def in_blocks(rows: DataFrame, blocks: int) -> DataFrame:
     return rows.mapInPandas(cut, "block long, entries binary")
 
 
+def size_bands(run: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows, and a part of their run for each: rows whose sizes allow a link are in one part together.
+
+    A part has the rows of two neighbouring bands of sizes, of which each is as wide as the bound.
+    """
+    edges = [1]
+    while edges[-1] <= size.max(initial=0):
+        edges.append(edges[-1] * 100 // percent + 1)
+    step = len(edges) + 2
+    band = run * step + np.searchsorted(edges, size, side="right")
+    full = np.unique(band)
+    # The part of a band and the next, unless the part before has all its rows.
+    full = full[np.isin(full + 1, full) | ~np.isin(full - 1, full)]
+    own, before = np.flatnonzero(np.isin(band, full)), np.flatnonzero(np.isin(band - 1, full))
+    return np.concatenate([own, before]), np.concatenate([band[own], band[before] - 1])
+
+
 def candidates(percent: int, blocks: int):
     """For each block: pairs (a, b) from columns of few rows, members (a, run) of the others.
 
     They are packed by groups of a: the same pair comes from many blocks.
     """
 
-    def find(part: pd.DataFrame) -> pd.DataFrame:
-        pieces = [(e, len(e) // 16) for e in part["entries"]]
+    def packed(a: np.ndarray, b: np.ndarray, run: np.ndarray) -> pd.DataFrame:
+        made = np.stack([a, b, run], 1).astype(np.int64)
+        group = (words.mix(made[:, 0].astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        used, starts = np.unique(group[order], return_index=True)
+        ends = [*starts[1:], len(order)]
+        return pd.DataFrame({"rows": used, "packed": [made[order[s:e]].tobytes() for s, e in zip(starts, ends)]})
+
+    def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pieces, block = [], 0
+        for part in parts:
+            pieces += [(e, len(e) // 16) for e in part["entries"]]
+            block = int(part["block"].iloc[0])
         row = np.concatenate([np.frombuffer(e, np.int64, m) for e, m in pieces])
         column = np.concatenate([np.frombuffer(e, np.uint32, m, 8 * m) for e, m in pieces])
         size = np.concatenate([np.frombuffer(e, np.uint32, m, 12 * m) for e, m in pieces]).astype(np.int64)
+        del pieces
         order = np.lexsort((size, column))
         row, column, size = row[order], column[order], size[order]
         # Only rows with a neighbour that their size allows; columns split where none is.
@@ -161,56 +195,94 @@ def candidates(percent: int, blocks: int):
         run = np.concatenate([[0], np.cumsum(~near)]) if len(row) else np.zeros(0, np.int64)
         rows_of = np.bincount(run)[run] if len(row) else run
         few = (rows_of > 1) & (rows_of <= FEW_ROWS)
-        r, o, s = row[few], run[few], size[few]
-        found = [np.zeros((2, 0), np.int64)]
+        # A pair as one number, from the places of its rows among all; never all pairs at once.
+        ids, place = np.unique(row[few], return_inverse=True)
+        o, s = run[few], size[few]
+        held, count = [np.zeros(0, np.int64)], 0
         for apart in range(1, FEW_ROWS):
-            pair = (o[apart:] == o[:-apart]) & (100 * s[:-apart] >= percent * s[apart:]) & (r[apart:] != r[:-apart])
+            pair = (o[apart:] == o[:-apart]) & (100 * s[:-apart] >= percent * s[apart:]) & (place[apart:] != place[:-apart])
             if not pair.any():
                 break
-            a, b = r[:-apart][pair], r[apart:][pair]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-        pairs = np.unique(np.concatenate(found, 1), axis=1)
-        many = rows_of > FEW_ROWS
-        runs = (int(part["block"].iloc[0]) << 32) + run[many]
-        made = np.stack(
-            [
-                np.concatenate([pairs[0], row[many]]),
-                np.concatenate([pairs[1], row[many]]),
-                np.concatenate([np.full(len(pairs[0]), -1), runs]),
-            ],
-            1,
-        ).astype(np.int64)
-        group = (words.mix(made[:, 0].astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        used, starts = np.unique(group[order], return_index=True)
-        ends = [*starts[1:], len(order)]
-        return pd.DataFrame({"rows": used, "packed": [made[order[s:e]].tobytes() for s, e in zip(starts, ends)]})
+            x, y = place[:-apart][pair], place[apart:][pair]
+            held.append(np.minimum(x, y) * len(ids) + np.maximum(x, y))
+            count += len(x)
+            if count > HELD_PAIRS:
+                held = [np.unique(np.concatenate(held))]
+                count = len(held[0])
+                if 2 * count > HELD_PAIRS:
+                    yield packed(ids[held[0] // len(ids)], ids[held[0] % len(ids)], np.full(count, -1))
+                    held, count = held[:0], 0
+        pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *held]))
+        if len(pairs):
+            yield packed(ids[pairs // len(ids)], ids[pairs % len(ids)], np.full(len(pairs), -1))
+        del held, pairs, ids, place, o, s
+        members, part_of = np.flatnonzero((rows_of > FEW_ROWS) & (rows_of <= BAND_ROWS)), None
+        long = np.flatnonzero((rows_of > FEW_ROWS) & (rows_of > BAND_ROWS))
+        at, part_of = size_bands(run[long], size[long], percent)
+        # Numbers of runs, and behind them those of parts.
+        _, part_of, rows_in = np.unique(part_of, return_inverse=True, return_counts=True)
+        at, part_of = at[rows_in[part_of] > 1], part_of[rows_in[part_of] > 1]
+        members, runs = np.concatenate([members, long[at]]), np.concatenate([run[members], part_of + len(row)])
+        for i in range(0, len(members), HELD_PAIRS):
+            a = row[members[i : i + HELD_PAIRS]]
+            yield packed(a, a, (block << 32) + runs[i : i + HELD_PAIRS])
 
     return find
 
 
-def distinct_rows(part: pd.DataFrame) -> pd.DataFrame:
-    """The pairs and members of a group, each once."""
-    made = np.frombuffer(b"".join(part["packed"]), np.int64).reshape(-1, 3)
-    return pd.DataFrame(np.unique(made, axis=0), columns=["a", "b", "run"])
+def unique_rows(made: np.ndarray) -> np.ndarray:
+    made = made[np.lexsort(made.T[::-1])]
+    new = np.ones(len(made), bool)
+    new[1:] = (made[1:] != made[:-1]).any(1)
+    return made[new]
+
+
+def distinct_rows():
+    """The pairs and members of a group, each once; those that come again are dropped as they are read."""
+
+    def distinct(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, waiting, count = np.zeros((0, 3), np.int64), [], 0
+        for part in parts:
+            for data in part["packed"]:
+                waiting.append(np.frombuffer(data, np.int64).reshape(-1, 3))
+                count += len(waiting[-1])
+                if count > max(HELD_PAIRS, len(held)):
+                    held = unique_rows(np.concatenate([held, *waiting]))
+                    waiting, count = [], 0
+        held = unique_rows(np.concatenate([held, *waiting]))
+        for i in range(0, len(held), HELD_PAIRS):
+            yield pd.DataFrame(held[i : i + HELD_PAIRS], columns=["a", "b", "run"])
+
+    return distinct
 
 
 def may_link(percent: int):
     """For the members of columns: each with the one from which its sketch is reached."""
 
+    def within(sketches: np.ndarray, own: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        bits = np.bitwise_count(sketches ^ own).sum(1, dtype=np.int64)
+        return (100 + percent) * bits <= (100 - percent) * sizes
+
     def walk(part: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, rows in part.groupby("run", sort=False):
             ids, sizes = rows["a"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-            column = "sketch" if rows["wide"].isna().any() else "wide"
-            sketches = np.stack(rows[column].to_list()).astype(np.int64).view(np.uint64)
+            sketches = np.stack(rows["sketch"].to_list()).view(np.uint64)
+            # Wide sketches tell large sets apart; a set of another size is never linked.
+            has_wide = rows["wide"].notna().to_numpy()
+            wide = np.stack(rows["wide"][has_wide].to_list()).view(np.uint64) if has_wide.any() else sketches
+            place = np.cumsum(has_wide) - 1
             alive = np.arange(len(ids))
             while len(alive):
                 waiting, alive = [alive[0]], alive[1:]
                 while waiting and len(alive):
                     u = waiting.pop()
-                    bits = np.bitwise_count(sketches[alive] ^ sketches[u]).sum(1, dtype=np.int64)
-                    hit = (100 + percent) * bits <= (100 - percent) * (sizes[alive] + sizes[u])
+                    n = sizes[alive]
+                    hit = 100 * np.minimum(n, sizes[u]) >= percent * np.maximum(n, sizes[u])
+                    hit[hit] = within(sketches[alive[hit]], sketches[u], n[hit] + sizes[u])
+                    if has_wide[u]:
+                        both = np.flatnonzero(hit & has_wide[alive])
+                        hit[both] = within(wide[place[alive[both]]], wide[place[u]], n[both] + sizes[u])
                     out.extend((ids[u], ids[v]) for v in alive[hit])
                     waiting.extend(alive[hit])
                     alive = alive[~hit]
@@ -296,28 +368,31 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
         .groupBy("block")
         .applyInPandas(candidates(percent, blocks), "rows long, packed binary")
         .groupBy("rows")
-        .applyInPandas(lambda rows: distinct_rows(rows), "a long, b long, run long"),
+        .applyInPandas(distinct_rows(), "a long, b long, run long"),
         "candidates",
     )
     release_finished(docs.sparkSession)
     sketches = classes.select("rep", "n", "sketch", "wide")
-    left, right = (
-        sketches.select(*[F.col(c).alias(f"{c}_{side}") for c in ("n", "sketch", "wide")], F.col("rep").alias(side))
-        for side in "ab"
-    )
     differing = "aggregate(zip_with({0}_a, {0}_b, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)"
-    pairs = (
-        found.filter("run < 0").select("a", "b").join(left, "a").join(right, "b")
-        .filter(
-            F.coalesce(F.expr(differing.format("wide")), F.expr(differing.format("sketch"))) * (100 + percent)
-            <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
-        )
-        .select("a", "b")
-    )
+
+    def within(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs that this sketch does not rule out."""
+        for side in "ab":
+            pairs = pairs.join(sketches.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col(name).alias(f"{name}_{side}")), side)
+        bits = F.expr(differing.format(name))
+        return pairs.filter(bits * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b")
+
+    # Wide sketches travel with what is left by the others only.
+    close = materialize(within(found.filter("run < 0").select("a", "b"), "sketch"), "close")
+    large = F.least("n_a", "n_b") > WIDE_FROM
+    pairs = close.filter(~large).union(within(close.filter(large).select("a", "b"), "wide")).select("a", "b")
     members = found.filter("run >= 0").select("a", "run")
+    # What a task gets of the sketches is bounded in bytes: of large sets they are many times longer.
+    length = F.when(F.col("n") > WIDE_FROM, (SKETCH_BITS + WIDE_BITS) // 8).otherwise(SKETCH_BITS // 8)
+    weight = members.join(sketches.select(F.col("rep").alias("a"), "n"), "a").agg(F.sum(length)).first()[0] or 0
     reached = (
         members.join(sketches.withColumnRenamed("rep", "a"), "a")
-        .withColumn("_bin", F.expr(f"pmod(xxhash64(run), {blocks * 4})"))
+        .withColumn("_bin", F.expr(f"pmod(xxhash64(run), {blocks * 4 + weight // BIN_BYTES})"))
         .groupBy("_bin")
         .applyInPandas(may_link(percent), "a long, b long")
     )
@@ -339,13 +414,15 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
             F.col("root").alias("cluster"),
             F.least("_part", "_other").alias("i"),
             F.greatest("_part", "_other").alias("j"),
+            (F.col("_parts") > 1).alias("_alone"),
         )
     )
     tiles = materialize(placed.join(docs, "doc_id"), "tiles")
     bytes_ = tiles.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bins = int(bytes_ // BIN_BYTES) + 1
     links = (
-        tiles.withColumn("_bin", F.expr(f"pmod(xxhash64(cluster, i, j), {bins})"))
+        # A tile of a large cluster fills a bin by itself.
+        tiles.withColumn("_bin", F.expr(f"xxhash64(cluster, i, j) % if(_alone, {1 << 62}, {bins})"))
         .groupBy("_bin")
         .applyInPandas(linked(percent), "a long, b long")
     )

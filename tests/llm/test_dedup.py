@@ -110,6 +110,68 @@ def test_jaccard_components(make, monkeypatch, few, tile):
     assert len(got) == len(rows)
 
 
+def test_jaccard_with_few_pairs_held_and_long_columns_in_bands(make, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FEW_ROWS", 3)
+    monkeypatch.setattr(ngram_join, "BAND_ROWS", 5)
+    monkeypatch.setattr(ngram_join, "HELD_PAIRS", 10)
+    rows = near_copies(13, 70)
+    got = ngram_join.jaccard_components(make(rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == jaccard(rows)
+
+
+def test_pairs_of_a_block_are_passed_on_a_few_at_a_time(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(ngram_join, "HELD_PAIRS", 1000)
+    # 100 groups of 32 rows that share 3 columns each: 49,600 pairs.
+    row, column = (x.ravel() for x in np.meshgrid(np.arange(3200), np.arange(3), indexing="ij"))
+    column = (row // 32 * 3 + column).astype(np.uint32)
+    entries = row.astype(np.int64).tobytes() + column.tobytes() + np.full(len(row), 50, np.uint32).tobytes()
+    found = list(ngram_join.candidates(80, 4)(iter([pd.DataFrame({"block": [7], "entries": [entries]})])))
+    parts = [np.frombuffer(data, np.int64).reshape(-1, 3) for frame in found for data in frame["packed"]]
+    assert max(sum(len(data) for data in frame["packed"]) for frame in found) <= 24 * (1000 + len(row))
+    pairs = {(a, b) for a, b, run in np.concatenate(parts).tolist() if run == -1}
+    assert pairs == {(a, b) for a in range(3200) for b in range(a + 1, a // 32 * 32 + 32)}
+    packed = [pd.DataFrame({"packed": [data]}) for frame in found + found for data in frame["packed"]]
+    assert sum(map(len, ngram_join.distinct_rows()(iter(packed)))) == len(pairs)
+
+
+def test_sets_of_a_column_are_told_apart_whatever_their_sizes():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(14)
+    rows = []
+    for i, n in enumerate((200, 2400, 2500, 4000, 4700, 4800)):
+        own = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        sets = [own] if i else [own, np.concatenate([own[:-1], own[:1] + np.uint64(1)])]
+        for members in sets:
+            wide = ngram_join.parities(members, ngram_join.WIDE_BITS) if n > ngram_join.WIDE_FROM else None
+            rows.append((len(rows), 1, n, ngram_join.parities(members, ngram_join.SKETCH_BITS), wide))
+    part = pd.DataFrame(rows, columns=["a", "run", "n", "sketch", "wide"])
+    got = ngram_join.may_link(80)(part)
+    assert list(zip(got["a"], got["b"])) == [(0, 1)]
+
+
+def test_rows_whose_sizes_allow_a_link_share_a_part():
+    import numpy as np
+
+    rng = np.random.default_rng(15)
+    for percent in (50, 80, 100):
+        run, size = rng.integers(0, 3, 300), rng.integers(1, 60, 300)
+        at, part = ngram_join.size_bands(run, size, percent)
+        parts = {}
+        for i, p in zip(at.tolist(), part.tolist()):
+            parts.setdefault(p, set()).add(i)
+        shared = {(i, j) for rows in parts.values() for i in rows for j in rows}
+        assert all(run[i] == run[j] for i, j in shared)
+        assert all(
+            (i, j) in shared for i in range(300) for j in range(300)
+            if run[i] == run[j] and size[i] <= size[j] and 100 * size[i] >= percent * size[j]
+        )
+
+
 def test_jaccard_of_nothing_and_of_repeated_rows(make):
     assert ngram_join.jaccard_components(make([])).count() == 0
     got = ngram_join.jaccard_components(make([(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "a b c")])).collect()
