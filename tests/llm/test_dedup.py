@@ -292,6 +292,48 @@ def test_passages_around_a_common_line_are_linked_to_each_other(make):
     assert {(r.other_id, r.doc_id) for r in got} == {(100 + i, 150 + i) for i in range(20)}
 
 
+def test_near_passages_around_a_common_line_are_linked_to_each_other(make):
+    """Not only to the first of those that have the line, which is near none of them."""
+    rng = random.Random(18)
+
+    def fresh(n):
+        return [f"v{rng.randrange(10**6)}" for _ in range(n)]
+
+    line = fresh(36)
+    rows = [(i, " ".join(fresh(60) + line + fresh(60))) for i in range(5)]
+    for i in range(60):
+        before, behind = fresh(12), fresh(8)
+        rows.append((100 + i, " ".join(fresh(40) + before + line + behind + fresh(40))))
+        before[8] = f"c{i}"
+        rows.append((200 + i, " ".join(fresh(40) + before + line + behind + fresh(40))))
+    got = compact_windows.near_duplicate_passages(make(rows)).collect()
+    assert {(r.other_id, r.doc_id) for r in got} == {(100 + i, 200 + i) for i in range(60)}
+
+
+def test_rows_of_a_class_are_linked_to_the_nearest():
+    import numpy as np
+
+    rng = np.random.default_rng(18)
+    for _ in range(30):
+        n = int(rng.integers(2, 40))
+        sketch = rng.integers(0, 1 << 12, (1, n)).astype(np.uint64)
+        ends, others = (x[0].tolist() for x in compact_windows.nearest_trees(sketch))
+        apart = np.bitwise_count(sketch[0][:, None] ^ sketch[0])
+        # Least spanning tree, by Kruskal.
+        root, total = list(range(n)), 0
+        for d, i, j in sorted((int(apart[i, j]), i, j) for i in range(n) for j in range(i)):
+            if root[i] != root[j]:
+                total += d
+                root = [root[j] if x == root[i] else x for x in root]
+        assert sum(int(apart[i, j]) for i, j in zip(ends, others)) == total
+        assert sorted(others) == list(range(1, n))
+    # Class, document, place and parities: the first is far from two that are near each other; a class of its own; one document twice.
+    rows = [(7, 1, 0, 0), (7, 2, 5, 0xFFFF00), (7, 3, 6, 0xFFFF01), (8, 4, 0, 1), (9, 5, 0, 1), (9, 5, 8, 1)]
+    key, doc, begin, sketch = (np.array(x) for x in zip(*rows))
+    a, b = compact_windows.linked_rows(key.astype(np.uint32), doc, begin, sketch.astype(np.uint64))
+    assert sorted(zip(doc[a].tolist(), doc[b].tolist())) == [(1, 2), (2, 3)]
+
+
 def test_each_passage_of_a_pair_is_found(make):
     rng = random.Random(8)
 
