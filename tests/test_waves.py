@@ -141,3 +141,45 @@ def test_a_wave_reads_only_its_own_pages(spark, tmp_path):
     done = waves.score_in_waves(read, docs, model, OUTPUT, KEEP, str(tmp_path / "out"), 10, 2)
     assert done.select("wave").distinct().count() > 10
     assert reads.value == 1000
+
+
+def test_a_wave_is_two_jobs_whatever_fails(spark, tmp_path):
+    """One for its shuffle and one for its pages; a failure took seven jobs."""
+    docs, pages = labelled(spark, **{chr(97 + i): 6 for i in range(12)})
+    jobs = spark.sparkContext.statusTracker()
+
+    def model(rows: pd.DataFrame) -> pd.DataFrame:
+        if rows["batch_id"].iloc[0] % 2 == 0:
+            raise RuntimeError("fail")
+        return pd.DataFrame({"raw_text": "raw:" + rows["label"], "output_tokens": 2})
+
+    spark.sparkContext.setJobGroup("waves", "waves")
+    try:
+        done = waves.score_in_waves(pages, docs, model, OUTPUT, KEEP, str(tmp_path / "out"), 3, 2)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    number = done.select("wave").distinct().count()
+    assert number == 12 and len(jobs.getJobIdsForGroup("waves")) <= 2 * number + 16
+
+
+def test_only_a_document_with_pages_in_a_failed_batch_is_passed_over(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(waves, "SPAN", 3)
+    for seed in range(3):
+        counts = [(7 * i + 3 * seed) % 11 for i in range(25)]
+        _, done, _ = run(spark, tmp_path / str(seed), counts, 3, lambda b: b % 3 == 1, first=2, name="out") if (
+            (tmp_path / str(seed)).mkdir() is None
+        ) else None
+        starts = [sum(counts[:i]) for i in range(len(counts))]
+        position = {(d, p): starts[d] + p for d, n in enumerate(counts) for p in range(n)}
+        rows = done.select("document_index", "page_index", "wave", "batch_id", "error").collect()
+        expected, at, batch, wave, size = set(), 0, 0, 0, 2
+        order = sorted(position, key=position.get)
+        while at < len(order):
+            own = {key: batch + (i // 3) for i, key in enumerate(order[at : at + 3 * size])}
+            expected |= {(*key, wave, b) for key, b in own.items()}
+            bad = {d for (d, _), b in own.items() if b % 3 == 1}
+            at += 3 * size
+            while bad and at < len(order) and order[at][0] in bad:
+                at += 1
+            batch, wave, size = batch + size, wave + 1, max(2, size // 2) if bad else 2 * size
+        assert {(r.document_index, r.page_index, r.wave, r.batch_id) for r in rows} == expected
