@@ -6,6 +6,8 @@ from decimal import Decimal
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from docflow.operators import markup, metrics
 from docflow.streaming import repetition, runner, timing
 
@@ -59,6 +61,33 @@ def test_pieces_without_tokens_or_start_are_left_out(spark, tmp_path):
         repetition.stream_repeated_ngrams(spark.createDataFrame([], PIECES), 0)
 
 
+def test_texts_of_a_group_are_told_apart(spark, tmp_path, monkeypatch):
+    """Each text had calls and a state of its own; few groups hold them now, also with nulls and large numbers in the keys."""
+    monkeypatch.setattr(repetition, "TEXT_GROUPS", 2)
+    rng = random.Random(12)
+    ids = [(name, number) for name in ("a", "b", "", None) for number in (0, 1, (1 << 53) + 1, (1 << 53) + 2, None)]
+    texts = {key: [rng.randrange(3) for _ in range(rng.randrange(50))] for key in ids}
+    pieces = cut(rng, texts, 9) + cut(rng, texts, 4)
+    rng.shuffle(pieces)
+    schema = "name string, number bigint, start bigint, token_ids array<int>"
+    arriving = stream(spark, tmp_path, [pieces[i::4] for i in range(4)], schema)
+    found = repetition.stream_repeated_ngrams(arriving, 3, 12, (2,), keys=("name", "number"))
+    got = runner.run_to_end(found, "repeated").collect()
+    whole = spark.createDataFrame([(*key, tokens) for key, tokens in texts.items()], "name string, number bigint, token_ids array<int>")
+    expected = markup.repeated_ngrams(whole.filter("number is not null"), 3, 12, (2,), keys=("name", "number")).collect()
+    assert sorted(map(repr, (r for r in got if r.number is not None))) == sorted(map(repr, expected)) and expected
+    nulls = markup.repeated_ngrams(whole.filter("number is null").withColumn("number", F.lit(7)), 3, 12, (2,), keys=("name", "number")).collect()
+    assert sorted(repr((r.name, r.position, r.earlier_start)) for r in got if r.number is None) == sorted(repr((r.name, r.position, r.earlier_start)) for r in nulls)
+
+
+def test_texts_of_other_keys_have_a_state_of_their_own(spark, tmp_path):
+    rows = [(0.5, 0, [5, 6, 5]), (1.5, 0, [5, 6]), (0.5, 3, [6]), (1.5, 2, [5, 6])]
+    arriving = stream(spark, tmp_path, [rows[:2], rows[2:]], "key double, start bigint, token_ids array<int>")
+    found = repetition.stream_repeated_ngrams(arriving, 2, 20, (), keys=("key",))
+    got = runner.run_to_end(found, "repeated").collect()
+    assert sorted((str(r.key), r.position, r.earlier_start) for r in got) == [("0.5", 3, 0), ("1.5", 3, 0)]
+
+
 SPANS, TOTALS = "request_id bigint, step string, ms decimal(18,2)", "request_id bigint, total_ms double"
 
 
